@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,49 +34,57 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+class _Places(dict):
+    """Word to place; a word that is new gets the next one and is noted."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class Words:
     """Token ids of texts, word by word.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so each word's ids are looked up or made
-    once. ASCII white space only: other white space stays within a word and is for the tokenizer.
+    once. ASCII white space only, as bytes.split() has it: other white space stays within a word and is for the
+    tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.start, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known, self.used = {}, 0
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids, i = e.ids, len(self.known)
-                while i >= len(self.start):
-                    self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[i], self.size[i] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[word] = i
-
-    def encode(self, text: str | None) -> np.ndarray:
-        # as bytes.split() does: str.split() would also split at other white space
-        words = (text or "").translate(_SPACES).split(" ")
-        self.learn(words)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        place = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.append(self.ids[place], np.uint32(END_ID))
-
-
-_SPACES = {i: " " for i in range(9, 14)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.places = _Places()
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self) -> None:
+        new, self.places.new = self.places.new, []
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.places) > REMEMBER:
+            self.forget()
+        at = [np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)) for words in ((t or "").encode("utf-8", "surrogatepass").split() for t in texts)]
+        self.learn()
+        out = []
+        for places in at:
+            begin, end = self.start[places], self.start[places + 1]
+            size = end - begin
+            ids = np.empty(int(size.sum()) + 1, np.uint32)
+            ids[:-1] = self.ids[np.repeat(end - np.cumsum(size), size) + np.arange(len(ids) - 1)]
+            ids[-1] = END_ID
+            out.append(ids)
+        return out
 
 
 def capacities(tokens: int, length: int = LENGTH) -> list[int]:
@@ -126,7 +135,7 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                ids = [words.encode(x).astype(kind).tobytes() for x in part.column(1).to_pylist()]
+                ids = [x.astype(kind).tobytes() for x in words.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(ids, pa.binary())], ["group", "key", "ids"])
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
