@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracejobs.llm import embed_dedup, exact_dedup, html_extract, license_scan, lm_score, mixing, ngram_join, packing, toxicity, warc
-from tracejobs.llm.common import tables
+from tracejobs.llm.common import small, store, tables
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
     docs = docs.select("doc_id", "text", folder.alias("folder"))
     heads = docs.where(F.substring_index("text", "\n", 1).contains("icense")).groupBy("folder").agg(F.min("doc_id").alias("head"))
-    files = docs.join(heads, "folder", "left")  # a row for each directory: it is broadcast while it is small
+    files = docs.join(small(store(heads, "heads")[0], 100_000), "folder", "left")
     name = F.when(F.col("doc_id") == F.col("head"), "LICENSE").otherwise(F.concat(F.lit("doc-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     files = files.select("doc_id", F.concat_ws("/", "folder", name).alias("path"), "text")
     return license_scan.license_scan(files).drop("similarity")
