@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ GROUP_BYTES = 4_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Words whose ids a task remembers.
-REMEMBER = 500_000
+REMEMBER = 1_000_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -63,15 +63,22 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.places = _Places()
+        self.places, self.stems = _Places(), {b"": b""}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def learn(self) -> None:
+        """ASCII letters are one token run in either case, and a comma or full stop after them is another."""
         new, self.places.new = self.places.new, []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        tails = [w[-1:] if w[-1:] in (b",", b".") and w[:-1].isalpha() else b"" for w in new]
+        stems = [w[: len(w) - len(t)] for w, t in zip(new, tails)]
+        stems = [x.lower() if x.isalpha() else x for x in stems]
+        fresh = [x for x in dict.fromkeys(stems + [b",", b"."]) if x not in self.stems]
+        for x, e in zip(fresh, self.tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in fresh], add_special_tokens=False)):
+            self.stems[x] = array("I", e.ids).tobytes()
+        found = [self.stems[x] + self.stems[t] for x, t in zip(stems, tails)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.places) > REMEMBER:
