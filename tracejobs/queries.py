@@ -5,6 +5,143 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracejobs.operators import detect, evaluate, joins, sampling, sli, structure
+from tracejobs.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_ORDER = "l_discount, l_extendedprice, l_linestatus, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax"
+_SPANS = fx.SPANS_SQL.replace("{order}", _ORDER)
+_LINEAR = "quantile_cont(duration / 1e9, {q})"
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None, *views: str) -> None:
+    QUERIES[name] = run
+    sql = sql and sql.strip()
+    if sql:
+        with_ = ", ".join({"spans": _SPANS, "logs": fx.LOGS_SQL, "metrics": fx.METRICS_SQL, "rankings": fx.RANKINGS_SQL}[v] for v in views)
+        ORACLE_SQL[name] = (f"WITH {'RECURSIVE ' if 'RECURSIVE' in sql else ''}{with_}" + (", " + sql.replace("RECURSIVE ", "", 1)[5:] if sql.startswith("WITH") else " " + sql)) if views else sql
+
+
+_EDGES = "SELECT DISTINCT p.datapack, p.service_name AS src, c.service_name AS dst FROM spans p JOIN spans c ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE p.service_name <> c.service_name"
+_SAMPLED = "(SELECT DISTINCT datapack, trace_id FROM spans WHERE trace_id % 10 = 0)"
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return fx.spans(spark, d).where("trace_id % 10 = 0").select("datapack", "trace_id").distinct()
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return fx.read(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), (F.col("doc_id") % 50).alias("question"), (F.col("quality") == 1).alias("correct"), F.col("toxic").alias("level"), ((F.col("doc_id") * 7) % 101).alias("confidence"))
+
+
+_JUDGED = "judged AS (SELECT doc_id AS sample_id, doc_id % 50 AS question, quality = 1 AS correct, toxic AS level, (doc_id * 7) % 101 AS confidence FROM labels)"
+
+_add("a02_sli_rollup", lambda s, d: sli.sli_rollup(fx.spans(s, d), "month"), """
+WITH g AS (SELECT datapack, date_trunc('month', time) AS time, service_name, span_name, list_sort(list(duration / 1e6)) AS l, avg(duration / 1e6) AS a, count(*) AS total_count, count(*) FILTER (status_code = 'Error') AS error_count FROM spans GROUP BY ALL)
+SELECT datapack, CAST(time AS TIMESTAMP) AS time, service_name, span_name, l[1] AS min_duration, l[len(l)] AS max_duration, round(a, 6) AS avg_duration, l[CAST(round(0.5 * (len(l) - 1)) AS INT) + 1] AS duration_p50, l[CAST(round(0.9 * (len(l) - 1)) AS INT) + 1] AS duration_p90,
+  l[CAST(round(0.95 * (len(l) - 1)) AS INT) + 1] AS duration_p95, l[CAST(round(0.99 * (len(l) - 1)) AS INT) + 1] AS duration_p99, total_count, error_count FROM g""", "spans")
+_add("a01_endpoint_stats", lambda s, d: sli.endpoint_stats(fx.spans(s, d), ["datapack", "period", "span_name"]), f"""
+SELECT datapack, period, span_name, round(avg(duration / 1e9), 10) AS avg_duration, round({_LINEAR.format(q=0.9)}, 8) AS p90, round({_LINEAR.format(q=0.95)}, 8) AS p95, round({_LINEAR.format(q=0.99)}, 8) AS p99,
+  round(count(*) FILTER (status_code <> 'Error') / count(*), 6) AS succ_rate, count(*) AS n FROM spans GROUP BY ALL""", "spans")
+_add("j01_service_graph", lambda s, d: joins.service_graph(fx.spans(s, d)), _EDGES, "spans")
+_add("j02_operation_graph", lambda s, d: joins.operation_graph(fx.spans(s, d)), """
+SELECT p.datapack, p.service_name || ' ' || p.span_name AS src, c.service_name || ' ' || c.span_name AS dst, count(*) AS calls FROM spans p JOIN spans c ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id GROUP BY ALL""", "spans")
+_add("j04_without_long_traces", lambda s, d: joins.without_long_traces(fx.spans(s, d), 90 * 10**9).select("trace_id", "span_id", "duration"),
+     "SELECT trace_id, span_id, duration FROM spans WHERE trace_id NOT IN (SELECT trace_id FROM spans WHERE duration > 90000000000)", "spans")
+_add("j05_sampled_spans", lambda s, d: joins.of_sampled(fx.spans(s, d), _samples(s, d)).select("datapack", "trace_id", "span_id"), "SELECT datapack, trace_id, span_id FROM spans WHERE trace_id % 10 = 0", "spans")
+_add("j07_log_spans", lambda s, d: joins.log_spans(fx.logs(s, d), fx.spans(s, d)).select("trace_id", "span_id", "level", "op"),
+     "SELECT l.trace_id, l.span_id, level, s.service_name || ' ' || s.span_name AS op FROM logs l LEFT JOIN spans s ON l.span_id = s.span_id", "spans", "logs")
+_add("j11_exclusive_duration", lambda s, d: joins.exclusive_duration(fx.spans(s, d)).select("trace_id", "span_id", "duration", "exclusive"), """
+WITH k AS (SELECT trace_id, parent_span_id, sum(duration) AS d FROM spans WHERE parent_span_id <> '' GROUP BY ALL)
+SELECT s.trace_id, s.span_id, s.duration, CAST(s.duration - coalesce(k.d, 0) AS BIGINT) AS exclusive FROM spans s LEFT JOIN k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id""", "spans")
+_add("j13_orphan_spans", lambda s, d: joins.orphans(fx.spans(s, d).where("duration > 20000000000")).select("trace_id", "span_id"), """
+WITH x AS (SELECT * FROM spans WHERE duration > 20000000000)
+SELECT trace_id, span_id FROM x WHERE parent_span_id <> '' AND parent_span_id NOT IN (SELECT span_id FROM x)""", "spans")
+_add("e05_leaf_errors", lambda s, d: joins.leaf_errors(fx.spans(s, d)).select("trace_id", "span_id"), """
+SELECT trace_id, span_id FROM spans WHERE status_code = 'Error' AND span_id NOT IN (SELECT parent_span_id FROM spans WHERE status_code = 'Error')""", "spans")
+_add("e02_services", lambda s, d: fx.spans(s, d).select("datapack", "service_name").unionByName(fx.metrics(s, d).select("datapack", "service_name")).where("service_name NOT IN ('loadgenerator', '')").distinct(),
+     "SELECT datapack, service_name FROM spans WHERE service_name <> 'loadgenerator' UNION SELECT datapack, service_name FROM metrics", "spans", "metrics")
+_add("a03_http_error_windows", lambda s, d: sli.error_rate_windows(fx.spans(s, d), "7 days"), """
+SELECT datapack, time_bucket(INTERVAL 7 DAYS, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(CASE WHEN http_status >= 400 THEN 1.0 ELSE 0.0 END) * 100, 6) AS error_rate, count(*) AS n FROM spans GROUP BY ALL""", "spans")
+_add("a04_log_error_windows", lambda s, d: sli.log_error_windows(fx.logs(s, d), "1 day"), """
+SELECT datapack, time_bucket(INTERVAL 1 DAY, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(CASE WHEN level IN ('WARN', 'ERROR') THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM logs GROUP BY ALL""", "logs")
+_add("a05_duration_windows", lambda s, d: sli.duration_windows(fx.spans(s, d), "7 days"), """
+SELECT datapack, time_bucket(INTERVAL 7 DAYS, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(duration / 1e6), 6) AS avg_ms FROM spans WHERE duration > 0 GROUP BY ALL""", "spans")
+_add("a25_span_stats", lambda s, d: sli.span_stats(fx.spans(s, d)), """
+SELECT service_name, span_name, count(*) AS calls, count(*) FILTER (status_code = 'Error') AS errors, round(count(*) FILTER (status_code = 'Error') / count(*), 6) AS error_rate, round(avg(duration / 1e6), 6) AS avg_ms, min(duration / 1e6) AS min_ms, max(duration / 1e6) AS max_ms,
+  round(quantile_cont(duration / 1e6, 0.5), 8) AS p50, round(quantile_cont(duration / 1e6, 0.9), 8) AS p90, round(quantile_cont(duration / 1e6, 0.95), 8) AS p95, round(quantile_cont(duration / 1e6, 0.99), 8) AS p99 FROM spans GROUP BY ALL""", "spans")
+_add("a13_call_probability", lambda s, d: sli.call_probability(fx.spans(s, d)), f"""
+WITH e AS ({_EDGES}), h AS (SELECT DISTINCT datapack, period, service_name, trace_id FROM spans), n AS (SELECT datapack, period, service_name, count(*) AS n FROM h GROUP BY ALL),
+b AS (SELECT a.datapack, a.period, e.src, e.dst, count(*) AS together FROM e JOIN h a ON a.datapack = e.datapack AND a.service_name = e.src JOIN h b ON b.datapack = a.datapack AND b.period = a.period AND b.trace_id = a.trace_id AND b.service_name = e.dst GROUP BY ALL)
+SELECT b.datapack, b.period, src, dst, round(together / x.n, 6) AS p_src, round(together / y.n, 6) AS p_dst FROM b JOIN n x ON x.datapack = b.datapack AND x.period = b.period AND x.service_name = src JOIN n y ON y.datapack = b.datapack AND y.period = b.period AND y.service_name = dst""", "spans")
+_add("a20_datapack_profile", lambda s, d: sli.datapack_profile(fx.spans(s, d)), """
+WITH g AS (SELECT datapack, count(*) AS spans, count(*) FILTER (parent_span_id = '') AS roots, count(DISTINCT service_name) AS services, min(time) AS first, max(time) AS last, CAST(epoch(max(time)) - epoch(min(time)) AS BIGINT) AS seconds FROM spans GROUP BY ALL)
+SELECT *, CASE WHEN seconds = 0 THEN 0 ELSE round(roots / seconds, 9) END AS qps FROM g""", "spans")
+_add("a08_anomaly_magnitude", lambda s, d: sli.anomaly_magnitude(fx.metrics(s, d)), """
+WITH g AS (SELECT datapack, service_name, metric, min(value) AS lo, max(value) AS hi, avg(value) FILTER (period = 'abnormal') AS a, avg(value) FILTER (period = 'normal') AS n FROM metrics GROUP BY ALL)
+SELECT datapack, service_name, round(sum(coalesce(CASE WHEN hi > lo THEN abs(a - n) / (hi - lo) END, 0)), 6) AS magnitude FROM g GROUP BY ALL""", "metrics")
+_add("a09_anomaly_cardinality", lambda s, d: sli.anomaly_cardinality(fx.metrics(s, d), 0.2), """
+WITH g AS (SELECT datapack, service_name, metric, avg(value) FILTER (period = 'abnormal') AS a, avg(value) FILTER (period = 'normal') AS n, coalesce(stddev_samp(value) FILTER (period = 'normal'), 0) AS sd FROM metrics GROUP BY ALL)
+SELECT datapack, service_name, count(*) FILTER (CASE WHEN sd > 0 THEN abs(a - n) / sd > 0.2 ELSE abs(a - n) > 0 END) AS cardinality FROM g GROUP BY ALL""", "metrics")
+_add("a22_level_counts", lambda s, d: fx.logs(s, d).groupBy("service_name", "level").agg(F.count(F.lit(1)).alias("n")), "SELECT service_name, level, count(*) AS n FROM logs GROUP BY ALL", "logs")
+_add("w03_trace_depth", lambda s, d: structure.depth(fx.spans(s, d)), """WITH RECURSIVE t AS (
+  SELECT datapack, trace_id, span_id, 1 AS level FROM spans WHERE parent_span_id = '' UNION ALL SELECT c.datapack, c.trace_id, c.span_id, t.level + 1 FROM t JOIN spans c ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id)
+SELECT datapack, trace_id, max(level) AS depth FROM t GROUP BY ALL""", "spans")
+_add("t01_path_encoding", lambda s, d: structure.path_encoding(fx.spans(s, d)), """WITH RECURSIVE t AS (
+  SELECT datapack, trace_id, span_id, service_name || ':' || span_name AS label, 1 AS level FROM spans WHERE parent_span_id = ''
+  UNION ALL SELECT c.datapack, c.trace_id, c.span_id, c.service_name || ':' || c.span_name, t.level + 1 FROM t JOIN spans c ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id)
+SELECT datapack, trace_id, string_agg(label, ' -> ' ORDER BY level, label) AS encoding FROM t GROUP BY ALL""", "spans")
+_add("t03_path_coverage", lambda s, d: structure.path_coverage(fx.spans(s, d), _samples(s, d), False), """WITH RECURSIVE t AS (
+  SELECT datapack, trace_id, span_id, service_name || ':' || span_name AS label, 1 AS level FROM spans WHERE parent_span_id = ''
+  UNION ALL SELECT c.datapack, c.trace_id, c.span_id, c.service_name || ':' || c.span_name, t.level + 1 FROM t JOIN spans c ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id),
+e AS (SELECT datapack, trace_id, string_agg(label, ' -> ' ORDER BY level, label) AS code FROM t GROUP BY ALL)
+SELECT datapack, count(DISTINCT code) AS paths, count(DISTINCT code) FILTER (trace_id % 10 = 0) AS sampled_paths, round(count(DISTINCT code) FILTER (trace_id % 10 = 0) / count(DISTINCT code), 6) AS coverage FROM e GROUP BY ALL""", "spans")
+_SCORE = "CAST('0x' || substr(md5(trace_id || ':0'), 1, 8) AS BIGINT) / 4294967296.0"
+_add("k01_offline_sampling", lambda s, d: sampling.offline(fx.spans(s, d), 0.1), f"""
+WITH t AS (SELECT DISTINCT datapack, trace_id, {_SCORE} AS sample_score FROM spans), r AS (SELECT *, row_number() OVER (PARTITION BY datapack ORDER BY sample_score DESC, trace_id) AS r, count(*) OVER (PARTITION BY datapack) AS n FROM t)
+SELECT datapack, trace_id, sample_score FROM r WHERE r <= floor(n * 0.1)""", "spans")
+_add("k02_online_sampling", lambda s, d: sampling.online(fx.spans(s, d), 0.1).select("datapack", "trace_id", "span_id"), f"SELECT datapack, trace_id, span_id FROM spans WHERE {_SCORE} > 1 - 0.1", "spans")
+_add("k08_rank_services", lambda s, d: sampling.rank_services(fx.spans(s, d).where("status_code = 'Error'").withColumn("v", F.col("duration")), "v"), """
+WITH g AS (SELECT datapack, service_name, CAST(sum(duration) AS BIGINT) AS total FROM spans WHERE status_code = 'Error' AND service_name <> 'loadgenerator' GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY datapack ORDER BY total DESC, service_name) AS rank FROM g""", "spans")
+_add("w11_baseline_slices", lambda s, d: detect.baseline_slices(fx.spans(s, d)), """
+WITH r AS (SELECT datapack, span_name, duration / 1e9 AS s, row_number() OVER (PARTITION BY datapack, span_name ORDER BY duration, span_id) - 1 AS i, count(*) OVER (PARTITION BY datapack, span_name) AS n FROM spans WHERE period = 'normal')
+SELECT datapack, span_name, count(*) AS n, round(coalesce(avg(s) FILTER (i >= floor(n * CAST(0.85 AS DOUBLE)) AND i < floor(n * CAST(0.95 AS DOUBLE))), avg(s)), 6) AS base_p90, round(coalesce(avg(s) FILTER (i >= floor(n * CAST(0.9 AS DOUBLE)) AND i < floor(n * CAST(0.99 AS DOUBLE))), avg(s)), 6) AS base_p95,
+  round(coalesce(avg(s) FILTER (i >= floor(n * CAST(0.95 AS DOUBLE))), avg(s)), 6) AS base_p99 FROM r GROUP BY datapack, span_name""", "spans")
+_add("d02_statistical_detector", lambda s, d: detect.statistical_detector(fx.metrics(s, d), 1.5, 0.5), """
+WITH h AS (SELECT datapack, service_name, metric, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM metrics WHERE period = 'normal' GROUP BY ALL HAVING count(value) >= 5),
+x AS (SELECT datapack, service_name, metric, seq, value, CASE WHEN sd > 0 THEN abs(value - m) / sd END AS z, a, b FROM metrics JOIN h USING (datapack, service_name, metric) WHERE period = 'abnormal'),
+k AS (SELECT *, CASE WHEN z > 1.5 THEN 'z-score' WHEN value < a - 0.5 * (b - a) OR value > b + 0.5 * (b - a) THEN 'iqr' END AS kind FROM x)
+SELECT datapack, service_name, metric, seq, value, round(z, 6) AS z, kind FROM k WHERE kind IS NOT NULL""", "metrics")
+_add("d03_trend_detector", lambda s, d: detect.trend_detector(fx.metrics(s, d), 10, 2.0), """
+WITH v AS (SELECT datapack, service_name, metric, seq, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(value) OVER w AS n FROM metrics WINDOW w AS (PARTITION BY datapack, service_name, metric ORDER BY time, seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+SELECT datapack, service_name, metric, seq, value, CASE WHEN value > m THEN 'spike' ELSE 'drop' END AS kind, round(m, 6) AS mean FROM v WHERE n = 10 AND abs(value - m) > 2.0 * sd""", "metrics")
+_STATS = "count(*) AS n, round(avg(duration / 1e9), 10) AS avg_duration, round(quantile_cont(duration / 1e9, 0.9), 8) AS p90, round(quantile_cont(duration / 1e9, 0.95), 8) AS p95, round(quantile_cont(duration / 1e9, 0.99), 8) AS p99, round(count(*) FILTER (status_code <> 'Error') / count(*), 6) AS succ_rate"
+_CONCLUSION = f"""st AS (SELECT datapack, span_name, period, {_STATS} FROM spans GROUP BY datapack, span_name, period), ab AS (SELECT a.datapack, a.span_name,
+  {', '.join(f'a.{k} AS abnormal_{k}, b.{k} AS normal_{k}' for k in ('avg_duration', 'p90', 'p95', 'p99', 'succ_rate'))}, b.n IS NULL AS new FROM st a LEFT JOIN (SELECT * FROM st WHERE period = 'normal') b ON a.datapack = b.datapack AND a.span_name = b.span_name WHERE a.period = 'abnormal'),
+concluded AS (SELECT * EXCLUDE (new), array_to_string(list_filter([{', '.join(f"CASE WHEN (CASE WHEN new THEN abnormal_{k} > {x} ELSE abnormal_{k} > CAST(1.2 AS DOUBLE) * normal_{k} END) THEN '{k}' END" for k, x in (('avg_duration', 3), ('p90', 7), ('p95', 8), ('p99', 10)))},
+  CASE WHEN (CASE WHEN new THEN abnormal_succ_rate < 0.9 ELSE normal_succ_rate - abnormal_succ_rate > CAST(0.05 AS DOUBLE) END) THEN 'succ_rate' END], lambda x: x IS NOT NULL), ',') AS issues FROM ab)"""
+_add("d07_conclusion", lambda s, d: detect.conclusion(fx.spans(s, d)), f"WITH {_CONCLUSION} SELECT * FROM concluded", "spans")
+_add("d08_datapack_summary", lambda s, d: detect.datapack_summary(detect.conclusion(fx.spans(s, d))), f"""WITH {_CONCLUSION},
+g AS (SELECT datapack, count(*) AS endpoints, count(*) FILTER (issues <> '') AS anomalies, count(*) FILTER (contains(issues, 'succ_rate')) AS failing FROM concluded GROUP BY ALL)
+SELECT *, CASE WHEN failing > 0 THEN 'absolute' WHEN anomalies > 0 THEN 'may' ELSE 'none' END AS tag FROM g""", "spans")
+_BEST = "WITH b AS (SELECT algorithm, datapack, min(rank) FILTER (hit AND rank <= 5) AS best FROM rankings GROUP BY ALL)"
+_add("a26_top_k", lambda s, d: evaluate.top_k(fx.rankings(s, d)), f"""{_BEST} SELECT algorithm, datapack, CASE WHEN best <= 1 THEN 1.0 ELSE 0 END AS top1, CASE WHEN best <= 3 THEN 1.0 ELSE 0 END AS top3, CASE WHEN best <= 5 THEN 1.0 ELSE 0 END AS top5,
+  round(greatest(0, 4 - coalesce(best, 9)) / 3, 6) AS avg3, round(greatest(0, 6 - coalesce(best, 9)) / 5, 6) AS avg5, round(coalesce(1 / best, 0), 6) AS mrr FROM b""", "rankings")
+_KS = range(1, 6)
+_add("a28_accuracy_at_k", lambda s, d: evaluate.accuracy_at_k(fx.rankings(s, d)), "WITH b AS (SELECT algorithm, datapack, min(rank) FILTER (hit) AS best FROM rankings GROUP BY ALL), g AS (SELECT algorithm, count(*) AS total, "
+     + ", ".join(f"count(*) FILTER (best <= {k}) AS count_{k}" for k in _KS) + " FROM b GROUP BY ALL) SELECT algorithm, total, " + ", ".join(f"count_{k}, round(count_{k} / total, 6) AS ac_{k}, round(({' + '.join(f'count_{i} / total' for i in range(1, k + 1))}) / {k}, 6) AS avg_{k}" for k in _KS) + " FROM g", "rankings")
+_add("a29_mrr", lambda s, d: evaluate.mean_reciprocal_rank(fx.rankings(s, d)), "WITH b AS (SELECT algorithm, datapack, min(rank) AS best FROM rankings WHERE hit GROUP BY ALL) SELECT algorithm, round(avg(1 / best), 6) AS mrr FROM b GROUP BY ALL", "rankings")
+_add("a30_precision_at_k", lambda s, d: evaluate.precision_at_k(fx.rankings(s, d)), "WITH r AS (SELECT algorithm, datapack, " + ", ".join(f"count(*) FILTER (hit AND rank <= {k}) AS h{k}" for k in _KS) + " FROM rankings GROUP BY ALL) SELECT algorithm, "
+     + ", ".join(f"round(avg(h{k} / {k}), 9) AS p_{k}, round(avg(({' + '.join(f'h{i} / {i}' for i in range(1, k + 1))}) / {k}), 9) AS map_{k}" for k in _KS) + " FROM r GROUP BY ALL", "rankings")
+_add("a32_average_runtime", lambda s, d: evaluate.average_runtime(fx.rankings(s, d)), "WITH r AS (SELECT algorithm, datapack, max(runtime) AS t FROM rankings GROUP BY ALL) SELECT algorithm, round(avg(t), 6) AS avg_runtime, count(*) AS runs FROM r GROUP BY ALL", "rankings")
+_add("a42_common_failures", lambda s, d: evaluate.common_failures(fx.rankings(s, d), 1, 2), "WITH r AS (SELECT algorithm, datapack, max(CASE WHEN hit AND rank <= 1 THEN 1 ELSE 0 END) AS good FROM rankings GROUP BY ALL) SELECT datapack, count(*) FILTER (good = 0) AS failures FROM r GROUP BY ALL HAVING count(*) FILTER (good = 0) >= 2", "rankings")
+_add("a43_outcome", lambda s, d: evaluate.outcome(fx.rankings(s, d)), f"{_BEST} SELECT algorithm, CASE WHEN best = 1 THEN 'top1' WHEN best <= 3 THEN 'top3' WHEN best <= 5 THEN 'top5' ELSE 'failure' END AS outcome, count(*) AS runs FROM b GROUP BY ALL", "rankings")
+_add("a53_pass_at_k", lambda s, d: evaluate.pass_at_k(_judged(s, d), 3), f"""WITH {_JUDGED}, f AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY sample_id) AS a FROM judged), q AS (SELECT question, max(CAST(correct AS INT)) AS good, min(level) AS level FROM f WHERE a <= 3 GROUP BY ALL)
+SELECT level, count(*) AS questions, round(avg(good), 6) AS pass_at_k FROM q GROUP BY ALL""")
+_add("a54_calibration", lambda s, d: evaluate.calibration(_judged(s, d)), f"""WITH {_JUDGED}, g AS (SELECT CAST(least(floor(confidence / 20), 4) AS BIGINT) AS bin, count(*) AS n, avg(CAST(correct AS INT)) AS acc, avg(confidence / 100) AS conf FROM judged GROUP BY ALL)
+SELECT bin, n, round(acc, 6) AS accuracy, round(conf, 6) AS mean_confidence, round(abs(acc - conf) * (n / sum(n) OVER ()), 6) AS weighted_error FROM g""")
