@@ -13,13 +13,14 @@ Only counts and one label a record leave a search, never the pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracejobs.llm.common import drop, small, store
@@ -132,14 +133,17 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, left: np.ndarray, right:
         yield int(r), found[den * overlap >= num * (sizes[found] + sizes[r] - overlap)]
 
 
-def search_block(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """(rep, label, links) of the records of a bin, or of two blocks (side 0 and 1) against one another."""
+def search_block(pdf: pd.DataFrame, num: int, den: int, across: bool = False) -> pd.DataFrame:
+    """(rep, label, links) of the records of a bin, or of two blocks (side 0 and 1) against one another.
+
+    across: two classes, one of which may have nothing in its block.
+    """
     pdf = pdf.drop_duplicates(["rep", "side"]).sort_values("rep", kind="stable").reset_index(drop=True)
     sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
     sizes = np.array([len(s) for s in sets], np.int64)
     copies, side = pdf["copies"].to_numpy(), pdf["side"].to_numpy()
     left = np.nonzero(side == 0)[0]
-    right = left if (side == 0).all() else np.nonzero(side == 1)[0]
+    right = left if not across and (side == 0).all() else np.nonzero(side == 1)[0]
     links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
 
     def top(i: int) -> int:
@@ -209,16 +213,31 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     groups, _ = store(groups, "groups")
     members = groups.join(families, groups.set_lo == families.node).select("rep", "copies", "n", "set_lo", F.col("component").alias("family")).where("rep IS NOT NULL")
     members, _ = store(members, "members")
-    weights, _ = store(members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.sum("n").alias("n")), "weights")
-    bins = weights.where("blocks = 1").agg(F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / BLOCK_SHINGLES)).first()[0] or 1
-    placed = members.drop("n").join(small(weights.drop("n"), SMALL_REPS), "family")
+    # Linked sizes differ by one class at most, so a large family is searched class by class, each with the next.
+    step = math.log(den / num) * (1 + 1e-9) if num < den else 1.0
+    sizes, _ = store(members.withColumn("class", F.floor(F.log("n") / step)).groupBy("family", "class").agg(F.sum("n").alias("n")), "sizes")
+    weights, _ = store(sizes.groupBy("family").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"), F.sum("n").alias("n")), "weights")
+    bins = weights.where("NOT large").agg(F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / BLOCK_SHINGLES)).first()[0] or 1
+    cut = sizes.join(weights.where("large").select("family"), "family").select("family", "class", F.ceil(F.col("n") / BLOCK_SHINGLES).alias("blocks"))
+    near = Window.partitionBy("family").orderBy("class")
+    there = lambda c, k: F.when(F.lag("class", -k).over(near) == F.col("class") + k, F.lag("blocks", -k).over(near)).otherwise(0).alias(c)
+    cut, _ = store(cut.select("family", "class", "blocks", there("up", 1), there("down", -1)), "cut")
+    small_ones = members.join(small(weights.where("NOT large").select("family"), SMALL_REPS), "family", "left_semi").select(
+        F.col("rep").alias("key"), "copies", "set_lo", F.lit(False).alias("split"), F.pmod(F.xxhash64("family"), F.lit(bins)).alias("bin"), F.lit(0).alias("across"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")
+    )
+    large_ones = members.withColumn("class", F.floor(F.log("n") / step)).join(small(cut, SMALL_REPS), ["family", "class"])
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        F.col("rep").alias("key"), "copies", "set_lo", "blocks",
-        F.when(F.col("blocks") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bins))).alias("bin"),
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    place = lambda c, across, i, j, side: F.struct(F.xxhash64("family", c).alias("bin"), F.lit(across).alias("across"), i.alias("i"), j.alias("j"), side.alias("side"))
+    c, o = F.col("class"), F.col("own")
+    places = F.concat(
+        F.transform(upto(F.col("blocks")), lambda x: place(c, 0, F.least(o, x), F.greatest(o, x), F.when(o > x, 1).otherwise(0))),
+        F.transform(upto(F.col("up")), lambda x: place(c, 1, o, x, F.lit(0))),
+        F.transform(upto(F.col("down")), lambda x: place(c - 1, 1, x, o, F.lit(1))),
     )
-    wanted = placed.groupBy("key", "set_lo").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("blocks", "bin", "i", "j", "side")).alias("places"))
+    large_ones = large_ones.withColumn("own", own).select(F.col("rep").alias("key"), "copies", "set_lo", F.lit(True).alias("split"), F.inline(places))
+    placed = small_ones.unionByName(large_ones)
+    wanted = placed.groupBy("key", "set_lo").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("split", "bin", "across", "i", "j", "side")).alias("places"))
     wanted, _ = store(wanted, "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +251,8 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     fetched = rows.join(small(wanted, SMALL_REPS), "key").select("key", "text", "set_lo", "copies", "places").mapInArrow(sets, f"rep long, copies long, places {kind}, shingles binary")
     blocks = fetched.select("rep", "copies", "shingles", F.inline("places"))
     searched, _ = store(
-        blocks.withColumn("split", F.col("blocks") > 1).groupBy("split", "bin", "i", "j").applyInPandas(
-            lambda k, pdf: search_block(pdf, num, den).assign(split=bool(k[0])), "rep long, label long, links long, split boolean"
+        blocks.groupBy("split", "bin", "across", "i", "j").applyInPandas(
+            lambda k, pdf: search_block(pdf, num, den, bool(k[2])).assign(split=bool(k[0])), "rep long, label long, links long, split boolean"
         ),
         "searched",
     )
