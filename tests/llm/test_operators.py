@@ -1,0 +1,79 @@
+"""The training-data operators against brute force on small inputs."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tracejobs.llm import embed_dedup, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, warc
+
+DOCS = "doc_id long, text string, source string, lang string, key string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = " ".join(f"w{i % 37}x{i}" for i in range(120))
+    texts = [base, base, base.replace("w5x5 ", "other "), "A b\tc", "a  b c", "", None, " \n ", "one two", "word " * 5000]
+    return spark.createDataFrame([(i, t, "s" if i % 3 else None, None, "clash") for i, t in enumerate(texts)], DOCS)
+
+
+def test_exact_dedup(docs):
+    found = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    assert len(found) == 10 and found[1].keep_id == 0 and not found[1].kept and found[0].group_size == 2
+    assert found[5].group_size == 2 and found[6].keep_id == 5 and found[7].text_sha256 == hashlib.sha256(b" ").hexdigest()
+
+
+def test_misra_gries():
+    values = ["a"] * 40 + [str(i) for i in range(60)]
+    assert "a" in exact_dedup.misra_gries(Counter(values), 2)
+
+
+def test_ngram_join(docs):
+    found = {r.doc_id: r for r in ngram_join.ngram_join(docs, n=3, num=80, den=100).collect()}
+    assert [found[i].component_id for i in range(10)] == [0, 0, 0, 3, 3, 5, 6, 7, 8, 9]
+    assert found[0].n_links == 2 and found[5].n_shingles == 0 and found[8].n_shingles == 1 and found[9].n_shingles == 1
+
+
+def test_mix(docs):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 10 and all(0 <= r.taken <= 3 * r.size for r in rows)
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=repr)
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    pieces = packing.pack_documents(docs, with_ids=True).toPandas()
+    for r in docs.collect():
+        own = pieces[pieces.doc_id == r.doc_id].sort_values("start")
+        assert np.frombuffer(b"".join(own.ids), "<u4").tolist() == tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]
+    total = pieces.groupby("sequence_id").length.sum()
+    assert all(n == 4096 or n & (n - 1) == 0 for n in total)
+
+
+def test_embed_dedup(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.05], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], 1), (5, [0.0, 0.0], 0), (6, None, 0), (7, [float("nan"), 1.0], 0), (8, [1.0, 0.0], None)]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.embed_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), **{i: (0, i, True) for i in (4, 5, 6, 7, 8)}}
+
+
+def test_warc(spark):
+    rows = [(1, "http://a/\n", "é" * 600), (2, None, "é" * 600), (3, "u", None), (4, "u", "x" * 700_000)]
+    found = {r.page_id: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1].record_type == "revisit" and found[1].refers_to == 2 and found[1].payload_bytes == 1200
+    assert found[4].payload_digest == hashlib.sha1(b"x" * 700_000).hexdigest() and found[3].payload_bytes == 0
+
+
+def test_html(spark):
+    page = "<body><nav>Menu</nav><p>Same line</p><p>%s &eacute;</p><div class='ad'>Buy</div></body>"
+    rows = [(1, "http://a/x/1", page % "one"), (2, "http://a/x/2", page % "two"), (3, "http://b/", "<article><h1>T</h1><p>a<p>b</article><footer>f</footer>"), (4, None, None)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert found[3] == "T\n\na\n\nb" and found[4] == "" and found[1].endswith("one é")
+
+
+def test_license(spark):
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.txt", "text"), (3, "d.txt", None), (4, None, "Licensed under the Apache License, Version 2.0.")]
+    found = {r.doc_id: (r.licence, r.origin) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert found == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: (None, "none"), 4: ("Apache-2.0", "own")}

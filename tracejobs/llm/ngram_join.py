@@ -74,6 +74,8 @@ class Segments:
     def of(self, s: np.ndarray) -> np.ndarray:
         """A linked set's size is in the same interval or in a neighbour; the larger one's interval rules."""
         n, out = len(s), []
+        if not n:
+            return np.empty(0, np.uint64)
         own = int(np.searchsorted(self.low, n, side="right")) - 1
         for j in (own, own + 1):
             if self.differ[j] == 0 or j > own and n * self.den < self.low[j] * self.num:
