@@ -48,3 +48,41 @@ def test_stream_is_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("sli").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("sli").agg(F.sum("total_count")).first()[0] == batch.count()
+
+
+def test_nearest_and_interval(spark):
+    from tracejobs.operators.timejoins import interval_join, nearest_join
+
+    at = lambda rows: spark.createDataFrame(rows, "k string, s long, seq long").selectExpr("k", "timestamp_seconds(s) AS time", "seq")
+    left, right = at([("a", 10, 1), ("a", 20, 2), ("b", 5, 3), (None, 1, 4)]), at([("a", 10, 7), ("a", 10, 8), ("a", 24, 9), ("a", 16, 6)])
+    assert {r.seq: r.r_seq for r in nearest_join(left, right, ["k"], "seq").collect()} == {1: 8, 2: 6, 3: None, 4: None}
+    assert {(r.seq, r.r_seq) for r in interval_join(left, right, ["k"], 4).collect()} == {(1, 7), (1, 8), (2, 6), (2, 9)}
+
+
+def test_set_scores_and_distances(spark):
+    from tracejobs.operators.coverage import distances, set_scores
+
+    e = lambda rows: spark.createDataFrame(rows, "datapack string, src string, dst string")
+    r = {x.datapack: x for x in set_scores(e([("d", "a", "b"), ("d", "a", "c"), ("d", "a", "c")]), e([("d", "a", "b"), ("f", "x", "y")]), ["datapack"]).collect()}
+    assert (r["d"].matched, r["d"].missed, r["d"].extra, r["d"].f1, r["f"].recall) == (1, 0, 1, 0.666667, 0.0)
+    found = distances(e([("d", "a", "b"), ("d", "b", "c"), ("d", "c", "a"), ("d", "a", "c"), ("d", "z", "y")]), "a").collect()
+    assert {(x.service_name, x.distance) for x in found} == {("a", 0), ("b", 1), ("c", 1)}
+
+
+def test_latest_and_names(spark):
+    from tracejobs.functions.names import epoch_time, http_span_name, json_message, level_of
+    from tracejobs.operators.evaluate import latest
+
+    runs = spark.createDataFrame([("a", None, 9), ("a", 3, 1), ("a", 3, 2), ("b", None, 4)], "k string, t long, id long")
+    assert {x.k: x.id for x in latest(runs, ["k"], "t", "id").collect()} == {"a": 2, "b": 4}
+    r = spark.range(1).select(
+        json_message(F.lit('{"log": "x"}')).alias("a"), json_message(F.lit("plain")).alias("b"), level_of(F.lit("at WARNING: x")).alias("c"), level_of(F.lit("none")).alias("d"),
+        http_span_name(F.lit("HTTP POST http://svc:80/a/b")).alias("e"), *[F.unix_seconds(epoch_time(F.lit(1_700_000_000 * k))).alias(f"t{k}") for k in (1, 10**3, 10**6, 10**9)],
+    ).first()
+    assert tuple(r) == ("x", "plain", "WARN", None, "POST /a/b", *[1_700_000_000] * 4)
+
+
+def test_threshold(spark):
+    rows = [("d", "s", "m", i, v) for i, v in enumerate([5.0, 20.0, 16.0, 1.0, 0.0, None, -1.0, 10.5])]
+    found = detect.threshold_detector(spark.createDataFrame(rows, "datapack string, service_name string, metric string, seq long, value double"), 2.0, 10.0).collect()
+    assert {r.seq: (r.kind, r.severity) for r in found} == {1: ("high", "critical"), 2: ("high", "major"), 3: ("low", "critical"), 4: ("low", "critical"), 6: ("low", "critical"), 7: ("high", "minor")}

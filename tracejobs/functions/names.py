@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,32 @@ def component_name(name: Column) -> Column:
     """Trimmed, without a kind before a bar, in lower case, without a leading ts- and without hyphens."""
     bare = F.lower(F.regexp_replace(F.trim(name), r"^[^|]*\|", ""))
     return F.replace(F.regexp_replace(bare, "^ts-", ""), F.lit("-"), F.lit(""))
+
+
+def search(rows: DataFrame, column: str, term: str, regex: bool = False, case: bool = False) -> DataFrame:
+    """Rows whose column holds the term: literally, or as a pattern."""
+    if regex:
+        return rows.where(F.col(column).rlike(term if case else f"(?i){term}"))
+    return rows.where(F.col(column).contains(term) if case else F.lower(column).contains(term.lower()))
+
+
+def json_message(body: Column, field: str = "log") -> Column:
+    """The field of a JSON body, or the body where it is no JSON or lacks the field."""
+    return F.coalesce(F.get_json_object(body, f"$.{field}"), body)
+
+
+def level_of(message: Column) -> Column:
+    """The first level word of a message, WARNING as WARN, null without one."""
+    found = F.regexp_extract(message, r"\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b", 1)
+    return F.when(found == "WARNING", "WARN").when(found != "", found)
+
+
+def epoch_time(x: Column) -> Column:
+    """Seconds, milli-, micro- or nanoseconds since 1970, told apart by magnitude, as a timestamp."""
+    micros = F.when(x < 1e11, x * 1e6).when(x < 1e14, x * 1e3).when(x < 1e17, x).otherwise(x / 1e3)
+    return F.timestamp_micros(micros.cast("long"))
+
+
+def http_span_name(name: Column) -> Column:
+    """'HTTP POST http://service:port/path' as 'POST /path'; other names as they are."""
+    return F.regexp_replace(name, r"^HTTP (\w+) https?://[^/]+(/.*)?$", "$1 $2")

@@ -62,3 +62,11 @@ def datapack_summary(concluded: DataFrame) -> DataFrame:
     """Per datapack: endpoints, those with issues, and a tag."""
     out = concluded.groupBy("datapack").agg(F.count(F.lit(1)).alias("endpoints"), F.count_if(F.col("issues") != "").alias("anomalies"), F.count_if(F.col("issues").contains("succ_rate")).alias("failing"))
     return out.withColumn("tag", F.when(F.col("failing") > 0, "absolute").when(F.col("anomalies") > 0, "may").otherwise("none"))
+
+
+def threshold_detector(metrics: DataFrame, low: float, high: float) -> DataFrame:
+    """Points outside the bounds; severity by how many times over or under: critical from 2, major from 1.5."""
+    v = F.col("value")
+    times = F.when(v > high, v / high).when(v > 0, low / F.when(v > 0, v)).otherwise(2.0)
+    severity = F.when(times >= 2, "critical").when(times >= 1.5, "major").otherwise("minor")
+    return metrics.where((v > high) | (v < low)).select("datapack", "service_name", "metric", "seq", "value", F.when(v > high, "high").otherwise("low").alias("kind"), severity.alias("severity"))

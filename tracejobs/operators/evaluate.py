@@ -71,3 +71,17 @@ def calibration(samples: DataFrame, bins: int = 5) -> DataFrame:
     per = samples.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("acc"), F.avg(F.col("confidence") / 100).alias("conf"))
     total = F.sum("n").over(Window.partitionBy())  # one row a bin
     return per.select("bin", "n", F.round("acc", 6).alias("accuracy"), F.round("conf", 6).alias("mean_confidence"), F.round(F.abs(F.col("acc") - F.col("conf")) * ratio(F.col("n"), total), 6).alias("weighted_error"))
+
+
+def ranking_rollup(rankings: DataFrame) -> DataFrame:
+    """Runs, hits at 1, mean reciprocal rank and runtime by (algorithm, dataset) and by algorithm, from one pass over the runs."""
+    runs = rankings.groupBy("algorithm", "dataset", "datapack").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("best"), F.max("runtime").alias("t"))
+    sets = runs.groupingSets([["algorithm", "dataset"], ["algorithm"]], "algorithm", "dataset")
+    return sets.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("best") <= 1).alias("count_1"), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("t"), 6).alias("avg_runtime"))
+
+
+def latest(runs: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """Per key the row of the latest time, null times last, ties by the greater ``tie``: an aggregate, so map tasks reduce first."""
+    rest = [c for c in runs.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(time).isNotNull(), F.col(time), F.col(tie)))
+    return runs.groupBy(*keys).agg(best.alias("best")).select(*keys, *[F.col("best")[c].alias(c) for c in rest])

@@ -60,3 +60,17 @@ def leaf_errors(spans: DataFrame) -> DataFrame:
     """Error spans none of whose children is an error."""
     errors = spans.where("status_code = 'Error'")
     return errors.join(_children(errors).distinct(), [*KEY, "span_id"], "left_anti")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Out and in degree of every service that an edge touches."""
+    ends = edges.select("datapack", F.inline(F.array(F.struct(F.col("src").alias("service_name"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("service_name"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+    return ends.groupBy("datapack", "service_name").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+
+
+def operation_times(spans: DataFrame) -> DataFrame:
+    """Per trace and operation: spans, their summed durations, their children's, first and last start."""
+    own = exclusive_duration(spans)
+    return own.groupBy(*KEY, "service_name", "span_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration").alias("total"), F.sum(F.col("duration") - F.col("exclusive")).alias("inner_total"), F.min("time").alias("first"), F.max("time").alias("last")
+    )

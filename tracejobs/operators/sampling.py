@@ -30,3 +30,10 @@ def rank_services(candidates: DataFrame, value: str) -> DataFrame:
     """Services of a datapack by their summed value, ties by name, the load generator left out."""
     summed = candidates.where("service_name <> 'loadgenerator'").groupBy("datapack", "service_name").agg(F.sum(value).alias("total"))
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy("datapack").orderBy(F.desc("total"), "service_name")))
+
+
+def random_ranking(spans: DataFrame, seed: int = 0) -> DataFrame:
+    """The abnormal period's services of a datapack in an order that follows from the seed."""
+    found = spans.where("period = 'abnormal' AND trim(service_name) <> ''").select("datapack", F.col("service_name").alias("name")).distinct()
+    mixed = F.md5(F.concat("datapack", F.lit(":"), "name", F.lit(f":{seed}")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("datapack").orderBy(mixed, "name")))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracejobs.operators import detect, evaluate, joins, sampling, sli, structure
+from tracejobs.functions import names
+from tracejobs.operators import compare, coverage, detect, evaluate, joins, sampling, sli, structure, timejoins
 from tracejobs.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +146,99 @@ _add("a53_pass_at_k", lambda s, d: evaluate.pass_at_k(_judged(s, d), 3), f"""WIT
 SELECT level, count(*) AS questions, round(avg(good), 6) AS pass_at_k FROM q GROUP BY ALL""")
 _add("a54_calibration", lambda s, d: evaluate.calibration(_judged(s, d)), f"""WITH {_JUDGED}, g AS (SELECT CAST(least(floor(confidence / 20), 4) AS BIGINT) AS bin, count(*) AS n, avg(CAST(correct AS INT)) AS acc, avg(confidence / 100) AS conf FROM judged GROUP BY ALL)
 SELECT bin, n, round(acc, 6) AS accuracy, round(conf, 6) AS mean_confidence, round(abs(acc - conf) * (n / sum(n) OVER ()), 6) AS weighted_error FROM g""")
+
+
+def _levels(spark: SparkSession, d: str, *levels: str) -> DataFrame:
+    return fx.logs(spark, d).where(F.col("level").isin(*levels)).select("service_name", "time", "trace_id")
+
+
+def _metric(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return fx.metrics(spark, d).where(F.col("metric") == name)
+
+
+def _edges_of(spark: SparkSession, d: str, period: str) -> DataFrame:
+    return joins.service_graph(fx.spans(spark, d).where(F.col("period") == period))
+
+
+_ENTRIES = "first AS (SELECT datapack, trace_id, arg_min(struct_pack(span_id, span_name, duration), struct_pack(time, span_id)) AS e FROM spans WHERE parent_span_id = '' GROUP BY ALL), entries AS (SELECT datapack, trace_id, e.span_id, e.span_name, e.duration FROM first)"
+_PERIOD_EDGES = _EDGES.replace("WHERE", "WHERE p.period = '{p}' AND c.period = '{p}' AND")
+
+_add("j08_exact_log_spans", lambda s, d: fx.logs(s, d).select("trace_id", "span_id", "level").join(fx.spans(s, d).select("trace_id", "span_id", "service_name"), ["trace_id", "span_id"]).distinct(),
+     "SELECT DISTINCT l.trace_id, l.span_id, level, s.service_name FROM logs l JOIN spans s ON l.trace_id = s.trace_id AND l.span_id = s.span_id", "spans", "logs")
+_add("j09_interval_join", lambda s, d: timejoins.interval_join(_levels(s, d, "ERROR"), _levels(s, d, "WARN"), ["service_name"], 60).select("service_name", "trace_id", "r_trace_id"), """
+SELECT a.service_name, a.trace_id, b.trace_id AS r_trace_id FROM logs a JOIN logs b ON a.service_name = b.service_name AND abs(epoch_us(a.time) - epoch_us(b.time)) <= 60000000 WHERE a.level = 'ERROR' AND b.level = 'WARN'""", "logs")
+_add("j10_nearest_join", lambda s, d: timejoins.nearest_join(_metric(s, d, "purchase"), _metric(s, d, "error"), ["datapack", "service_name"], "seq"), """
+WITH l AS (SELECT * FROM metrics WHERE metric = 'purchase'), r AS (SELECT * FROM metrics WHERE metric = 'error'),
+x AS (SELECT l.datapack, l.service_name, l.seq, r.seq AS r_seq, row_number() OVER (PARTITION BY l.seq ORDER BY abs(epoch_us(l.time) - epoch_us(r.time)), r.time > l.time, CASE WHEN r.time <= l.time THEN -r.seq ELSE r.seq END) AS i FROM l LEFT JOIN r ON l.datapack = r.datapack AND l.service_name = r.service_name)
+SELECT datapack, service_name, seq, r_seq FROM x WHERE i = 1""", "metrics")
+_add("j17_period_delta", lambda s, d: compare.period_delta(fx.spans(s, d)), """
+WITH g AS (SELECT datapack, service_name, span_name, avg(duration) FILTER (period = 'abnormal') / 1e6 AS bad, coalesce(avg(duration) FILTER (period = 'normal') / 1e6, 0) AS good FROM spans GROUP BY ALL)
+SELECT datapack, service_name, span_name, round(bad, 6) AS bad, round(good, 6) AS good, round(bad - good, 6) AS delta FROM g WHERE bad IS NOT NULL""", "spans")
+_add("j21_degrees", lambda s, d: joins.degrees(joins.service_graph(fx.spans(s, d))), f"""
+WITH e AS ({_EDGES}), x AS (SELECT datapack, src AS service_name, 1 AS o, 0 AS i FROM e UNION ALL SELECT datapack, dst, 0, 1 FROM e)
+SELECT datapack, service_name, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM x GROUP BY ALL""", "spans")
+_add("a06_max_duration", lambda s, d: compare.max_duration(fx.spans(s, d), "day"), "SELECT datapack, CAST(date_trunc('day', time) AS TIMESTAMP) AS time, max(duration) AS max_duration FROM spans GROUP BY ALL", "spans")
+_add("a07_golden_signals", lambda s, d: compare.golden_signals(fx.spans(s, d), 240.0), """
+SELECT datapack, period, service_name, round(avg(duration) / 1e6, 6) AS avg_ms, round(quantile_cont(duration / 1e6, 0.5), 6) AS p50, round(quantile_cont(duration / 1e6, 0.95), 6) AS p95, round(quantile_cont(duration / 1e6, 0.99), 6) AS p99,
+  round(count(*) / 240.0, 9) AS rps, round(count(*) FILTER (status_code = 'Error') / count(*) * 100, 6) AS error_percent, round(count(*) FILTER (status_code = 'Error') / 240.0, 9) AS eps FROM spans GROUP BY ALL""", "spans")
+_add("a11_operation_rates", lambda s, d: compare.operation_rates(fx.spans(s, d)), """
+WITH g AS (SELECT datapack, period, service_name, span_name, count(*) AS n, (epoch_us(max(time)) - epoch_us(min(time))) / 60e6 AS m, avg(CASE WHEN status_code = 'Error' THEN 1.0 ELSE 0.0 END) AS e FROM spans GROUP BY ALL)
+SELECT datapack, period, service_name, span_name, round(CASE WHEN m > 0 THEN n / m ELSE CAST(n AS DOUBLE) END, 9) AS qpm, round(e, 6) AS error_rate FROM g""", "spans")
+_add("a14_service_error_rates", lambda s, d: compare.service_error_rates(fx.spans(s, d)), """
+WITH g AS (SELECT datapack, service_name, span_name, avg(CASE WHEN status_code = 'Error' THEN 1.0 ELSE 0.0 END) FILTER (period = 'normal') AS n, avg(CASE WHEN status_code = 'Error' THEN 1.0 ELSE 0.0 END) FILTER (period = 'abnormal') AS a FROM spans GROUP BY ALL)
+SELECT datapack, service_name, round(avg(n), 6) AS normal, round(avg(a), 6) AS abnormal, count(*) AS functions FROM g WHERE n IS NOT NULL AND a IS NOT NULL GROUP BY ALL""", "spans")
+_add("a10_indicator_stats", lambda s, d: compare.indicator_stats(fx.metrics(s, d)), """
+WITH r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY datapack, service_name, metric, period) AS n FROM metrics WHERE value IS NOT NULL WINDOW w AS (PARTITION BY datapack, service_name, metric, period ORDER BY value))
+SELECT datapack, service_name, metric, period, count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean, """ + ", ".join(f"round(avg(value) FILTER (i >= floor(n * CAST({p} AS DOUBLE)) AND i < n - floor(n * CAST({p} AS DOUBLE))), 6) AS trimmed_{int(p * 100)}" for p in (0.05, 0.1, 0.25)) + ", "
+     + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM r GROUP BY datapack, service_name, metric, period", "metrics")
+_add("a15_varying_metrics", lambda s, d: compare.varying_metrics(fx.metrics(s, d)), "SELECT datapack, service_name, metric FROM metrics GROUP BY ALL HAVING max(value) - min(value) >= 1e-8", "metrics")
+_add("a17_row_counts", lambda s, d: fx.spans(s, d).groupBy("datapack").count().select("datapack", F.lit("traces").alias("signal"), F.col("count").alias("n")).unionByName(fx.logs(s, d).groupBy("datapack").count().select("datapack", F.lit("logs").alias("signal"), F.col("count").alias("n"))).unionByName(fx.metrics(s, d).groupBy("datapack").count().select("datapack", F.lit("metrics").alias("signal"), F.col("count").alias("n"))), """
+SELECT datapack, 'traces' AS signal, count(*) AS n FROM spans GROUP BY ALL UNION ALL SELECT datapack, 'logs', count(*) FROM logs GROUP BY ALL UNION ALL SELECT datapack, 'metrics', count(*) FROM metrics GROUP BY ALL""", "spans", "logs", "metrics")
+_add("a19_normal_durations", lambda s, d: compare.normal_durations(fx.spans(s, d)), "SELECT datapack, max(duration / 1e9) AS longest, min(duration / 1e9) AS shortest, round(avg(duration) / 1e9, 6) AS mean, round(quantile_cont(duration / 1e9, 0.5), 6) AS median FROM spans WHERE period = 'normal' GROUP BY ALL", "spans")
+_add("a33_ranking_rollup", lambda s, d: evaluate.ranking_rollup(fx.rankings(s, d).withColumn("dataset", F.concat(F.lit("d"), F.col("datapack") % 5))), """
+WITH b AS (SELECT algorithm, 'd' || (datapack % 5) AS dataset, datapack, min(rank) FILTER (hit) AS best, max(runtime) AS t FROM rankings GROUP BY ALL)
+SELECT algorithm, dataset, count(*) AS total, count(*) FILTER (best <= 1) AS count_1, round(avg(coalesce(1 / best, 0)), 6) AS mrr, round(avg(t), 6) AS avg_runtime FROM b GROUP BY GROUPING SETS ((algorithm, dataset), (algorithm))""", "rankings")
+_add("w01_latest_execution", lambda s, d: evaluate.latest(fx.read(s, d, "orders"), ["o_orderpriority", "o_custkey"], "o_orderdate", "o_orderkey").select("o_orderpriority", "o_custkey", "o_orderkey"), """
+SELECT o_orderpriority, o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS i FROM orders) WHERE i = 1""")
+_add("w02_first_entry", lambda s, d: coverage.first_entry(fx.spans(s, d)), f"WITH {_ENTRIES} SELECT * FROM entries", "spans")
+_add("w13_rank_sum", lambda s, d: compare.rank_sum(fx.spans(s, d)), """
+WITH r AS (SELECT datapack, span_name, period, rank() OVER w + (count(*) OVER (PARTITION BY datapack, span_name, duration) - 1) / 2 AS rank, count(*) OVER (PARTITION BY datapack, span_name, duration) AS t FROM spans WINDOW w AS (PARTITION BY datapack, span_name ORDER BY duration)),
+g AS (SELECT datapack, span_name, count(*) FILTER (period = 'normal') AS n1, count(*) FILTER (period = 'abnormal') AS n2, sum(rank) FILTER (period = 'normal') AS r, sum(CAST(t AS DOUBLE) * t - 1) AS ties, count(*) AS n FROM r GROUP BY ALL),
+u AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, n1 * CAST(n2 AS DOUBLE) AS p FROM g WHERE n1 >= 10 AND n2 >= 10)
+SELECT datapack, span_name, n1, n2, u, round(greatest(0, abs(u - p / 2) - 0.5) / sqrt(p / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u""", "spans")
+_add("d13_node_anomalies", lambda s, d: compare.node_anomalies(fx.metrics(s, d), 0.2), "WITH g AS (SELECT datapack, service_name, metric, " + ", ".join(f"round({f} FILTER (period = '{p}'), 9) AS {p}_{k}" for k, f in (("mean", "avg(value)"), ("std", "stddev_samp(value)"), ("p90", "quantile_cont(value, 0.9)")) for p in ("normal", "abnormal"))
+     + " FROM metrics GROUP BY ALL), x AS (" + " UNION ALL ".join(f"SELECT datapack, service_name, metric, '{k}' AS stat, normal_{k} AS a, abnormal_{k} AS b FROM g" for k in ("mean", "std", "p90")) + """)
+SELECT datapack, service_name, metric, stat, round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 1 END ELSE (b - a) / a END, 6) AS diff FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND abs(round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 1 END ELSE (b - a) / a END, 6)) > CAST(0.2 AS DOUBLE)""", "metrics")
+_add("d01_threshold_detector", lambda s, d: detect.threshold_detector(fx.metrics(s, d), 10.0, 150.0), """
+SELECT datapack, service_name, metric, seq, value, CASE WHEN value > 150 THEN 'high' ELSE 'low' END AS kind, CASE WHEN x >= 2 THEN 'critical' WHEN x >= 1.5 THEN 'major' ELSE 'minor' END AS severity
+FROM (SELECT *, CASE WHEN value > 150 THEN value / 150 WHEN value > 0 THEN 10 / value ELSE 2 END AS x FROM metrics WHERE value > 150 OR value < 10)""", "metrics")
+_add("e06_edge_scores", lambda s, d: coverage.set_scores(_edges_of(s, d, "abnormal"), _edges_of(s, d, "normal"), ["datapack"]), f"""
+WITH f AS ({_PERIOD_EDGES.format(p='abnormal')}), t AS ({_PERIOD_EDGES.format(p='normal')}),
+g AS (SELECT coalesce(f.datapack, t.datapack) AS datapack, count(f.src) AS f, count(t.src) AS t, count(*) FILTER (f.src IS NOT NULL AND t.src IS NOT NULL) AS matched FROM f FULL JOIN t ON f.datapack = t.datapack AND f.src = t.src AND f.dst = t.dst GROUP BY ALL)
+SELECT datapack, matched, t - matched AS missed, f - matched AS extra, round(CASE WHEN f > 0 THEN matched / f ELSE 0 END, 6) AS precision, round(CASE WHEN t > 0 THEN matched / t ELSE 0 END, 6) AS recall, round(2 * matched / (f + t), 6) AS f1 FROM g""", "spans")
+_add("k11_rare_entries", lambda s, d: coverage.rare_entries(fx.spans(s, d), 0.03), f"""
+WITH {_ENTRIES}, n AS (SELECT datapack, span_name, count(*) AS n FROM entries GROUP BY ALL), p AS (SELECT *, round(n / sum(n) OVER (PARTITION BY datapack), 6) AS part FROM n)
+SELECT * FROM p WHERE part < CAST(0.03 AS DOUBLE)""", "spans")
+_add("t07_pattern_entropy", lambda s, d: coverage.pattern_entropy(fx.spans(s, d), _samples(s, d)), """WITH RECURSIVE t AS (
+  SELECT datapack, trace_id, span_id, service_name || ':' || span_name AS label, 1 AS level FROM spans WHERE parent_span_id = '' AND trace_id % 10 = 0
+  UNION ALL SELECT c.datapack, c.trace_id, c.span_id, c.service_name || ':' || c.span_name, t.level + 1 FROM t JOIN spans c ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id),
+e AS (SELECT datapack, trace_id, string_agg(label, ' -> ' ORDER BY level, label) AS code FROM t GROUP BY ALL), n AS (SELECT datapack, code, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT datapack, n / sum(n) OVER (PARTITION BY datapack) AS p FROM n)
+SELECT datapack, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS patterns FROM p GROUP BY ALL""", "spans")
+_add("t09_sampler_scores", lambda s, d: coverage.sampler_scores(fx.spans(s, d), _samples(s, d), 0.1, 0.03), f"""
+WITH {_ENTRIES}, n AS (SELECT datapack, span_name, count(*) AS n, count(*) FILTER (trace_id % 10 = 0) AS s FROM entries GROUP BY ALL), x AS (SELECT *, n / sum(n) OVER (PARTITION BY datapack) < CAST(0.03 AS DOUBLE) AS rare FROM n),
+g AS (SELECT datapack, CAST(sum(n) AS BIGINT) AS traces, CAST(sum(s) AS BIGINT) AS sampled, count(*) FILTER (s > 0) AS k, count(*) AS types, CAST(coalesce(sum(s) FILTER (rare), 0) AS BIGINT) AS rare_sampled, stddev_pop(s) FILTER (s > 0) AS sd, avg(s) FILTER (s > 0) AS m FROM x GROUP BY ALL)
+SELECT datapack, traces, sampled, round(sampled / traces, 6) AS actual_rate, round(abs(sampled / traces - CAST(0.1 AS DOUBLE)) / CAST(0.1 AS DOUBLE), 6) AS controllability, round(k / types, 6) AS api_coverage, rare_sampled, round(CASE WHEN k > 1 THEN sd / m ELSE 0 END, 6) AS balance_cv FROM g""", "spans")
+_add("t10_span_coverage", lambda s, d: coverage.span_coverage(fx.spans(s, d), _samples(s, d)), """
+WITH g AS (SELECT datapack, count(DISTINCT service_name || '|' || span_name) AS names, count(DISTINCT service_name || '|' || span_name) FILTER (trace_id % 10 = 0) AS sampled_names FROM spans GROUP BY ALL)
+SELECT *, round(sampled_names / names, 6) AS coverage FROM g""", "spans")
+_add("w06_service_distance", lambda s, d: coverage.distances(joins.service_graph(fx.spans(s, d)), "loadgenerator"), f"""WITH RECURSIVE e AS ({_EDGES}),
+w AS (SELECT DISTINCT datapack, src AS service_name, 0 AS distance FROM e WHERE src = 'loadgenerator' UNION SELECT e.datapack, e.dst, w.distance + 1 FROM w JOIN e ON e.datapack = w.datapack AND e.src = w.service_name WHERE w.distance < 8)
+SELECT datapack, service_name, min(distance) AS distance FROM w GROUP BY ALL""", "spans")
+_add("g10_operation_times", lambda s, d: joins.operation_times(fx.spans(s, d)), """
+WITH k AS (SELECT trace_id, parent_span_id, sum(duration) AS d FROM spans WHERE parent_span_id <> '' GROUP BY ALL)
+SELECT s.datapack, s.trace_id, service_name, span_name, count(*) AS n, CAST(sum(duration) AS BIGINT) AS total, CAST(sum(coalesce(k.d, 0)) AS BIGINT) AS inner_total, min(time) AS first, max(time) AS last FROM spans s LEFT JOIN k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id GROUP BY ALL""", "spans")
+_add("g21_random_ranking", lambda s, d: sampling.random_ranking(fx.spans(s, d)), """
+WITH n AS (SELECT DISTINCT datapack, service_name AS name FROM spans WHERE period = 'abnormal' AND trim(service_name) <> '')
+SELECT datapack, name, row_number() OVER (PARTITION BY datapack ORDER BY md5(datapack || ':' || name || ':0'), name) AS rank FROM n""", "spans")
+_add("p17_log_search", lambda s, d: names.search(fx.read(s, d, "documents").select("doc_id", "lang", "text"), "text", "License").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')")
+_add("f05_json_message", lambda s, d: fx.logs(s, d).select("trace_id", names.json_message(F.col("message"), "k").alias("message")), "SELECT trace_id, coalesce(json_extract_string(message, '$.k'), message) AS message FROM logs", "logs")
