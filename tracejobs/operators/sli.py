@@ -17,7 +17,7 @@ def sli_rollup(spans: DataFrame, unit: str = "minute") -> DataFrame:
     """
     ms = F.col("duration") / MS
     grouped = spans.groupBy("datapack", F.date_trunc(unit, "time").alias("time"), "service_name", "span_name").agg(
-        F.array_sort(F.collect_list(ms)).alias("all"), F.min(ms).alias("min_duration"), F.max(ms).alias("max_duration"), F.avg(ms).alias("avg_duration"),
+        F.array_sort(F.collect_list(ms)).alias("all"), F.min(ms).alias("min_duration"), F.max(ms).alias("max_duration"), (F.avg("duration") / MS).alias("avg_duration"),
         F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("status_code") == "Error").alias("error_count"),
     )
     quantiles = [nearest(F.col("all"), q / 100).alias(f"duration_p{q}") for q in (50, 90, 95, 99)]
@@ -47,14 +47,14 @@ def log_error_windows(logs: DataFrame, length: str) -> DataFrame:
 def duration_windows(spans: DataFrame, length: str) -> DataFrame:
     """Per window and service: the mean of positive durations in ms."""
     window = F.window("time", length)["start"].alias("time")
-    return spans.where("duration > 0").groupBy("datapack", window, "service_name").agg(F.round(F.avg(F.col("duration") / MS), 6).alias("avg_ms"))
+    return spans.where("duration > 0").groupBy("datapack", window, "service_name").agg(F.round(F.avg("duration") / MS, 6).alias("avg_ms"))
 
 
 def span_stats(spans: DataFrame) -> DataFrame:
     """Per service and span: calls, errors, error rate, and ms statistics with linear quantiles."""
     ms = F.col("duration") / MS
     out = spans.groupBy("service_name", "span_name").agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status_code") == "Error").alias("errors"), F.avg(ms).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status_code") == "Error").alias("errors"), (F.avg("duration") / MS).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
         F.percentile(ms, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)])).alias("q"),
     )
     return out.select("service_name", "span_name", "calls", "errors", F.round(ratio(F.col("errors"), F.col("calls")), 6).alias("error_rate"), F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", *[F.round(F.col("q")[i], 8).alias(f"p{n}") for i, n in enumerate((50, 90, 95, 99))])

@@ -42,7 +42,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 _JUDGED = "judged AS (SELECT doc_id AS sample_id, doc_id % 50 AS question, quality = 1 AS correct, toxic AS level, (doc_id * 7) % 101 AS confidence FROM labels)"
 
 _add("a02_sli_rollup", lambda s, d: sli.sli_rollup(fx.spans(s, d), "month"), """
-WITH g AS (SELECT datapack, date_trunc('month', time) AS time, service_name, span_name, list_sort(list(duration / 1e6)) AS l, avg(duration / 1e6) AS a, count(*) AS total_count, count(*) FILTER (status_code = 'Error') AS error_count FROM spans GROUP BY ALL)
+WITH g AS (SELECT datapack, date_trunc('month', time) AS time, service_name, span_name, list_sort(list(duration / 1e6)) AS l, avg(duration) / 1e6 AS a, count(*) AS total_count, count(*) FILTER (status_code = 'Error') AS error_count FROM spans GROUP BY ALL)
 SELECT datapack, CAST(time AS TIMESTAMP) AS time, service_name, span_name, l[1] AS min_duration, l[len(l)] AS max_duration, round(a, 6) AS avg_duration, l[CAST(round(0.5 * (len(l) - 1)) AS INT) + 1] AS duration_p50, l[CAST(round(0.9 * (len(l) - 1)) AS INT) + 1] AS duration_p90,
   l[CAST(round(0.95 * (len(l) - 1)) AS INT) + 1] AS duration_p95, l[CAST(round(0.99 * (len(l) - 1)) AS INT) + 1] AS duration_p99, total_count, error_count FROM g""", "spans")
 _add("a01_endpoint_stats", lambda s, d: sli.endpoint_stats(fx.spans(s, d), ["datapack", "period", "span_name"]), f"""
@@ -71,9 +71,9 @@ SELECT datapack, time_bucket(INTERVAL 7 DAYS, time, TIMESTAMP '1970-01-01') AS t
 _add("a04_log_error_windows", lambda s, d: sli.log_error_windows(fx.logs(s, d), "1 day"), """
 SELECT datapack, time_bucket(INTERVAL 1 DAY, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(CASE WHEN level IN ('WARN', 'ERROR') THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM logs GROUP BY ALL""", "logs")
 _add("a05_duration_windows", lambda s, d: sli.duration_windows(fx.spans(s, d), "7 days"), """
-SELECT datapack, time_bucket(INTERVAL 7 DAYS, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(duration / 1e6), 6) AS avg_ms FROM spans WHERE duration > 0 GROUP BY ALL""", "spans")
+SELECT datapack, time_bucket(INTERVAL 7 DAYS, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(duration) / 1e6, 6) AS avg_ms FROM spans WHERE duration > 0 GROUP BY ALL""", "spans")
 _add("a25_span_stats", lambda s, d: sli.span_stats(fx.spans(s, d)), """
-SELECT service_name, span_name, count(*) AS calls, count(*) FILTER (status_code = 'Error') AS errors, round(count(*) FILTER (status_code = 'Error') / count(*), 6) AS error_rate, round(avg(duration / 1e6), 6) AS avg_ms, min(duration / 1e6) AS min_ms, max(duration / 1e6) AS max_ms,
+SELECT service_name, span_name, count(*) AS calls, count(*) FILTER (status_code = 'Error') AS errors, round(count(*) FILTER (status_code = 'Error') / count(*), 6) AS error_rate, round(avg(duration) / 1e6, 6) AS avg_ms, min(duration / 1e6) AS min_ms, max(duration / 1e6) AS max_ms,
   round(quantile_cont(duration / 1e6, 0.5), 8) AS p50, round(quantile_cont(duration / 1e6, 0.9), 8) AS p90, round(quantile_cont(duration / 1e6, 0.95), 8) AS p95, round(quantile_cont(duration / 1e6, 0.99), 8) AS p99 FROM spans GROUP BY ALL""", "spans")
 _add("a13_call_probability", lambda s, d: sli.call_probability(fx.spans(s, d)), f"""
 WITH e AS ({_EDGES}), h AS (SELECT DISTINCT datapack, period, service_name, trace_id FROM spans), n AS (SELECT datapack, period, service_name, count(*) AS n FROM h GROUP BY ALL),
