@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
-    cell = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__.startswith(("int", "float")) else str(v)
+    cell = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__.startswith(("int", "float")) else str(v)
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
