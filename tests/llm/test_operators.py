@@ -59,6 +59,28 @@ def test_embed_dedup(spark):
     assert found == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), **{i: (0, i, True) for i in (4, 5, 6, 7, 8)}}
 
 
+def test_embed_dedup_chains(spark, monkeypatch):
+    """Chains of links whose middle may have the largest id, within a cell, across cells and across blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(1, [1.0, 0.0], 0), (2, [float(np.cos(np.pi / 9)), float(np.sin(np.pi / 9))], 0), (3, [float(np.cos(np.pi / 18)), float(np.sin(np.pi / 18))], 0)]
+    ids = rng.permutation(np.arange(10, 130)).tolist()
+    for family in range(12):  # ten vectors 8 to 13 degrees apart: most neighbours link, no others
+        turn = np.cumsum(rng.uniform(8, 13, 10)) * np.pi / 180
+        rows += [(ids.pop(), [float(np.cos(t)), float(np.sin(t))], 1 + family % 4) for t in turn]
+    keys, units = [r[0] for r in rows], np.array([r[1] for r in rows])
+    same = np.array([r[2] for r in rows])
+    linked = (units @ units.T >= 0.98) & (same[:, None] == same) & ~np.eye(len(rows), dtype=bool)
+    low = np.array(keys)
+    for _ in rows:
+        low = np.minimum(low, np.where(linked, low, 1 << 40).min(axis=1))
+    expected = {k: (int(n), int(c), bool(k == c)) for k, n, c in zip(keys, linked.sum(axis=1), low)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for cell, block in ((2_000, 2_048), (30, 10)):
+        monkeypatch.setattr(embed_dedup, "CELL", cell)
+        monkeypatch.setattr(embed_dedup, "BLOCK", block)
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.embed_dedup(frame).collect()} == expected
+
+
 def test_warc(spark):
     rows = [(1, "http://a/\n", "é" * 600), (2, None, "é" * 600), (3, "u", None), (4, "u", "x" * 700_000)]
     found = {r.page_id: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

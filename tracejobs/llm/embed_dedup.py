@@ -54,15 +54,20 @@ def cells_of(x: np.ndarray, c: np.ndarray, threshold: float) -> list[np.ndarray]
 
 
 def search_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(rep, label, links) of the records of a block: rows of side 0 against all others; guests get no links here."""
+    """(rep, label, links) of the records of a block: home rows of side 0 against all others.
+
+    label: the smallest rep that the links found here reach. Home rows of side 0 come always; any other row has
+    no links counted here and comes only if its label is not its own.
+    """
     pdf = pdf.drop_duplicates(["rep", "side"]).sort_values(["rep", "side"], kind="stable").reset_index(drop=True)
     v = np.array(pdf["vector"].tolist(), np.float64)
     norm = np.linalg.norm(v, axis=1)
     unit = v / norm[:, None]
     rep, copies, home = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["home"].to_numpy()
-    left = np.nonzero((pdf["side"] == 0).to_numpy() & home)[0]
+    leads = (pdf["side"] == 0).to_numpy() & home
+    left = np.nonzero(leads)[0]
     right = np.arange(len(pdf)) if (pdf["side"] == 0).all() else np.nonzero((pdf["side"] == 1).to_numpy())[0]
-    links, low = np.zeros(len(pdf), np.int64), rep.copy()
+    links, label = np.zeros(len(pdf), np.int64), rep.copy()
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
         cosine = unit[rows] @ unit[right].T
@@ -72,8 +77,12 @@ def search_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             linked[i, j] = a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= threshold
         linked &= rep[rows][:, None] != rep[right][None, :]
         links[rows] += linked @ copies[right]
-        low[rows] = np.minimum(low[rows], np.where(linked, rep[right][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-    return pd.DataFrame({"rep": rep[left], "low": low[left], "links": links[left]})
+        for i in np.nonzero(linked.any(axis=1))[0]:  # every link counts: all that a row meets is one component from here on
+            met = np.unique(np.append(label[right[linked[i]]], label[rows[i]]))
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+    told = leads | (label != rep)
+    return pd.DataFrame({"rep": rep[told], "label": label[told], "links": links[told]})
 
 
 def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -119,9 +128,9 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     follow = sized.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1)")))
     follow = follow.where("NOT (home AND i = j)").withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(1))
     dealt = lead.unionByName(follow).select("label", "cell", "i", "j", "side", "home", "rep", "copies", "vector")
-    found = dealt.groupBy("label", "cell", "i", "j").applyInPandas(lambda pdf: search_block(pdf, threshold), "rep long, low long, links long")
+    found = dealt.groupBy("label", "cell", "i", "j").applyInPandas(lambda pdf: search_block(pdf, threshold), "rep long, label long, links long")
     found, _ = store(found, "found")
-    joined = connected_components(found.where("rep <> low"), "rep", "low")
+    joined = connected_components(found.where("rep <> label"), "rep", "label")
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(joined, F.col("rep") == F.col("node"), "left")
     groups = groups.join(links.select(F.col("rep").alias("r"), "links", "component"), F.col("rep") == F.col("r"), "left")
     groups = groups.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
