@@ -95,6 +95,23 @@ def test_html(spark):
     assert found[3] == "T\n\na\n\nb" and found[4] == "" and found[1].endswith("one é")
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><article><p>Body</p></article></div>",
+    "<div class='content no-sidebar'><main><p>Body</p></main></div>",
+    "<div class='post comments-open'><article><p>Body</p></article></div>",
+    "<form id='aspnetForm'><nav>Menu</nav><article><p>Body</p></article><div class='related'><article>T</article></div></form>",
+    "<form id='aspnetForm'><nav>Menu</nav><p>Body</p></form>",
+    "<div class='sidebar'><article><p>Body</p></article></div>",
+    "<aside><main><p>Body</p></main></aside>",
+    "<article><p>Body</p><div class='ad'>A longer advert</div><form>Send</form></article><div id='comments'><article>Me too</article></div>",
+    "<article><div class='related-work social-policy'>Body</div><div class='related-posts'>More</div></article>",
+])
+def test_html_layout(page):
+    lines, has_main = html_extract.lines_of(f"<html><body class='x'>{page}</body></html>")
+    assert [t for t, main, furniture in lines if not furniture and (main or not has_main)] == ["Body"]
+    assert has_main == ("<article" in page or "<main" in page)
+
+
 def test_license(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.txt", "text"), (3, "d.txt", None), (4, None, "Licensed under the Apache License, Version 2.0.")]
     found = {r.doc_id: (r.licence, r.origin) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
