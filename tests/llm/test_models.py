@@ -72,3 +72,15 @@ def test_pipeline_stages(spark, rows):
     from tracejobs.llm.mixing import mix
 
     assert mixed.columns == docs.columns and dict(taken) == {r.doc_id: r.taken for r in mix(docs).collect() if r.taken}
+
+
+def test_pipeline_rows_without_own_key(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(w), "en", "a", None) for k, w in ((None, words[:40]), (None, words[:40]), (9, words[20:]), (9, words[20:]), (9, words[20:] + ["more"]), (8, words[::-1]), (None, words[::-1] + ["x"]))]
+    docs = spark.createDataFrame(rows, DOCS)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns and Counter((r.doc_id, r.text) for r in exact.collect()) == Counter({(k, t): 1 for k, t, *_ in rows})
+    near = corpus_pipeline.drop_near_copies(spark, exact, "")
+    assert near.columns == docs.columns
+    left = Counter((r.doc_id, len(r.text.split())) for r in near.collect())
+    assert left in (Counter({(None, 40): 1, (9, 40): 1, (8, 60): 1}), Counter({(None, 40): 1, (9, 41): 1, (8, 60): 1}))

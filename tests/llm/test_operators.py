@@ -24,6 +24,16 @@ def test_exact_dedup(docs):
     assert found[5].group_size == 2 and found[6].keep_id == 5 and found[7].text_sha256 == hashlib.sha256(b" ").hexdigest()
 
 
+def test_exact_dedup_keeps_one(spark):
+    rows = [(None, "two"), (None, "two"), (None, "mixed"), (5, "mixed"), (4, "mixed"), (7, "again"), (7, "again "), (7, "again"), (None, "single")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k in (3, 1024):
+        found = exact_dedup.exact_dedup(frame, k=k).collect()
+        assert len(found) == len(rows) and len({r.text_sha256 for r in found}) == 5
+        assert Counter(r.text_sha256 for r in found if r.kept) == Counter({r.text_sha256: 1 for r in found})
+        assert all(r.doc_id == r.keep_id for r in found if r.kept)
+
+
 def test_misra_gries():
     values = ["a"] * 40 + [str(i) for i in range(60)]
     assert "a" in exact_dedup.misra_gries(Counter(values), 2)

@@ -60,34 +60,36 @@ def frequent(df: DataFrame, column: str, k: int = COUNTERS) -> DataFrame:
     return level.groupBy(F.lit(0).alias("g")).applyInPandas(merged, f"v {kind}, n long").select(F.col("v").alias(column))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = COUNTERS) -> DataFrame:
-    """One row per input row: key, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = COUNTERS, row: str | None = None) -> DataFrame:
+    """One row per input row: key, keep_id, group_size, kept, text_sha256, and the column ``row`` if one is named.
 
     Texts are equal when identical after each run of white space became one space; null counts as empty. Of
-    equal texts the row with the smallest key stays: keep_id is its key. Rows that repeat that key with an equal
-    text are all marked as kept, as nothing tells them apart; a null key is never kept while its group has
-    another, and a group with null keys alone has a null keep_id and keeps none but group_size 1. Other columns
-    of any name are ignored.
+    equal texts exactly one row is kept, one with the smallest key, which is keep_id; a null key is kept only in
+    a group without any other, whose keep_id is null. Of rows that repeat that key one is chosen by ``row``, a
+    number that tells rows apart, else by a number given here. Other columns of any name are ignored.
     """
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
     digests, _ = store(
-        docs.select(F.col(key).alias("key"), F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "), 256).alias("sha")),
+        docs.select(F.col(key).alias("key"), F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " "), 256).alias("sha"), number.alias("row")),
         "digests",
     )
     candidates, _ = store(frequent(digests, "sha", k), "frequent")
-    totals = [F.min("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    totals = [first.alias("first"), F.count(F.lit(1)).alias("group_size")]
     # at most k rows, checked by construction of the summary
     heavy, _ = store(digests.join(F.broadcast(candidates), "sha", "left_semi").groupBy("sha").agg(*totals), "heavy")
     hot = digests.join(F.broadcast(heavy), "sha")
     same = Window.partitionBy("sha")
     cold = digests.join(F.broadcast(heavy.select("sha")), "sha", "left_anti").select(
-        "sha", "key", F.min("key").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")
+        "sha", "key", "row", first.over(same).alias("first"), F.count(F.lit(1)).over(same).alias("group_size")
     )
-    return hot.select("sha", "key", "keep_id", "group_size").unionByName(cold).select(
+    return hot.select("sha", "key", "row", "first", "group_size").unionByName(cold).select(
         F.col("key").alias(key),
-        "keep_id",
+        F.col("first.key").alias("keep_id"),
         "group_size",
-        F.coalesce(F.col("key") == F.col("keep_id"), F.col("group_size") == 1).alias("kept"),
+        (F.col("row") == F.col("first.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row").alias(row)] if row else []),
     )
 
 
