@@ -6,9 +6,11 @@ import re
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 import corpus_pipeline
+from tracejobs.llm import toxicity as toxicity_model
 from tracejobs.llm.lm_score import lm_score
 from tracejobs.llm.toxicity import toxicity
 
@@ -46,6 +48,18 @@ def test_toxicity(spark, rows):
     assert found[302].predicted == found[303].predicted == 0
 
 
+def test_toxicity_under_other_label_counts(rows):
+    """Of the rows that fit the two numbers, nine times as many ordinary ones move no score."""
+    train = pd.DataFrame([(r[1] + (" " + RUDE[0] if r[0] % 22 == 0 else ""), r[0] % 2, r[0] // 2 % 4) for r in rows[:300]], columns=["text", "toxic", "fold"])
+    more = pd.concat([train] + [train[(train["fold"] == 0) & (train["toxic"] == 0)]] * 8, ignore_index=True)
+    texts, scores = [" ".join(WORDS[:12] + RUDE[:1] * k) for k in range(12)] + [" ".join(WORDS[:2 * k] + RUDE) for k in range(12)], []
+    for part in (train, more):
+        model, numbers = toxicity_model.fit(part)
+        sums = toxicity_model.Scorer(model).sums(texts)
+        scores.append(toxicity_model.probability(sums[:, 0] / (sums[:, 1] + toxicity_model.FEW), numbers))
+    assert any(0.01 < p < 0.99 for p in scores[0]) and scores[1] == pytest.approx(scores[0], rel=1e-6)
+
+
 def test_pipeline_stages(spark, rows):
     docs = spark.createDataFrame(rows, DOCS)
     exact = corpus_pipeline.drop_exact_copies(spark, docs, "")

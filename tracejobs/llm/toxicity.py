@@ -27,6 +27,8 @@ SHARED = 2
 SAMPLE = 4_000
 #: One in so many of them fits the two numbers instead of the counts.
 FOLDS = 4
+#: Ordinary documents for each toxic one that the two numbers are fitted to, whatever the sample or the table has.
+RATIO = 9.0
 THRESHOLD = 0.7
 #: Texts are judged as if so many neutral words were added, so that very short ones stay near even.
 FEW = 15
@@ -152,15 +154,29 @@ def probability(x: np.ndarray, numbers: tuple[float, float, float, float]) -> np
     return 1 / (1 + np.exp(-np.clip(slope * np.clip((x - centre) / scale, -SPAN, SPAN) + intercept, -500, 500)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[float, float, float, float]:
-    """(centre, scale, slope, intercept) of a logistic fit by Newton steps."""
-    low, centre, high = np.quantile(x, (0.1, 0.5, 0.9)).tolist() if len(x) else (0.0, 0.0, 0.0)
+def quantile(x: np.ndarray, weights: np.ndarray, q: tuple[float, ...]) -> list[float]:
+    """The smallest values that have at least the parts q of the weight at or below them."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(weights[order])
+    return [float(x[order[min(np.searchsorted(upto, part * upto[-1] * (1 - 1e-9)), len(x) - 1)]]) for part in q]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3, ratio: float = RATIO) -> tuple[float, float, float, float]:
+    """(centre, scale, slope, intercept) of a logistic fit by Newton steps, rows of class 0 weighing ``ratio`` times those of 1 in all.
+
+    So the numbers, and what passes the threshold, do not move with how many rows of each class there are. Centre
+    and scale see both classes alike, so that the outer tenths are one of each.
+    """
+    ones = int(y.sum())
+    even = np.where(y == 1, 1.0, ones / (len(y) - ones)) if 0 < ones < len(y) else np.ones(len(y))
+    weights = np.where(y == 1, even, ratio * even) if 0 < ones < len(y) else even
+    low, centre, high = quantile(x, even, (0.1, 0.5, 0.9)) if len(x) else (0.0, 0.0, 0.0)
     scale = high - low or 1.0
     z = np.stack([np.clip((x - centre) / scale, -SPAN, SPAN), np.ones(len(x))], 1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(z.T @ (z * (weights * p * (1 - p))[:, None]) + ridge * np.eye(2), z.T @ (weights * (y - p)) - ridge * w)
         w += np.clip(step, -3, 3)
     return centre, scale, float(w[0]), float(w[1])
 
