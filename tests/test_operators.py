@@ -86,3 +86,13 @@ def test_threshold(spark):
     rows = [("d", "s", "m", i, v) for i, v in enumerate([5.0, 20.0, 16.0, 1.0, 0.0, None, -1.0, 10.5])]
     found = detect.threshold_detector(spark.createDataFrame(rows, "datapack string, service_name string, metric string, seq long, value double"), 2.0, 10.0).collect()
     assert {r.seq: (r.kind, r.severity) for r in found} == {1: ("high", "critical"), 2: ("high", "major"), 3: ("low", "critical"), 4: ("low", "critical"), 6: ("low", "critical"), 7: ("high", "minor")}
+
+
+def test_distances_reach_all(spark):
+    from tracejobs.operators.coverage import distances
+
+    chain = spark.createDataFrame([("d", f"s{i}", f"s{i + 1}") for i in range(18)], "datapack string, src string, dst string").coalesce(1)
+    assert {r.service_name: r.distance for r in distances(chain, "s0").collect()} == {f"s{i}": i for i in range(19)}
+    assert distances(chain, "s16", most=2).count() == 3
+    with pytest.raises(ValueError):
+        distances(chain, "s15", most=2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +78,10 @@ def set_scores(found: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "matched", (F.col("true") - F.col("matched")).alias("missed"), (F.col("found") - F.col("matched")).alias("extra"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def distances(edges: DataFrame, source: str, most: int = 16) -> DataFrame:
-    """(datapack, service_name, distance) from the source along edges, for services reached in ``most`` hops.
+def distances(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
+    """(datapack, service_name, distance) from the source along edges, for all services reached.
+
+    A service farther than ``most`` hops, if that is given, raises an error.
 
     Service graphs are small (distinct names), but the steps are joins all the same; each is cut by a checkpoint
     where the session names a folder.
@@ -87,10 +91,12 @@ def distances(edges: DataFrame, source: str, most: int = 16) -> DataFrame:
     edges = keep(edges.select("datapack", "src", "dst").distinct())
     front = edges.where(F.col("src") == source).select("datapack", F.col("src").alias("service_name"), F.lit(0).alias("distance")).distinct()
     found = front
-    for hop in range(1, most + 1):
+    for hop in count(1):
         step = front.join(edges.withColumnRenamed("src", "service_name"), ["datapack", "service_name"]).select("datapack", F.col("dst").alias("service_name"), F.lit(hop).alias("distance")).distinct()
         front = keep(step.join(found.select("datapack", "service_name"), ["datapack", "service_name"], "left_anti"))
         if front.isEmpty():
             break
+        if most is not None and hop > most:
+            raise ValueError(f"a service is farther than {most} hops")
         found = found.unionByName(front)
     return found
