@@ -98,3 +98,22 @@ def test_pipeline_rows_without_own_key(spark):
     assert near.columns == docs.columns
     left = Counter((r.doc_id, len(r.text.split())) for r in near.collect())
     assert left in (Counter({(None, 40): 1, (9, 40): 1, (8, 60): 1}), Counter({(None, 40): 1, (9, 41): 1, (8, 60): 1}))
+
+
+def test_pipeline_clashing_columns(spark, rows):
+    """Columns named like those that stages make pass through unchanged, as do all stages over no rows."""
+    names = ["predicted", "score", "gone_row", "text_sha256", "component_id", "size", "taken", "first_word", "mixed", "share", "whole", "pipeline_row", "linked_row", "keep_id", "key", "row", "set_id", "carried_0", "group"]
+    plain = spark.createDataFrame(rows, DOCS)
+    more = spark.createDataFrame([(*r, *[r[0]] * len(names)) for r in rows], DOCS + "".join(f", {c} long" for c in names))
+    labels = spark.createDataFrame([(r[0], 1, r[0] % 2) for r in rows[:300]], "doc_id long, quality int, toxic int")
+    read, corpus_pipeline.tables = corpus_pipeline.tables, lambda *_: labels
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            found = stage(spark, more, "")
+            kept = Counter((r.doc_id, r.text if "text" in r else None) for r in stage(spark, plain, "").collect())
+            assert Counter((r.doc_id, r.text if "text" in r else None) for r in found.collect()) == kept
+            if stage is not corpus_pipeline.pack:
+                assert found.columns == more.columns and all(r[c] == r.doc_id for r in found.collect() for c in names)
+            assert stage(spark, more.limit(0), "").count() == 0
+    finally:
+        corpus_pipeline.tables = read

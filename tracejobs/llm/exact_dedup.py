@@ -35,20 +35,24 @@ def frequent(df: DataFrame, column: str, k: int = COUNTERS) -> DataFrame:
     are no values. An empty table has none.
     """
 
+    def listed(kept: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"v": pd.Series(list(kept.keys()), dtype=object), "n": pd.Series(list(kept.values()), dtype="int64")})
+
     def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: Counter = Counter()
         for pdf in batches:
             part = pdf.groupby("v", sort=False)["n"].sum()
             kept.update(dict(zip(part.index, map(int, part))))
             kept = misra_gries(kept, k)
-        yield pd.DataFrame({"v": list(kept.keys()), "n": list(kept.values())})
+        if kept:
+            yield listed(kept)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: Counter = Counter()
         for _, part in pdf.groupby("part", sort=False):
             kept.update(dict(zip(part["v"], map(int, part["n"]))))
             kept = misra_gries(kept, k)
-        return pd.DataFrame({"v": list(kept.keys()), "n": list(kept.values())})
+        return listed(kept)
 
     kind = dict(df.dtypes)[column]
     first = (
