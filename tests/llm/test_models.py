@@ -48,16 +48,60 @@ def test_toxicity(spark, rows):
     assert found[302].predicted == found[303].predicted == 0
 
 
-def test_toxicity_under_other_label_counts(rows):
-    """Of the rows that fit the two numbers, nine times as many ordinary ones move no score."""
-    train = pd.DataFrame([(r[1] + (" " + RUDE[0] if r[0] % 22 == 0 else ""), r[0] % 2, r[0] // 2 % 4) for r in rows[:300]], columns=["text", "toxic", "fold"])
-    more = pd.concat([train] + [train[(train["fold"] == 0) & (train["toxic"] == 0)]] * 8, ignore_index=True)
-    texts, scores = [" ".join(WORDS[:12] + RUDE[:1] * k) for k in range(12)] + [" ".join(WORDS[:2 * k] + RUDE) for k in range(12)], []
-    for part in (train, more):
-        model, numbers = toxicity_model.fit(part)
-        sums = toxicity_model.Scorer(model).sums(texts)
-        scores.append(toxicity_model.probability(sums[:, 0] / (sums[:, 1] + toxicity_model.FEW), numbers))
-    assert any(0.01 < p < 0.99 for p in scores[0]) and scores[1] == pytest.approx(scores[0], rel=1e-6)
+def test_toxicity_ratios_against_plain_counts(rows):
+    """The model's ratios from dictionaries of counts, letter by letter."""
+    order, own = toxicity_model.ORDER, toxicity_model.OWN
+    counts: dict = {}
+    for k, text, *_ in rows[:120]:
+        for w in set(text.split()):
+            counts.setdefault(w, [0, 0])[1 - k % 2] += 1
+    counts |= {"ünï": [3, 0], "x": [0, 4]}
+    grams, contexts = {}, {}
+    pad = lambda w: bytes(order - 1) + w.encode() + b"\n"
+    for w, (t, o) in counts.items():
+        for i in range(len(w.encode()) + 1):
+            g = pad(w)[i : i + order]
+            for d, key in ((grams, g), (contexts, g[:-1])):
+                d[key] = (d.get(key, (0, 0))[0] + t, d.get(key, (0, 0))[1] + o)
+    prior = sum(t for t, _ in counts.values()) / sum(t + o for t, o in counts.values())
+
+    def ratio(w):
+        out = 0.0
+        for i in range(len(w.encode()) + 1):
+            g = pad(w)[i : i + order]
+            if g not in grams:
+                continue
+            (t, o), (ct, co) = grams[g], contexts[g[:-1]]
+            part = (ct + own * prior) / (ct + co + own)
+            mine = (t + own * part) / (t + o + own)
+            out += math.log(mine / (1 - mine) / (part / (1 - part)))
+        return max(out, toxicity_model.FLOOR)
+
+    words = [*counts, "unseen", RUDE[0] + "s", RUDE[1][:5], "é", ""]
+    n = [[c[i] for c in counts.values()] for i in (0, 1)]
+    model = toxicity_model.Model([w.encode() for w in counts], *(toxicity_model.np.array(x, float) for x in n))
+    found = model.ratios([w.encode() for w in words])
+    assert found.tolist() == pytest.approx([ratio(w) for w in words], abs=1e-9) and max(found) > 1
+
+
+def test_toxicity_under_other_label_counts():
+    """Nine times as many ordinary rows move no number of the fit."""
+    rng = random.Random(1)
+    x, y = [rng.gauss(2 * (i % 2), 1) for i in range(400)], [i % 2 for i in range(400)]
+    more = [(a, b) for a, b in zip(x, y) for _ in range(1 if b else 9)]
+    fits = [toxicity_model.logistic(*(toxicity_model.np.array(v, float) for v in pair)) for pair in ((x, y), zip(*more))]
+    assert fits[1] == pytest.approx(fits[0], rel=1e-6) and fits[0][2] > 0
+
+
+def test_toxicity_repeated_and_null_keys(spark, rows):
+    """Training is the same however rows that repeat a key are ordered; null keys and empty tables are scored."""
+    labels = spark.createDataFrame([(r[0], 1, r[0] % 2) for r in rows[:300]] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    more = [(r[0], r[1], r[0], "clash") for r in rows] + [(k, rows[k + 1][1], k, "clash") for k in range(0, 40)] + [(None, rows[1][1], 0, "clash"), (None, None, 0, "clash"), (None, "long " * 50_000, 0, "clash")]
+    kind = "doc_id long, text string, score long, toxic string"
+    ways = [sorted(map(tuple, toxicity(spark.createDataFrame(order, kind), labels).collect()), key=repr) for order in (more, more[::-1])]
+    assert ways[0] == ways[1] and len(ways[0]) == len(more)
+    assert toxicity(spark.createDataFrame([], kind), labels).count() == 0
+    assert all(r.score == 0 for r in toxicity(spark.createDataFrame(more, kind), labels.where("toxic = 0 AND doc_id > 0")).collect())
 
 
 def test_pipeline_stages(spark, rows):

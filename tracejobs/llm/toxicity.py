@@ -1,10 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models over the letters of words, one learnt from toxic and one from ordinary documents, interpolate their
-own counts of ORDER letters with one shared Kneser-Ney distribution, whose continuation counts come from both
-classes. So a rare expression is judged by its stem, and what neither class has seen speaks for neither. A
-document's two log-likelihoods are compared by length; two numbers, fitted on documents that the counts have
-not seen, turn that into a probability.
+Two models over the letters of words share one Kneser-Ney distribution learnt from toxic and ordinary documents
+together. Each class tilts it by its part in the shared counts: the likelihood of an n-gram in a class is the
+shared one times the class's part in the n-gram over its part in the context, parts being smoothed by the context's,
+OWN documents strong. So a rare expression is judged by its stem, and what is seen never speaks for neither. As both likelihoods
+hold the shared one, it cancels in their ratio and is never computed. A document's ratio is taken by length; two
+numbers turn it into a probability. They are fitted on all labelled documents of the sample, each judged by
+models that know the other folds alone.
 """
 
 from __future__ import annotations
@@ -18,22 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracejobs.llm.common import drop, store
+
 #: Letters of an n-gram, at most 8, so that one fits a 64-bit number exactly.
-ORDER = 5
-DISCOUNT = 0.75
-#: Up to so many letters the classes share their counts.
-SHARED = 2
+ORDER = 6
+#: Documents that the context's parts weigh against an n-gram's own.
+OWN = 1.0
+#: The least ratio of a word: ordinary words differ by subject and language, so they would say more of these than of toxicity.
+FLOOR = -0.2
 #: At most so many labelled documents of each class are learnt from: those with the smallest hashes.
 SAMPLE = 4_000
-#: One in so many of them fits the two numbers instead of the counts.
+#: Parts of the sample: each is judged by what the others have, to fit the two numbers.
 FOLDS = 4
 #: Ordinary documents for each toxic one that the two numbers are fitted to, whatever the sample or the table has.
 RATIO = 9.0
 THRESHOLD = 0.7
 #: Texts are judged as if so many neutral words were added, so that very short ones stay near even.
 FEW = 15
-#: The fit cuts off what is farther from the median than so many distances of the outer tenths.
-SPAN = 4.0
+#: The fit cuts off what is farther from the ordinary documents' median than so many distances of the outer tenths, below and above.
+SPAN = (-0.5, 4.0)
 #: Words whose ratios a task remembers.
 REMEMBER = 500_000
 
@@ -67,62 +72,29 @@ def total(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
-    """Log-likelihoods of words by class: interpolated Kneser-Ney, with own counts from SHARED + 1 letters on.
-
-    Up to SHARED letters, both classes use the same continuation counts. Each n-gram that either class has seen
-    has its two log-probabilities ready; any other takes its context's two backoff weights and loses a letter.
-    """
+    """Log-likelihood ratios, toxic over ordinary, of words of which ``toxic`` and ``ordinary`` documents hold so many."""
 
-    def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, shared: int = SHARED, d: float = DISCOUNT):
-        grams, of = ngrams(words, order)
-        weights = (toxic[of], ordinary[of])
+    def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, own: float = OWN):
         self.order = order
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(1, order + 1 if words else 1):
-            mask, eight = np.uint64((1 << 8 * k) - 1), np.uint64(8)
-            keys = np.unique(grams & mask)
-            contexts = np.unique(keys >> eight)
-            p, rest = np.zeros((2, len(keys))), np.zeros((2, len(contexts)))
-            # continuation counts: the different letters before a gram; the longest grams have plain counts
-            longer = np.unique(grams & np.uint64((1 << 8 * (k + 1)) - 1)) & mask if k < order else None
-            for c in (0, 1):
-                if k <= shared:
-                    seen, count = total(longer, np.ones(len(longer)))
-                elif k < order:
-                    mine = np.unique((grams & np.uint64((1 << 8 * (k + 1)) - 1))[weights[c] > 0]) & mask
-                    seen, count = total(mine, np.ones(len(mine)))
-                else:
-                    seen, count = total(grams[weights[c] > 0], weights[c][weights[c] > 0])
-                above, n = total(seen >> eight, count)
-                _, types = total(seen >> eight, np.ones(len(seen)))
-                rest[c] = lookup(above, d * types / n, contexts, 1.0)
-                own = np.maximum(lookup(seen, count, keys) - d, 0) / lookup(above, n, keys >> eight, 1.0)
-                p[c] = own + lookup(contexts, rest[c], keys >> eight) * (np.exp(self._log(keys, k - 1)[c]) if k > 1 else 1 / 256)
-            self.levels.append((keys, np.log(p), contexts, np.log(rest)))
-
-    def _log(self, grams: np.ndarray, k: int) -> np.ndarray:
-        """The two log-probabilities of each gram's last letter after the k - 1 letters before it."""
-        out, left = np.zeros((2, len(grams))), np.arange(len(grams))
-        while len(left) and k:
-            keys, p, contexts, rest = self.levels[k - 1]
-            g = grams[left] & np.uint64((1 << 8 * k) - 1)
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            known = keys[at] == g
-            out[:, left[known]] += p[:, at[known]]
-            left, g = left[~known], g[~known] >> np.uint64(8)
-            at = np.minimum(np.searchsorted(contexts, g), len(contexts) - 1)
-            out[:, left] += np.where(contexts[at] == g, rest[:, at], 0.0)
-            k -= 1
-        out[:, left] -= np.log(256)
-        return out
+        self.keys, self.ratio = np.zeros(0, np.uint64), np.zeros(0)
+        if not words:
+            return
+        grams, of = ngrams(words, order)
+        self.keys, t = total(grams, toxic[of])
+        o = total(grams, ordinary[of])[1]
+        contexts, at = np.unique(self.keys >> np.uint64(8), return_inverse=True)
+        both = toxic.sum() + ordinary.sum()
+        part = (np.bincount(at, t) + own * toxic.sum() / both) / (np.bincount(at, t + o) + own)
+        part = np.clip(part, 1e-9, 1 - 1e-9)[at]
+        mine = np.clip((t + own * part) / (t + o + own), 1e-9, 1 - 1e-9)
+        self.ratio = np.log(mine / (1 - mine)) - np.log(part / (1 - part))
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
-        """The toxic less the ordinary log-likelihood of each word."""
-        if not words or not self.levels:
+        """The toxic less the ordinary log-likelihood of each word, FLOOR at least."""
+        if not words or not len(self.keys):
             return np.zeros(len(words))
         grams, of = ngrams(words, self.order)
-        p = self._log(grams, self.order)
-        return np.bincount(of, p[0] - p[1], len(words))
+        return np.maximum(np.bincount(of, lookup(self.keys, self.ratio, grams), len(words)), FLOOR)
 
 
 class Scorer:
@@ -151,7 +123,9 @@ class Scorer:
 
 def probability(x: np.ndarray, numbers: tuple[float, float, float, float]) -> np.ndarray:
     centre, scale, slope, intercept = numbers
-    return 1 / (1 + np.exp(-np.clip(slope * np.clip((x - centre) / scale, -SPAN, SPAN) + intercept, -500, 500)))
+    if intercept == -np.inf:  # nothing was learnt
+        return np.zeros(len(x))
+    return 1 / (1 + np.exp(-np.clip(slope * np.clip((x - centre) / scale, *SPAN) + intercept, -500, 500)))
 
 
 def quantile(x: np.ndarray, weights: np.ndarray, q: tuple[float, ...]) -> list[float]:
@@ -164,15 +138,16 @@ def quantile(x: np.ndarray, weights: np.ndarray, q: tuple[float, ...]) -> list[f
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3, ratio: float = RATIO) -> tuple[float, float, float, float]:
     """(centre, scale, slope, intercept) of a logistic fit by Newton steps, rows of class 0 weighing ``ratio`` times those of 1 in all.
 
-    So the numbers, and what passes the threshold, do not move with how many rows of each class there are. Centre
-    and scale see both classes alike, so that the outer tenths are one of each.
+    So the numbers, and what passes the threshold, do not move with how many rows of each class there are. The
+    scale sees both classes alike, so that the outer tenths are one of each.
     """
     ones = int(y.sum())
     even = np.where(y == 1, 1.0, ones / (len(y) - ones)) if 0 < ones < len(y) else np.ones(len(y))
     weights = np.where(y == 1, even, ratio * even) if 0 < ones < len(y) else even
-    low, centre, high = quantile(x, even, (0.1, 0.5, 0.9)) if len(x) else (0.0, 0.0, 0.0)
+    low, high = quantile(x, even, (0.1, 0.9)) if len(x) else (0.0, 0.0)
+    centre = quantile(x[y == 0], np.ones(len(y) - ones), (0.5,))[0] if ones < len(y) else low
     scale = high - low or 1.0
-    z = np.stack([np.clip((x - centre) / scale, -SPAN, SPAN), np.ones(len(x))], 1)
+    z = np.stack([np.clip((x - centre) / scale, *SPAN), np.ones(len(x))], 1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -181,31 +156,55 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3
     return centre, scale, float(w[0]), float(w[1])
 
 
-def fit(train: pd.DataFrame) -> tuple[Model, tuple[float, float, float, float]]:
-    """From rows (text, toxic, fold): counts from folds over 0, the logistic numbers from fold 0."""
-    counts: dict[bytes, list[int]] = {}
-    for text, toxic in zip(train["text"][train["fold"] > 0], train["toxic"][train["fold"] > 0]):
-        for w in set((text or "").encode("utf-8", "surrogatepass").lower().split()):
-            counts.setdefault(w, [0, 0])[1 - int(toxic)] += 1
-    n = np.array(list(counts.values()), np.float64).reshape(-1, 2)
-    model = Model(list(counts), n[:, 0], n[:, 1])
-    held = train[train["fold"] == 0]
-    sums = Scorer(model).sums(held["text"].tolist())
-    return model, logistic(sums[:, 0] / (sums[:, 1] + FEW), held["toxic"].to_numpy(np.float64))
+def word_counts(train: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """(words, in how many documents of each fold and class each occurs: words x FOLDS x 2, class 0 the toxic one).
+
+    Their number is bounded by the sample's vocabulary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                found.update((w, 2 * fold + 1 - toxic) for w in set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([i for _, i in found], pa.int32()), pa.array(list(found.values()), pa.int32())], ["word", "slot", "n"])
+
+    rows = train.select("text", "toxic", "fold").mapInArrow(run, "word binary, slot int, n int")
+    found = rows.groupBy("word").agg(*[F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i in range(2 * FOLDS)]).orderBy("word").toArrow()
+    return found["word"].to_pylist(), np.stack([found[f"n{i}"].to_numpy() for i in range(2 * FOLDS)], 1).reshape(-1, FOLDS, 2)
+
+
+def model_of(words: list[bytes], counts: np.ndarray, without: int | None = None) -> Model:
+    """The model of all folds but one."""
+    n = counts.sum(axis=1) - (counts[:, without] if without is not None else 0)
+    seen = n.any(axis=1)
+    return Model([w for w, ok in zip(words, seen) if ok], n[seen, 0].astype(np.float64), n[seen, 1].astype(np.float64))
+
+
+def fit(train: DataFrame) -> tuple[Model, tuple[float, float, float, float]]:
+    """From rows (text, toxic, fold): the model of all, and the logistic numbers, from what the models of the other folds say of each fold."""
+    words, counts = word_counts(train)
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = Scorer(model_of(words, counts, int(pdf["fold"].iat[0]))).sums(pdf["text"].tolist())
+        return pd.DataFrame({"toxic": pdf["toxic"], "x": sums[:, 0] / (sums[:, 1] + FEW)})
+
+    judged = train.groupBy("fold").applyInPandas(judge, "toxic int, x double").toPandas().sort_values(["x", "toxic"], ignore_index=True)
+    return model_of(words, counts), logistic(judged["x"].to_numpy(), judged["toxic"].to_numpy(np.float64))
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, toxic: str, size: int) -> pd.DataFrame:
-    """The rows to learn from (text, toxic, fold): at most ``size`` of each class, no row whose crc32 of the key mod 3 is 1.
+def sample(docs: DataFrame, labels: DataFrame, text: str, key: str, toxic: str, size: int) -> DataFrame:
+    """The rows to learn from (key, text, toxic, fold): at most ``size`` of each class, no row whose crc32 of the key mod 3 is 1.
 
-    Of several labels for a key, the largest counts; labels that are null or of no document count for nothing.
+    Of several labels for a key, the largest counts, of several texts the least; labels that are null or of no
+    document count for nothing.
     """
     known = labels.select(F.col(key).cast("long").alias("key"), F.col(toxic).cast("int").alias("toxic")).where("key IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(F.crc32(F.col("key").cast("string").cast("binary")) % 3 != 1).groupBy("key").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("key"), F.col("key")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(size).unionByName(known.where("toxic = 0").orderBy(*order).limit(size))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"])  # 2 * size rows at most
-    found = rows.select("key", "text", "toxic", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FOLDS)).alias("fold")).toPandas()
-    return found.sort_values("key", ignore_index=True)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key")  # 2 * size rows at most
+    return rows.groupBy("key").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FOLDS)).cast("int")).alias("fold"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", threshold: float = THRESHOLD, size: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -216,8 +215,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     of either class to learn from, all scores are 0. Rows that repeat a key are scored each. An empty table
     gives an empty one. Other columns of any name are ignored.
     """
-    train = sample(docs, labels, text, key, toxic, size)
-    model, numbers = (Model([], np.zeros(0), np.zeros(0)), (0.0, 1.0, 0.0, -np.inf)) if train["toxic"].nunique() < 2 else fit(train)
+    train, at_train = store(sample(docs, labels, text, key, toxic, size), "labelled")
+    model, numbers = (Model([], np.zeros(0), np.zeros(0)), (0.0, 1.0, 0.0, -np.inf)) if train.select("toxic").distinct().count() < 2 else fit(train)
+    drop(docs.sparkSession, at_train)
     rows = docs.select(
         F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"),
         F.coalesce(F.crc32(F.col(key).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
