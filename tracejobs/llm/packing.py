@@ -9,10 +9,11 @@ cheapest one with any room.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ END_ID = 2
 GROUP_BYTES = 4_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Words whose ids a task remembers.
-REMEMBER = 1_000_000
+#: Words whose ids a Python worker remembers, from one task to the next.
+REMEMBER = 900_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -60,25 +61,55 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.places, self.stems = _Places(), {b"": b""}
+        self.places, self.stems = _Places(), {}
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.stem_start, self.stem_ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def learn(self) -> None:
-        """ASCII letters are one token run in either case, and a comma or full stop after them is another."""
-        new, self.places.new = self.places.new, []
-        tails = [w[-1:] if w[-1:] in (b",", b".") and w[:-1].isalpha() else b"" for w in new]
-        stems = [w[: len(w) - len(t)] for w, t in zip(new, tails)]
-        stems = [x.lower() if x.isalpha() else x for x in stems]
-        fresh = [x for x in dict.fromkeys(stems + [b",", b"."]) if x not in self.stems]
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in fresh], add_special_tokens=False)):
-            self.stems[x] = array("I", e.ids).tobytes()
-        found = [self.stems[x] + self.stems[t] for x, t in zip(stems, tails)]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        """Letters are one token run, ASCII ones in either case, and the punctuation after them is another."""
+        new, self.places.new = [w.decode("utf-8", "surrogatepass") for w in self.places.new], []
+        parts: list[str] = []
+        for w in new:
+            stem = w.rstrip(punctuation)
+            if not stem.isalpha():
+                parts += (w, "")
+            else:
+                parts += (stem.lower() if stem.isascii() else stem, w[len(stem) :])
+        fresh = [x for x in dict.fromkeys(parts) if x not in self.stems]
+        self.stems.update(zip(fresh, range(len(self.stems), len(self.stems) + len(fresh))))
+        size, ids = self.tokenize(fresh)
+        self.stem_start = np.concatenate([self.stem_start, self.stem_start[-1] + np.cumsum(size)])
+        self.stem_ids = np.concatenate([self.stem_ids, ids])
+        at = np.fromiter(map(self.stems.__getitem__, parts), np.int64, len(parts))
+        size = self.stem_start[at + 1] - self.stem_start[at]
+        made = self.stem_ids[np.repeat(self.stem_start[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size.reshape(-1, 2).sum(axis=1))])
+        self.ids = np.concatenate([self.ids, made])
+
+    def tokenize(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each stem, all their ids). Stems of letters are told apart by commas in long texts, which have an id of their own."""
+        comma = self.comma
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(stems)
+        plain = [i for i, x in enumerate(stems) if x.isalpha()] if len(comma) == 1 else []
+        parts = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        odd = sorted(set(range(len(stems))).difference(plain))
+        texts = [",".join(stems[i] for i in part) for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.nonzero(ids == comma[0])[0]
+            if len(cuts) != len(part) - 1:
+                odd += part
+                continue
+            begins, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            for i, b, c in zip(part, begins, ends):
+                found[i] = ids[b:c]
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([stems[i] for i in odd], add_special_tokens=False)):
+            found[i] = np.array(e.ids, np.uint32)
+        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate([np.zeros(0, np.uint32), *found])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.places) > REMEMBER:
@@ -96,6 +127,12 @@ class Words:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """The worker's own; a word's ids are the same whatever was learnt before."""
+    return Words(path)
+
+
 def capacities(tokens: int, length: int = LENGTH) -> list[int]:
     """Full sequences, then the powers of two of the rest."""
     rest = tokens % length
@@ -140,7 +177,7 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "text"), F.lit(groups)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_of(path)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
