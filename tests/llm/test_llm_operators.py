@@ -126,3 +126,44 @@ def test_license(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.txt", "text"), (3, "d.txt", None), (4, None, "Licensed under the Apache License, Version 2.0.")]
     found = {r.doc_id: (r.licence, r.origin) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert found == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: (None, "none"), 4: ("Apache-2.0", "own")}
+
+
+def test_warc_repeated_ids(spark):
+    """Records that share an id are told apart by their payloads; empty tables are written and read too."""
+    rows = [(1, "u", "a" * 1500, 9), (1, "u", "b" * 2500, 9), (0, "u", "a" * 1500, 9), (0, None, "b" * 2500, 9), (None, "u", "a" * 1500, 9), (None, "u", "c" * 3000, 9), (2, "u", "short", 9), (3, "u", "short", 9)]
+    kind = "page_id long, url string, html string, payload_bytes long"
+    found = warc.warc_round_trip(spark.createDataFrame(rows, kind)).collect()
+    digest = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == Counter(
+        (k, len(x), digest(x), *(("revisit", 1) if x[0] in "ab" and k != 1 else ("response", None))) for k, _, x, _ in rows
+    )
+    assert warc.warc_round_trip(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_embed_dedup_scales_and_lengths(spark, monkeypatch):
+    """Vectors of several lengths, and very large and small ones, against all pairs; more columns of clashing names."""
+    rng = np.random.default_rng(2)
+    rows = [(1, [1e-200, 0.0], 0), (2, [1e-200, 1e-203], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.01], 0), (5, [1e300, 1e298], 0), (6, [1.0, 0.0, 0.0], 0), (7, [1.0, 0.01, 0.0], 0), (8, [], 0), (9, [1.0, float("inf")], 0), (10, [1.0, None], 0)]
+    for _ in range(40):
+        base, width = rng.normal(size=16), int(rng.choice([4, 16]))
+        rows += [(100 + len(rows) + i, (base + 0.1 * rng.normal(size=16))[:width].tolist(), int(rng.integers(2))) for i in range(5)]
+    frame = spark.createDataFrame([(*r, 7, 7) for r in rows], "vec_id long, embedding array<double>, label int, cell int, rep long")
+    good = {k: (np.array(v) / max(map(abs, v)), y) for k, v, y in rows if k not in (8, 9, 10)}
+    linked = {k: [o for o, (u, z) in good.items() if o != k and k in good and good[k][1] == z and len(u) == len(good[k][0]) and u @ good[k][0] / np.sqrt(u @ u) / np.sqrt(good[k][0] @ good[k][0]) >= 0.98] for k, _, _ in rows}
+    low = {k: k for k in linked}
+    for _ in rows:
+        low = {k: min([low[k]] + [low[o] for o in linked[k]]) for k in low}
+    for cell, block in ((2_000, 2_048), (20, 8)):
+        monkeypatch.setattr(embed_dedup, "CELL", cell)
+        monkeypatch.setattr(embed_dedup, "BLOCK", block)
+        found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.embed_dedup(frame).collect()}
+        assert found == {k: (len(linked[k]), low[k], k == low[k]) for k in linked}
+    assert embed_dedup.embed_dedup(frame.limit(0)).count() == 0
+
+
+def test_tokens_of_hostile_words():
+    """Ids word by word are those of the whole text."""
+    words = packing.Words(packing.tokenizer_file())
+    texts = ["\u00c9COLE, \u00e9cole. a,b ..., \u00df. \u0131 \u0130x, \ufb01n. x\u0302y, \u1e8d \u6f22\u5b57, \u6f22. word,. A.B, \u01c5, \u02b0a, \u00aa. \u0661\u0662, \u2167, ", "a\u0301, \u0301. ,a .b a***b*** don't can't, x's", "x" * 300 + ", " + "\u00e9" * 200 + "!?.", "\x1f a\u00a0b\u2003c \u0000", None, "", "under_score a-b, 3.14, $5."]
+    for text in texts + [" ".join(t or "" for t in texts)]:
+        assert words.encode([text])[0].tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]

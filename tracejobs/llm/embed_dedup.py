@@ -27,6 +27,13 @@ BLOCK = 2_048
 ROUNDS = 10
 
 
+def units(vectors: list) -> np.ndarray:
+    """Unit vectors, however large or small the components."""
+    x = np.array(vectors, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """k unit centroids of the unit vectors x, as many as there are different vectors at most."""
     x = np.unique(x, axis=0)
@@ -61,8 +68,8 @@ def search_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """
     pdf = pdf.drop_duplicates(["rep", "side"]).sort_values(["rep", "side"], kind="stable").reset_index(drop=True)
     v = np.array(pdf["vector"].tolist(), np.float64)
-    norm = np.linalg.norm(v, axis=1)
-    unit = v / norm[:, None]
+    v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
     rep, copies, home = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["home"].to_numpy()
     leads = (pdf["side"] == 0).to_numpy() & home
     left = np.nonzero(leads)[0]
@@ -89,8 +96,9 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     """One row per input row: key, n_links, component_id, kept.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is at least the
-    threshold. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
-    do vectors of another length than the fitted ones; a null key links with nothing and keeps a null component.
+    threshold. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; nor
+    do vectors of different lengths with one another; a null key links with nothing and keeps a null component.
+    Rows that repeat a key are vectors of their own and reach one another through it.
     n_links: other rows linked directly, equal vectors included. component_id: the smallest key reachable by
     links. kept: key = component_id. An empty table gives an empty one; other columns of any name are ignored.
     """
@@ -105,30 +113,28 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     sample = groups.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(SAMPLE).toPandas()["vector"].tolist()
     if not sample:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    width = max(set(map(len, sample)), key=[len(x) for x in sample].count)
-    fitted = np.array([x for x in sample if len(x) == width])
-    fitted /= np.linalg.norm(fitted, axis=1)[:, None]
-    k = max(1, min(MAX_CELLS, groups.count() // CELL))
-    centroids = spherical_kmeans(fitted, k)
+    n, centroids = groups.count(), {}
+    for width in set(map(len, sample)):  # lengths that the sample has not met have one cell, whose blocks meet all the same
+        own = [x for x in sample if len(x) == width]
+        centroids[width] = spherical_kmeans(units(own), max(1, min(MAX_CELLS, int(n / CELL * len(own) / len(sample)))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["vector"].map(len) == width]
-            if len(pdf):
-                x = np.array(pdf["vector"].tolist(), np.float64)
-                yield pdf.assign(cells=cells_of(x / np.linalg.norm(x, axis=1)[:, None], centroids, threshold))
+            for width, part in pdf.groupby(pdf["vector"].map(len)):
+                cells = cells_of(units(part["vector"].tolist()), centroids[width], threshold) if width in centroids else [np.zeros(1, np.int64)] * len(part)
+                yield part.assign(cells=cells, width=width)
 
     kind = dict(groups.dtypes)["label"]
-    placed = groups.mapInPandas(assign, f"label {kind}, vector array<double>, rep long, copies long, cells array<long>")
-    placed, _ = store(placed.select("label", "vector", "rep", "copies", F.posexplode("cells").alias("rank", "cell")).withColumn("home", F.col("rank") == 0).drop("rank"), "cells")
-    blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    sized = placed.join(blocks, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    placed = groups.mapInPandas(assign, f"label {kind}, vector array<double>, rep long, copies long, cells array<long>, width int")
+    placed, _ = store(placed.select("label", "width", "vector", "rep", "copies", F.posexplode("cells").alias("rank", "cell")).withColumn("home", F.col("rank") == 0).drop("rank"), "cells")
+    blocks = placed.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sized = placed.join(blocks, ["label", "width", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # a record leads its own block and follows in all others
     lead = sized.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)"))).where("home").withColumn("side", F.lit(0))
     follow = sized.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1)")))
     follow = follow.where("NOT (home AND i = j)").withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(1))
-    dealt = lead.unionByName(follow).select("label", "cell", "i", "j", "side", "home", "rep", "copies", "vector")
-    found = dealt.groupBy("label", "cell", "i", "j").applyInPandas(lambda pdf: search_block(pdf, threshold), "rep long, label long, links long")
+    dealt = lead.unionByName(follow).select("label", "width", "cell", "i", "j", "side", "home", "rep", "copies", "vector")
+    found = dealt.groupBy("label", "width", "cell", "i", "j").applyInPandas(lambda pdf: search_block(pdf, threshold), "rep long, label long, links long")
     found, _ = store(found, "found")
     joined = connected_components(found.where("rep <> label"), "rep", "label")
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(joined, F.col("rep") == F.col("node"), "left")
@@ -140,3 +146,17 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"),
     )
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda c: c <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x)) / sqrt(list_inner_product(b.x, b.x)) >= CAST(0.98 AS DOUBLE)
+), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+"""

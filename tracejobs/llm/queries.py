@@ -74,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
+    "op8_embedding_near_dedup": embed_dedup.ORACLE_SQL,
     "op9_warc_chunked_table": warc.ORACLE_SQL,
 }

@@ -168,13 +168,25 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def records_table(chunks: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per record: key, payload_bytes, payload_digest, record_type, refers_to; a revisit has those of its response."""
-    ends, _ = store(chunks.where("is_last").select(F.col("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
-    wanted = ends.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("h")).distinct()
-    held = ends.where("record_type = 'response'").join(wanted, F.col(key) == F.col("h"), "left_semi").groupBy(F.col(key).alias("h")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("full"))
-    held, _ = store(held, "responses")
-    both = ends.join(small(held, SMALL_DIGESTS), F.col("refers_to") == F.col("h"), "left")
-    return both.select(key, F.coalesce("full.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("full.payload_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    """One row per record: key, payload_bytes, payload_digest, record_type, refers_to; a revisit has those of the response it names and declares.
+
+    An error if a response's payload has another digest than its record declares, or a revisit's response is missing.
+    """
+    whole = F.col("payload_digest") == F.col("declared_digest")
+    ends, _ = store(
+        chunks.where("is_last").select(
+            F.col("record_id").alias(key), "payload_bytes",
+            F.when((F.col("record_type") == "revisit") | whole, F.col("declared_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of record "), F.coalesce(F.col("record_id").cast("string"), F.lit("null"))))).alias("payload_digest"),
+            "record_type", "refers_to",
+        ),
+        "records",
+    )
+    wanted = ends.where("record_type = 'revisit'").select(F.col("refers_to").alias("h"), F.col("payload_digest").alias("d")).distinct()
+    held = ends.where("record_type = 'response'").join(wanted, (F.col(key) == F.col("h")) & (F.col("payload_digest") == F.col("d")))
+    held, _ = store(held.groupBy("h", "d").agg(F.max("payload_bytes").alias("full")), "responses")
+    both = ends.join(small(held, SMALL_DIGESTS), (F.col("refers_to") == F.col("h")) & (F.col("payload_digest") == F.col("d")), "left")
+    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).when(F.col("full").isNotNull(), F.col("full")).otherwise(F.raise_error(F.lit("a revisit names no response with its payload")))
+    return both.select(key, size.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def warc_round_trip(pages: DataFrame, text: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
