@@ -40,7 +40,7 @@ FEW = 15
 #: The fit cuts off what is farther from the ordinary documents' median than so many distances of the outer tenths, below and above.
 SPAN = (-0.5, 4.0)
 #: Words whose ratios a task remembers.
-REMEMBER = 500_000
+REMEMBER = 150_000
 
 
 def ngrams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
