@@ -30,7 +30,7 @@ def test_too_deep(tree):
 def test_functions(spark):
     df = spark.createDataFrame([("ts-order-6f9d8c7b5a-x2z9q", "/a/17/b", " svc|ts-Order-Svc ", [1.0, 2.0, 3.0, 4.0])], "pod string, path string, name string, v array<double>")
     r = df.select(pod_owner(F.col("pod")).alias("o"), normalize_path(F.col("path"), [(r"/a/\d+", "/a/{id}"), ("x", "y")]).alias("p"), component_name(F.col("name")).alias("c"), nearest(F.col("v"), 0.5).alias("q"), relative_diff(F.lit(0.0), F.lit(2.0)).alias("z")).first()
-    assert (r.o.kind, r.o.owner, r.p, r.c, r.q, r.z) == ("deployment", "ts-order", "/a/{id}/b", "ordersvc", 3.0, 1.0)
+    assert (r.o.kind, r.o.owner, r.p, r.c, r.q, r.z) == ("Deployment", "ts-order", "/a/{id}/b", "ordersvc", 3.0, 1.0)
 
 
 def test_new_endpoint(spark):

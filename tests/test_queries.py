@@ -17,7 +17,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "labels", "documents"):
+    for t in ("lineitem", "orders", "events", "labels", "documents", "part", "customer", "supplier", "nation", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
 

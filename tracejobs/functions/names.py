@@ -15,14 +15,16 @@ def normalize_path(path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def pod_owner(pod: Column) -> Column:
-    """struct(kind, owner, replicaset) of a pod name: deployment pods, then stateful-set pods; null for others."""
-    deployment, stateful = r"^(.+)-([0-9a-f]{8,10})-([0-9a-z]{5})$", r"^(.+)-([0-9]+)$"
-    a = F.struct(
-        F.lit("deployment").alias("kind"), F.regexp_extract(pod, deployment, 1).alias("owner"),
-        F.concat(F.regexp_extract(pod, deployment, 1), F.lit("-"), F.regexp_extract(pod, deployment, 2)).alias("replicaset"),
+    """struct(kind, owner, replicaset) of a pod name: of deployments, then stateful sets, then daemon sets; null for others."""
+    # How pods are named.
+    deployment, stateful, daemon = r"^(.+?)-([a-z0-9]{5,10})-([a-z0-9]{5})$", r"^(.+)-([0-9]+)$", r"^(.+)-([a-z0-9]{5})$"
+    part = lambda pattern, i: F.regexp_extract(pod, pattern, i)
+    owner = lambda kind, pattern, replicaset: F.struct(F.lit(kind).alias("kind"), part(pattern, 1).alias("owner"), replicaset.alias("replicaset"))
+    none = F.lit(None).cast("string")
+    return (
+        F.when(pod.rlike(deployment), owner("Deployment", deployment, F.concat(part(deployment, 1), F.lit("-"), part(deployment, 2))))
+        .when(pod.rlike(stateful), owner("StatefulSet", stateful, none)).when(pod.rlike(daemon), owner("DaemonSet", daemon, none))
     )
-    b = F.struct(F.lit("stateful_set").alias("kind"), F.regexp_extract(pod, stateful, 1).alias("owner"), F.lit(None).cast("string").alias("replicaset"))
-    return F.when(pod.rlike(deployment), a).when(pod.rlike(stateful), b)
 
 
 def component_name(name: Column) -> Column:
@@ -58,3 +60,43 @@ def epoch_time(x: Column) -> Column:
 def http_span_name(name: Column) -> Column:
     """'HTTP POST http://service:port/path' as 'POST /path'; other names as they are."""
     return F.regexp_replace(name, r"^HTTP (\w+) https?://[^/]+(/.*)?$", "$1 $2")
+
+
+def replaced_in_turn(name: Column, rules: list[tuple[str, str]]) -> Column:
+    """The name after each rule (pattern, replacement) has replaced its first match, one rule after another."""
+    for pattern, text in rules:
+        name = F.regexp_replace(name, f"^(.*?){pattern}", "$1" + text)
+    return name
+
+
+def level_number(level: Column) -> Column:
+    """Levels as numbers, so that the worst is the largest; null for other words."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"), range(6)) for x in pair]), level)
+
+
+def parsed_time(x: Column) -> Column:
+    """Text as a time: a number by its magnitude, else an ISO form; null for what is neither."""
+    return F.coalesce(epoch_time(F.try_to_number(x, F.lit("9999999999999999999")).cast("double")), F.try_to_timestamp(x))
+
+
+def endpoint_of(component: Column) -> Column:
+    """The endpoint of ``span|service::ENDPOINT`` if it looks like one of HTTP, else null."""
+    found = F.when(component.contains("::"), F.substring_index(component, "::", -1))
+    return F.when(found.rlike(r"^(?:(?:HTTP )?(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b|/)"), found)
+
+
+def pair_of(name: Column) -> Column:
+    """struct(source, target) of ``source->target``; the target is null without an arrow."""
+    parts = F.split(name, "->")
+    return F.struct(parts[0].alias("source"), F.get(parts, F.lit(1)).alias("target"))
+
+
+def whole_number(x: Column) -> Column:
+    """A label's value as an integer: infinities as plus or minus 999999999, fractions cut off, 0 for other text."""
+    value = x.try_cast("double")
+    return F.when(value.isNull() | F.isnan(value), 0).when(F.abs(value) == float("inf"), F.signum(value) * 999999999).otherwise(value).cast("long")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays as sets; 1 if both are empty."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracejobs.functions.quantiles import relative_diff
+
 from tracejobs.operators.sli import endpoint_stats
 
 
@@ -64,9 +66,86 @@ def datapack_summary(concluded: DataFrame) -> DataFrame:
     return out.withColumn("tag", F.when(F.col("failing") > 0, "absolute").when(F.col("anomalies") > 0, "may").otherwise("none"))
 
 
-def threshold_detector(metrics: DataFrame, low: float, high: float) -> DataFrame:
-    """Points outside the bounds; severity by how many times over or under: critical from 2, major from 1.5."""
-    v = F.col("value")
-    times = F.when(v > high, v / high).when(v > 0, low / F.when(v > 0, v)).otherwise(2.0)
-    severity = F.when(times >= 2, "critical").when(times >= 1.5, "major").otherwise("minor")
-    return metrics.where((v > high) | (v < low)).select("datapack", "service_name", "metric", "seq", "value", F.when(v > high, "high").otherwise("low").alias("kind"), severity.alias("severity"))
+# The ratios to a bound from which on an anomaly is critical, high or medium.
+SEVERITIES = ((2.0, "critical"), (1.5, "high"), (1.2, "medium"))
+
+
+def severity(ratio: Column, steps: tuple[tuple[float, str], ...] = SEVERITIES) -> Column:
+    out = F.lit("low")
+    for least, name in reversed(steps):
+        out = F.when(ratio >= least, name).otherwise(out)
+    return out
+
+
+def threshold_detector(metrics: DataFrame, low: float | None, high: float | None) -> DataFrame:
+    """Values above the high or below the low bound, with the severity of their ratio to it and a confidence of at most 1."""
+    value = F.col("value")
+    over = value > high if high is not None else F.lit(False)
+    under = value < low if low is not None else F.lit(False)
+    down = F.lit(low) / F.greatest(value, F.lit(0.001)) if low and low > 0 else F.lit(SEVERITIES[1][0])
+    rows = metrics.where(over | under).withColumn("ratio", F.when(over, value / high).otherwise(down) if high is not None else down)
+    confidence = F.least(F.col("ratio"), F.lit(SEVERITIES[0][0])) / SEVERITIES[0][0]
+    return rows.select("datapack", "service_name", "metric", "seq", "value", F.when(over, "high").otherwise("low").alias("kind"), severity(F.col("ratio")).alias("severity"), F.round(confidence, 6).alias("confidence"))
+
+
+def success_rate_detector(spans: DataFrame, least_normal: int = 10, least_abnormal: int = 5, drop: float = 0.03, relative: float = 0.1, z: float = 1.959963984540054) -> DataFrame:
+    """Endpoints of both periods: success rates, their pooled two-proportion z, and whether the drop is significant.
+
+    Significant: beyond z, more than ``drop``, and more than ``relative`` of the normal rate; too few spans, or no
+    variance, are not. Severity by the drop: over 0.2 critical, 0.1 high, 0.05 medium.
+    """
+    of = lambda p, c: F.count_if((F.col("period") == p) & c)
+    good = F.col("status_code") != "Error"
+    g = spans.groupBy("datapack", "span_name").agg(of("normal", F.lit(True)).alias("n1"), of("abnormal", F.lit(True)).alias("n2"), of("normal", good).alias("g1"), of("abnormal", good).alias("g2"))
+    g = g.where((F.col("n1") >= least_normal) & (F.col("n2") >= least_abnormal))
+    pooled = (F.col("g1") + F.col("g2")) / (F.col("n1") + F.col("n2"))
+    g = g.withColumn("a", F.col("g1") / F.col("n1")).withColumn("b", F.col("g2") / F.col("n2")).withColumn("se", F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2"))))
+    g = g.withColumn("z", F.coalesce(F.try_divide(F.abs(F.col("b") - F.col("a")), F.col("se")), F.lit(0.0))).withColumn("fall", F.col("a") - F.col("b"))
+    wrong = (F.col("z") > z) & (F.col("fall") > drop) & (F.col("fall") > relative * F.col("a"))
+    level = F.when(F.col("fall") > 0.2, "critical").when(F.col("fall") > 0.1, "high").when(F.col("fall") > 0.05, "medium").otherwise("low")
+    return g.select("datapack", "span_name", F.round("a", 6).alias("normal_rate"), F.round("b", 6).alias("abnormal_rate"), F.round("z", 6).alias("z"), wrong.alias("is_anomaly"), F.when(wrong, level).alias("severity"))
+
+
+def new_endpoint_issues(stats: DataFrame) -> DataFrame:
+    """Issues, as JSON, of endpoints that the normal period lacks: stats (datapack, span_name, avg_duration, p90, p95, p99, succ_rate) in seconds."""
+    # Absolute limits in seconds.
+    limits = (("avg_duration", 3.0), ("p90", 7.0), ("p95", 8.0), ("p99", 10.0))
+    over = [F.when(F.col(c) > x, F.struct(F.lit(0.0).alias("normal"), F.col(c).alias("abnormal"), F.lit(x).alias("threshold"))).alias(c) for c, x in limits]
+    over.append(F.when(F.col("avg_duration") > 15.0, F.struct(F.lit(15.0).alias("threshold"), F.col("avg_duration").alias("abnormal"))).alias("hard_timeout"))
+    over.append(F.when(F.col("succ_rate") < 0.9, F.struct(F.lit(1.0).alias("normal"), F.col("succ_rate").alias("abnormal"), F.lit(0.9).alias("threshold"))).alias("succ_rate"))
+    return stats.select("datapack", "span_name", F.to_json(F.struct(*over)).alias("issues"))
+
+
+def edge_anomalies(probabilities: DataFrame, least: float = 0.5) -> DataFrame:
+    """Edges whose call probability from either end differs by more than ``least``, relatively, between periods."""
+    value = lambda c, p: F.max(F.when(F.col("period") == p, F.col(c)))
+    out = probabilities.groupBy("datapack", "src", "dst").agg(*[value(c, p).alias(f"{p}_{c}") for c in ("p_src", "p_dst") for p in ("normal", "abnormal")])
+    diffs = [F.round(relative_diff(F.col(f"normal_{c}"), F.col(f"abnormal_{c}")), 6).alias(f"diff_{c}") for c in ("p_src", "p_dst")]
+    return out.select("datapack", "src", "dst", *diffs).where((F.abs("diff_p_src") > least) | (F.abs("diff_p_dst") > least))
+
+
+def standardised_anomalies(metrics: DataFrame, least: float = 2.0) -> DataFrame:
+    """Metrics whose mean moved by more than ``least`` normal deviations; without deviation, by more than nothing, told as the difference itself."""
+    of = lambda f, p: f(F.when(F.col("period") == p, F.col("value")))
+    g = metrics.groupBy("datapack", "service_name", "metric").agg(of(F.avg, "normal").alias("a"), of(F.avg, "abnormal").alias("b"), F.coalesce(of(F.stddev_samp, "normal"), F.lit(0.0)).alias("sd"))
+    diff = F.when(F.col("sd") > 0, (F.col("b") - F.col("a")) / F.col("sd")).otherwise(F.col("b") - F.col("a"))
+    return g.select("datapack", "service_name", "metric", F.round(diff, 6).alias("diff"), F.col("sd").alias("sd")).where(F.when(F.col("sd") > 0, F.abs("diff") > least).otherwise(F.abs("diff") > 0)).drop("sd")
+
+
+def recent_stats(metrics: DataFrame, length: int = 10) -> DataFrame:
+    """Each value with the mean and the deviation of the ``length`` before it in its series."""
+    past = Window.partitionBy("datapack", "service_name", "metric").orderBy("time", "seq").rowsBetween(-length, -1)
+    return metrics.select("datapack", "service_name", "metric", "seq", F.round(F.avg("value").over(past), 6).alias("mean"), F.round(F.stddev_pop("value").over(past), 6).alias("sd"))
+
+
+def usable_datapacks(concluded: DataFrame) -> DataFrame:
+    """Datapacks with an endpoint that has issues."""
+    return concluded.groupBy("datapack").agg(F.max(F.col("issues") != "").alias("usable"))
+
+
+def validity(counts: DataFrame, signals: list[str], spans: DataFrame, longest_s: float) -> DataFrame:
+    """(datapack, missing, longest, valid): signals without rows, and the longest normal root in seconds, which must not exceed the limit."""
+    have = counts.where("n > 0").groupBy("datapack").agg(F.collect_set("signal").alias("have"))
+    roots = spans.where("period = 'normal' AND parent_span_id = ''").groupBy("datapack").agg((F.max("duration") / 1e9).alias("longest"))
+    out = have.join(roots, "datapack", "full").withColumn("missing", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, signals)), F.coalesce("have", F.array().cast("array<string>")))), ","))
+    return out.select("datapack", "missing", "longest", ((F.col("missing") == "") & (F.col("longest") <= longest_s)).alias("valid"))

@@ -74,10 +74,10 @@ def calibration(samples: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def ranking_rollup(rankings: DataFrame) -> DataFrame:
-    """Runs, hits at 1, mean reciprocal rank and runtime by (algorithm, dataset) and by algorithm, from one pass over the runs."""
+    """Runs, hits at 1, mean reciprocal rank of the runs with a hit, and runtime by (algorithm, dataset) and by algorithm, from one pass over the runs."""
     runs = rankings.groupBy("algorithm", "dataset", "datapack").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("best"), F.max("runtime").alias("t"))
     sets = runs.groupingSets([["algorithm", "dataset"], ["algorithm"]], "algorithm", "dataset")
-    return sets.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("best") <= 1).alias("count_1"), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("t"), 6).alias("avg_runtime"))
+    return sets.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("best") <= 1).alias("count_1"), F.round(F.avg(1 / F.col("best")), 6).alias("mrr"), F.round(F.avg("t"), 6).alias("avg_runtime"))
 
 
 def latest(runs: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:

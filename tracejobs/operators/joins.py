@@ -52,8 +52,8 @@ def orphans(spans: DataFrame) -> DataFrame:
 
 def log_spans(logs: DataFrame, spans: DataFrame) -> DataFrame:
     """Logs with the operation of their span, null where there is none."""
-    named = spans.select("span_id", F.concat("service_name", F.lit(" "), "span_name").alias("op"))
-    return logs.join(named, "span_id", "left")
+    named = spans.select(*KEY, "span_id", F.concat("service_name", F.lit(" "), "span_name").alias("op"))
+    return logs.join(named, [*KEY, "span_id"], "left")
 
 
 def leaf_errors(spans: DataFrame) -> DataFrame:

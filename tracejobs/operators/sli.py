@@ -53,11 +53,11 @@ def duration_windows(spans: DataFrame, length: str) -> DataFrame:
 def span_stats(spans: DataFrame) -> DataFrame:
     """Per service and span: calls, errors, error rate, and ms statistics with linear quantiles."""
     ms = F.col("duration") / MS
-    out = spans.groupBy("service_name", "span_name").agg(
+    out = spans.groupBy("datapack", "service_name", "span_name").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status_code") == "Error").alias("errors"), (F.avg("duration") / MS).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
         F.percentile(ms, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)])).alias("q"),
     )
-    return out.select("service_name", "span_name", "calls", "errors", F.round(ratio(F.col("errors"), F.col("calls")), 6).alias("error_rate"), F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", *[F.round(F.col("q")[i], 8).alias(f"p{n}") for i, n in enumerate((50, 90, 95, 99))])
+    return out.select("datapack", "service_name", "span_name", "calls", "errors", F.round(ratio(F.col("errors"), F.col("calls")), 6).alias("error_rate"), F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", *[F.round(F.col("q")[i], 8).alias(f"p{n}") for i, n in enumerate((50, 90, 95, 99))])
 
 
 def call_probability(spans: DataFrame) -> DataFrame:

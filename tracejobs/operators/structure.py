@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["datapack", "trace_id"]
 
 
-def levels(spans: DataFrame, most: int = 64) -> DataFrame:
-    """(datapack, trace_id, span_id, label, level): roots are level 1, spans that no root reaches level 1 too.
+def tree_levels(spans: DataFrame, start: Column, carry, most: int = 64) -> DataFrame:
+    """(datapack, trace_id, span_id, level, carried): roots are level 1, spans that no root reaches level 1 too.
 
-    The frontier moves down by an equi-join on the trace and the parent, a level at a time, until it is empty;
-    a trace deeper than ``most`` raises an error. Each level is one small join, cut by a checkpoint where the
-    session names a folder for it.
+    carried: ``start`` of a root; below, ``carry`` of the parent's and the span's own. The frontier moves down by an
+    equi-join on the trace and the parent, a level at a time, until it is empty; a trace deeper than ``most``
+    raises an error. Spans are kept once, dealt by trace, and each level is one small join, cut by a checkpoint
+    where the session names a folder for it.
     """
-    own = spans.select(*KEY, "span_id", "parent_span_id", F.concat("service_name", F.lit(":"), "span_name").alias("label"))
-    below = own.where("parent_span_id <> ''").withColumnRenamed("span_id", "child").withColumnRenamed("parent_span_id", "span_id").withColumnRenamed("label", "child_label")
-    front = own.where("parent_span_id = ''").select(*KEY, "span_id", "label", F.lit(1).alias("level"))
-    found = front
     cut = spans.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    keep = lambda df: df.checkpoint() if cut else df.persist()
+    own = keep(spans.select(*KEY, "span_id", "parent_span_id", start.alias("own")).repartition(*KEY))
+    below = own.where("parent_span_id <> ''").select(*KEY, F.col("span_id").alias("child"), F.col("parent_span_id").alias("span_id"), "own")
+    front = own.where("parent_span_id = ''").select(*KEY, "span_id", F.lit(1).alias("level"), F.col("own").alias("carried"))
+    found = front
     for level in range(2, most + 1):
-        front = front.join(below, [*KEY, "span_id"]).select(*KEY, F.col("child").alias("span_id"), F.col("child_label").alias("label"), F.lit(level).alias("level"))
-        front = front.checkpoint() if cut else front.cache()
+        front = keep(front.join(below, [*KEY, "span_id"]).select(*KEY, F.col("child").alias("span_id"), F.lit(level).alias("level"), carry(F.col("carried"), F.col("own")).alias("carried")))
         if front.isEmpty():
             break
         found = found.unionByName(front)
     else:
         raise ValueError(f"a trace is deeper than {most} levels")
-    rest = own.join(found, [*KEY, "span_id"], "left_anti").select(*KEY, "span_id", "label", F.lit(1).alias("level"))
+    rest = own.join(found, [*KEY, "span_id"], "left_anti").select(*KEY, "span_id", F.lit(1).alias("level"), F.col("own").alias("carried"))
     return found.unionByName(rest)
 
 
+def levels(spans: DataFrame, most: int = 64) -> DataFrame:
+    """(datapack, trace_id, span_id, label, level), as tree_levels has them."""
+    label = F.concat("service_name", F.lit(":"), "span_name")
+    return tree_levels(spans, label, lambda above, own: own, most).select(*KEY, "span_id", F.col("carried").alias("label"), "level")
+
+
 def depth(spans: DataFrame) -> DataFrame:
     """Each trace's deepest level."""
     return levels(spans).groupBy(*KEY).agg(F.max("level").alias("depth"))

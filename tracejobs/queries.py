@@ -55,13 +55,12 @@ _add("j04_without_long_traces", lambda s, d: joins.without_long_traces(fx.spans(
      "SELECT trace_id, span_id, duration FROM spans WHERE trace_id NOT IN (SELECT trace_id FROM spans WHERE duration > 90000000000)", "spans")
 _add("j05_sampled_spans", lambda s, d: joins.of_sampled(fx.spans(s, d), _samples(s, d)).select("datapack", "trace_id", "span_id"), "SELECT datapack, trace_id, span_id FROM spans WHERE trace_id % 10 = 0", "spans")
 _add("j07_log_spans", lambda s, d: joins.log_spans(fx.logs(s, d), fx.spans(s, d)).select("trace_id", "span_id", "level", "op"),
-     "SELECT l.trace_id, l.span_id, level, s.service_name || ' ' || s.span_name AS op FROM logs l LEFT JOIN spans s ON l.span_id = s.span_id", "spans", "logs")
+     "SELECT l.trace_id, l.span_id, level, s.service_name || ' ' || s.span_name AS op FROM logs l LEFT JOIN spans s ON l.datapack = s.datapack AND l.trace_id = s.trace_id AND l.span_id = s.span_id", "spans", "logs")
 _add("j11_exclusive_duration", lambda s, d: joins.exclusive_duration(fx.spans(s, d)).select("trace_id", "span_id", "duration", "exclusive"), """
 WITH k AS (SELECT trace_id, parent_span_id, sum(duration) AS d FROM spans WHERE parent_span_id <> '' GROUP BY ALL)
 SELECT s.trace_id, s.span_id, s.duration, CAST(s.duration - coalesce(k.d, 0) AS BIGINT) AS exclusive FROM spans s LEFT JOIN k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id""", "spans")
-_add("j13_orphan_spans", lambda s, d: joins.orphans(fx.spans(s, d).where("duration > 20000000000")).select("trace_id", "span_id"), """
-WITH x AS (SELECT * FROM spans WHERE duration > 20000000000)
-SELECT trace_id, span_id FROM x WHERE parent_span_id <> '' AND parent_span_id NOT IN (SELECT span_id FROM x)""", "spans")
+_LOST = "CASE WHEN http_status = 500 AND parent_span_id <> '' THEN 'lost-' || parent_span_id ELSE parent_span_id END"
+_add("j13_orphan_spans", lambda s, d: joins.orphans(fx.spans(s, d).withColumn("parent_span_id", F.expr(_LOST))).select("trace_id", "span_id"), "SELECT trace_id, span_id FROM spans WHERE http_status = 500 AND parent_span_id <> ''", "spans")
 _add("e05_leaf_errors", lambda s, d: joins.leaf_errors(fx.spans(s, d)).select("trace_id", "span_id"), """
 SELECT trace_id, span_id FROM spans WHERE status_code = 'Error' AND span_id NOT IN (SELECT parent_span_id FROM spans WHERE status_code = 'Error')""", "spans")
 _add("e02_services", lambda s, d: fx.spans(s, d).select("datapack", "service_name").unionByName(fx.metrics(s, d).select("datapack", "service_name")).where("service_name NOT IN ('loadgenerator', '')").distinct(),
@@ -73,7 +72,7 @@ SELECT datapack, time_bucket(INTERVAL 1 DAY, time, TIMESTAMP '1970-01-01') AS ti
 _add("a05_duration_windows", lambda s, d: sli.duration_windows(fx.spans(s, d), "7 days"), """
 SELECT datapack, time_bucket(INTERVAL 7 DAYS, time, TIMESTAMP '1970-01-01') AS time, service_name, round(avg(duration) / 1e6, 6) AS avg_ms FROM spans WHERE duration > 0 GROUP BY ALL""", "spans")
 _add("a25_span_stats", lambda s, d: sli.span_stats(fx.spans(s, d)), """
-SELECT service_name, span_name, count(*) AS calls, count(*) FILTER (status_code = 'Error') AS errors, round(count(*) FILTER (status_code = 'Error') / count(*), 6) AS error_rate, round(avg(duration) / 1e6, 6) AS avg_ms, min(duration / 1e6) AS min_ms, max(duration / 1e6) AS max_ms,
+SELECT datapack, service_name, span_name, count(*) AS calls, count(*) FILTER (status_code = 'Error') AS errors, round(count(*) FILTER (status_code = 'Error') / count(*), 6) AS error_rate, round(avg(duration) / 1e6, 6) AS avg_ms, min(duration / 1e6) AS min_ms, max(duration / 1e6) AS max_ms,
   round(quantile_cont(duration / 1e6, 0.5), 8) AS p50, round(quantile_cont(duration / 1e6, 0.9), 8) AS p90, round(quantile_cont(duration / 1e6, 0.95), 8) AS p95, round(quantile_cont(duration / 1e6, 0.99), 8) AS p99 FROM spans GROUP BY ALL""", "spans")
 _add("a13_call_probability", lambda s, d: sli.call_probability(fx.spans(s, d)), f"""
 WITH e AS ({_EDGES}), h AS (SELECT DISTINCT datapack, period, service_name, trace_id FROM spans), n AS (SELECT datapack, period, service_name, count(*) AS n FROM h GROUP BY ALL),
@@ -197,7 +196,7 @@ SELECT datapack, 'traces' AS signal, count(*) AS n FROM spans GROUP BY ALL UNION
 _add("a19_normal_durations", lambda s, d: compare.normal_durations(fx.spans(s, d)), "SELECT datapack, max(duration / 1e9) AS longest, min(duration / 1e9) AS shortest, round(avg(duration) / 1e9, 6) AS mean, round(quantile_cont(duration / 1e9, 0.5), 6) AS median FROM spans WHERE period = 'normal' GROUP BY ALL", "spans")
 _add("a33_ranking_rollup", lambda s, d: evaluate.ranking_rollup(fx.rankings(s, d).withColumn("dataset", F.concat(F.lit("d"), F.col("datapack") % 5))), """
 WITH b AS (SELECT algorithm, 'd' || (datapack % 5) AS dataset, datapack, min(rank) FILTER (hit) AS best, max(runtime) AS t FROM rankings GROUP BY ALL)
-SELECT algorithm, dataset, count(*) AS total, count(*) FILTER (best <= 1) AS count_1, round(avg(coalesce(1 / best, 0)), 6) AS mrr, round(avg(t), 6) AS avg_runtime FROM b GROUP BY GROUPING SETS ((algorithm, dataset), (algorithm))""", "rankings")
+SELECT algorithm, dataset, count(*) AS total, count(*) FILTER (best <= 1) AS count_1, round(avg(1 / best), 6) AS mrr, round(avg(t), 6) AS avg_runtime FROM b GROUP BY GROUPING SETS ((algorithm, dataset), (algorithm))""", "rankings")
 _add("w01_latest_execution", lambda s, d: evaluate.latest(fx.read(s, d, "orders"), ["o_orderpriority", "o_custkey"], "o_orderdate", "o_orderkey").select("o_orderpriority", "o_custkey", "o_orderkey"), """
 SELECT o_orderpriority, o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS i FROM orders) WHERE i = 1""")
 _add("w02_first_entry", lambda s, d: coverage.first_entry(fx.spans(s, d)), f"WITH {_ENTRIES} SELECT * FROM entries", "spans")
@@ -210,8 +209,8 @@ _add("d13_node_anomalies", lambda s, d: compare.node_anomalies(fx.metrics(s, d),
      + " FROM metrics GROUP BY ALL), x AS (" + " UNION ALL ".join(f"SELECT datapack, service_name, metric, '{k}' AS stat, normal_{k} AS a, abnormal_{k} AS b FROM g" for k in ("mean", "std", "p90")) + """)
 SELECT datapack, service_name, metric, stat, round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 1 END ELSE (b - a) / a END, 6) AS diff FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND abs(round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 1 END ELSE (b - a) / a END, 6)) > CAST(0.2 AS DOUBLE)""", "metrics")
 _add("d01_threshold_detector", lambda s, d: detect.threshold_detector(fx.metrics(s, d), 10.0, 150.0), """
-SELECT datapack, service_name, metric, seq, value, CASE WHEN value > 150 THEN 'high' ELSE 'low' END AS kind, CASE WHEN x >= 2 THEN 'critical' WHEN x >= 1.5 THEN 'major' ELSE 'minor' END AS severity
-FROM (SELECT *, CASE WHEN value > 150 THEN value / 150 WHEN value > 0 THEN 10 / value ELSE 2 END AS x FROM metrics WHERE value > 150 OR value < 10)""", "metrics")
+SELECT datapack, service_name, metric, seq, value, CASE WHEN value > 150 THEN 'high' ELSE 'low' END AS kind, CASE WHEN x >= 2 THEN 'critical' WHEN x >= 1.5 THEN 'high' WHEN x >= CAST(1.2 AS DOUBLE) THEN 'medium' ELSE 'low' END AS severity, round(least(x, 2) / 2, 6) AS confidence
+FROM (SELECT *, CASE WHEN value > 150 THEN value / 150 ELSE 10 / greatest(value, CAST(0.001 AS DOUBLE)) END AS x FROM metrics WHERE value > 150 OR value < 10)""", "metrics")
 _add("e06_edge_scores", lambda s, d: coverage.set_scores(_edges_of(s, d, "abnormal"), _edges_of(s, d, "normal"), ["datapack"]), f"""
 WITH f AS ({_PERIOD_EDGES.format(p='abnormal')}), t AS ({_PERIOD_EDGES.format(p='normal')}),
 g AS (SELECT coalesce(f.datapack, t.datapack) AS datapack, count(f.src) AS f, count(t.src) AS t, count(*) FILTER (f.src IS NOT NULL AND t.src IS NOT NULL) AS matched FROM f FULL JOIN t ON f.datapack = t.datapack AND f.src = t.src AND f.dst = t.dst GROUP BY ALL)
@@ -242,3 +241,5 @@ WITH n AS (SELECT DISTINCT datapack, service_name AS name FROM spans WHERE perio
 SELECT datapack, name, row_number() OVER (PARTITION BY datapack ORDER BY md5(datapack || ':' || name || ':0'), name) AS rank FROM n""", "spans")
 _add("p17_log_search", lambda s, d: names.search(fx.read(s, d, "documents").select("doc_id", "lang", "text"), "text", "License").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')")
 _add("f05_json_message", lambda s, d: fx.logs(s, d).select("trace_id", names.json_message(F.col("message"), "k").alias("message")), "SELECT trace_id, coalesce(json_extract_string(message, '$.k'), message) AS message FROM logs", "logs")
+
+from tracejobs import queries_more  # noqa: E402, F401  (registers its queries here)
