@@ -66,9 +66,15 @@ def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: fl
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def total(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights, len(found)) if len(found) else np.zeros(0)
+def gram_counts(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted n-grams, toxic and ordinary counts), some words at a time, so that only different n-grams are held."""
+    parts = []
+    for at in range(0, len(words), step):
+        grams, of = ngrams(words[at : at + step], order)
+        keys, place = np.unique(grams, return_inverse=True)
+        parts.append((keys, np.bincount(place, toxic[at : at + step][of]), np.bincount(place, ordinary[at : at + step][of])))
+    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, *(np.bincount(place, np.concatenate([p[i] for p in parts])) for i in (1, 2))
 
 
 class Model:
@@ -79,9 +85,7 @@ class Model:
         self.keys, self.ratio = np.zeros(0, np.uint64), np.zeros(0)
         if not words:
             return
-        grams, of = ngrams(words, order)
-        self.keys, t = total(grams, toxic[of])
-        o = total(grams, ordinary[of])[1]
+        self.keys, t, o = gram_counts(words, toxic, ordinary, order)
         contexts, at = np.unique(self.keys >> np.uint64(8), return_inverse=True)
         both = toxic.sum() + ordinary.sum()
         part = (np.bincount(at, t) + own * toxic.sum() / both) / (np.bincount(at, t + o) + own)
