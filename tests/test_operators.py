@@ -85,7 +85,7 @@ def test_latest_and_names(spark):
 def test_threshold(spark):
     rows = [("d", "s", "m", i, v) for i, v in enumerate([5.0, 20.0, 16.0, 1.0, 0.0, None, -1.0, 10.5])]
     found = detect.threshold_detector(spark.createDataFrame(rows, "datapack string, service_name string, metric string, seq long, value double"), 2.0, 10.0).collect()
-    assert {r.seq: (r.kind, r.severity) for r in found} == {1: ("high", "critical"), 2: ("high", "major"), 3: ("low", "critical"), 4: ("low", "critical"), 6: ("low", "critical"), 7: ("high", "minor")}
+    assert {r.seq: (r.kind, r.severity) for r in found} == {1: ("high", "critical"), 2: ("high", "high"), 3: ("low", "critical"), 4: ("low", "critical"), 6: ("low", "critical"), 7: ("high", "low")}
 
 
 def test_distances_reach_all(spark):
