@@ -29,7 +29,7 @@ from tracejobs.llm.common import drop, small, store
 from tracejobs.llm.components import connected_components
 
 #: Shingles of a bin or block.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 400_000
 #: Lists of sets, a few numbers a row, are broadcast up to this number of rows, else joined by a shuffle.
 SMALL_REPS = 500_000
 #: Smallest hashes that are compared first, and the chance that two linked sets share too few of them.
@@ -123,12 +123,18 @@ def divide_skip(sizes: np.ndarray, tokens: np.ndarray, left: np.ndarray, right:
     """
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.isin(owner, right)
-    listed, owner = tokens[inside], owner[inside]
-    order = np.argsort(listed, kind="stable")
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    if left is not right:
+        inside = np.isin(owner, right)
+        listed, owner = tokens[inside], owner[inside]
+    else:
+        listed = tokens
+    order = np.argsort(listed, kind="stable").astype(np.int32)
     listed, owner = listed[order], owner[order]
-    words, first, length = np.unique(listed, return_index=True, return_counts=True)
+    del order
+    first = np.concatenate([[0], np.nonzero(listed[1:] != listed[:-1])[0] + 1]) if len(listed) else np.zeros(0, np.int64)
+    words, length = listed[first], np.diff(np.append(first, len(listed)))
+    del listed
     same = left is right
     for r in left:
         mine = tokens[starts[r] : ends[r]]
@@ -165,10 +171,12 @@ def search_block(pdf: pd.DataFrame, num: int, den: int, two: bool = False) -> pd
     sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
     sizes = np.array([len(s) for s in sets], np.int64)
     copies, side, node = pdf["copies"].to_numpy(), pdf["side"].to_numpy(), pdf["set_id"].to_numpy()
+    tokens = np.concatenate(sets)
+    del pdf, sets
     left = np.nonzero(side == 0)[0]
     right = np.nonzero(side == 1)[0] if two else left
-    links, label = np.zeros(len(pdf), np.int64), node.copy()
-    for r, found in divide_skip(sizes, np.concatenate(sets), left, right, num, den):
+    links, label = np.zeros(len(node), np.int64), node.copy()
+    for r, found in divide_skip(sizes, tokens, left, right, num, den):
         links[r] += copies[found].sum()
         links[found] += copies[r]
         met = label[found]
