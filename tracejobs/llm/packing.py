@@ -27,7 +27,7 @@ GROUP_BYTES = 4_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Words whose ids a Python worker remembers, from one task to the next.
-REMEMBER = 900_000
+REMEMBER = 500_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
