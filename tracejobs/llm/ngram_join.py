@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracejobs.llm.common import drop, small, store
+from tracejobs.llm.common import drop, give_back, lean, small, store
 from tracejobs.llm.components import connected_components
 
 #: Shingles of a bin or block.
@@ -183,6 +183,8 @@ def search_block(pdf: pd.DataFrame, num: int, den: int, two: bool = False) -> pd
         if (met != label[r]).any():  # all that a row meets is one component from here on
             met = np.unique(np.append(met, label[r]))
             label[np.isin(label, met)] = met[0]
+    del tokens
+    give_back()
     return pd.DataFrame({"set_id": node, "label": label, "links": links})
 
 
@@ -208,7 +210,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), _long_lists(lowest)], ["key", "n_shingles", "set_lo", "set_hi", "lowest"])
 
-    return docs.mapInArrow(run, "key long, n_shingles long, set_lo long, set_hi long, lowest array<long>")
+    return docs.mapInArrow(lean(run), "key long, n_shingles long, set_lo long, set_hi long, lowest array<long>")
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, n: int, made: str, make) -> DataFrame:
@@ -226,7 +228,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, n: int, made: str, make) -> Dat
                 yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(right)).columns[1:], make([s for s, ok in zip(found, right) if ok])], [*names, "made"])
 
     both = rows.join(small(wanted, SMALL_REPS), rows.key == wanted.rep).select("text", *names)
-    return both.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in both.dtypes[1:]) + f", made {made}")
+    return both.mapInArrow(lean(run), ", ".join(f"{c} {t}" for c, t in both.dtypes[1:]) + f", made {made}")
 
 
 def _meets(rows: DataFrame, by: str) -> DataFrame:

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracejobs.llm.common import give_back, lean
+
 LENGTH = 4096
 END_ID = 2
 GROUP_BYTES = 4_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Words whose ids a Python worker remembers, from one task to the next.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -192,9 +194,11 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         for d, start, n, s, offset in pack(np.array([len(x) for x in ids], np.int64), length):
             part = ids[d][start : start + n].tobytes()
             out.append((pdf["key"].iat[d], start, n, zlib.crc32(part), len(ids[d]), (int(pdf["group"].iat[0]) << 32) + s, offset, part if with_ids else b""))
+        del ids, pdf
+        give_back()
         made = pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
         return made.astype({"key": "Int64"})
 
-    encoded = rows.mapInArrow(encode, "group long, key long, ids binary")
+    encoded = rows.mapInArrow(lean(encode), "group long, key long, ids binary")
     pieces = encoded.groupBy("group").applyInPandas(deal, "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return pieces.select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)

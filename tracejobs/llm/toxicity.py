@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracejobs.llm.common import drop, store
+from tracejobs.llm.common import drop, lean, store
 
 #: Letters of an n-gram, at most 8, so that one fits a 64-bit number exactly.
 ORDER = 6
@@ -238,5 +238,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 p = probability(x, numbers)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x), *part.columns[3:]], ["key", "held_out", "score", "predicted", "mean_ratio", *part.schema.names[3:]])
 
-    scored = rows.mapInArrow(run, "key long, held_out boolean, score double, predicted int, mean_ratio double" + "".join(f", {c} {t}" for c, t in rows.dtypes[3:]))
+    scored = rows.mapInArrow(lean(run), "key long, held_out boolean, score double, predicted int, mean_ratio double" + "".join(f", {c} {t}" for c, t in rows.dtypes[3:]))
     return scored.select(F.col("key").alias(key), "held_out", "score", "predicted", "mean_ratio", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
