@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch of texts, which JVM and Python hold several times over.
+BATCH_BYTES = 4 << 20
+
 _own_dir: list[str] = []
 
 
@@ -62,6 +65,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_BYTES, unless it bounds them closer itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at = spark.conf.get(name, "64m").lower().removesuffix("b")
+    now = int(at[:-1]) << {"k": 10, "m": 20, "g": 30}[at[-1]] if at[-1:] in "kmg" else int(at)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return what this Python worker has freed to the system, as workers wait for their next task without end."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracejobs.llm.common import drop, give_back, lean, small, store
+from tracejobs.llm.common import drop, give_back, lean, small, store, text_batches
 from tracejobs.llm.components import connected_components
 
 #: Shingles of a bin or block.
@@ -252,6 +252,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int
     any name are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     profile, at_profile = store(_profile(rows, n), "profile")
     kept, _ = store(profile.drop("lowest"), "sets")

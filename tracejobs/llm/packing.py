@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracejobs.llm.common import give_back, lean
+from tracejobs.llm.common import give_back, lean, text_batches
 
 LENGTH = 4096
 END_ID = 2
@@ -29,7 +29,7 @@ GROUP_BYTES = 4_000_000
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Words whose ids a Python worker remembers, from one task to the next.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -172,6 +172,7 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """
     from tokenizers import Tokenizer
 
+    text_batches(docs.sparkSession)
     path = path or tokenizer_file()
     kind = np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else np.uint32
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

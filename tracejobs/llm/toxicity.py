@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracejobs.llm.common import drop, lean, store
+from tracejobs.llm.common import drop, lean, store, text_batches
 
 #: Letters of an n-gram, at most 8, so that one fits a 64-bit number exactly.
 ORDER = 6
@@ -219,6 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     of either class to learn from, all scores are 0. Rows that repeat a key are scored each. An empty table
     gives an empty one. Other columns of any name are ignored.
     """
+    text_batches(docs.sparkSession)
     train, at_train = store(sample(docs, labels, text, key, toxic, size), "labelled")
     model, numbers = (Model([], np.zeros(0), np.zeros(0)), (0.0, 1.0, 0.0, -np.inf)) if train.select("toxic").distinct().count() < 2 else fit(train)
     drop(docs.sparkSession, at_train)
