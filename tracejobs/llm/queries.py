@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracejobs.llm import embed_dedup, exact_dedup, html_extract, license_scan, lm_score, mixing, ngram_join, packing, toxicity, warc
+from tracejobs.llm import conversation_repair, embed_dedup, exact_dedup, filter_audit, html_extract, license_scan, lm_score, mixing, ngram_join, packing, topk_search, toxicity, warc
 from tracejobs.llm.common import small, store, tables
 
 
@@ -60,6 +60,18 @@ def op10_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(tables(spark, sf_dir, "embeddings")).drop("query_row")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_repair(tables(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_warc_chunked_table": op9_warc_chunked_table,
     "op10_toxicity_kneser_ney": op10_toxicity_kneser_ney,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +94,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op8_embedding_near_dedup": embed_dedup.ORACLE_SQL,
     "op9_warc_chunked_table": warc.ORACLE_SQL,
+    "op11_exact_top_k": topk_search.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
