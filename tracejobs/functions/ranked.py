@@ -30,3 +30,25 @@ def order_stats(df: DataFrame, keys: list[str], value: Column, quantiles: dict[s
     out = ranked.groupBy(*keys).agg(*columns)
     linear = [(F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * F.col(f"_part_{q}")).alias(q) for q in quantiles]
     return out.select(*keys, "n", *linear, *(trimmed or {}))
+
+
+def band_stats(df: DataFrame, keys: list[str], value: Column, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """Per group: for each band of ranks [floor(lo * n), floor(hi * n)) of the sorted values, or all of them where it is empty, <band>_n, <band>_mean and <band>_p99 (linear).
+
+    Equal values are counted before the shuffle, as in order_stats.
+    """
+    counted = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(*keys)
+    ranked = counted.withColumn("_u", F.sum("_c").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(own))
+    columns = []
+    for name, (lo, hi) in bands.items():
+        first, end = F.floor(F.col("_n") * lo), F.floor(F.col("_n") * hi)
+        whole = first >= end
+        first, end = F.when(whole, 0).otherwise(first), F.when(whole, F.col("_n")).otherwise(end)
+        kept = F.greatest(F.lit(0), F.least(F.col("_u"), end) - F.greatest(F.col("_u") - F.col("_c"), first))
+        place = first + F.lit(0.99) * (end - first - 1)
+        at = lambda rank: F.max(F.when((F.col("_u") > rank) & (F.col("_u") - F.col("_c") <= rank), F.col("_v")))
+        part = F.max(place - F.floor(place))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        columns += [F.sum(kept).alias(f"{name}_n"), F.try_divide(F.sum(kept * F.col("_v")), F.sum(kept)).alias(f"{name}_mean"), (low + (high - low) * part).alias(f"{name}_p99")]
+    return ranked.groupBy(*keys).agg(*columns)
