@@ -109,8 +109,10 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label"), v.alias("vector"))
     rows, _ = store(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("vector", F.when(F.col("good"), F.col("vector"))), "vectors")
     # -0.0 and 0.0 are one value in a grouping key
-    groups, _ = store(rows.where("good").groupBy("label", "vector").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
-    sample = groups.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(SAMPLE).toPandas()["vector"].tolist()
+    groups = rows.where("good").groupBy("label", "vector").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # a record's number: its own, as one key may have several vectors
+    groups, _ = store(groups.withColumn("rep", F.monotonically_increasing_id()), "groups")
+    sample = groups.orderBy(F.xxhash64("vector"), "first", "label").select("vector").limit(SAMPLE).toPandas()["vector"].tolist()
     if not sample:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     n, centroids = groups.count(), {}
@@ -125,7 +127,7 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
                 yield part.assign(cells=cells, width=width)
 
     kind = dict(groups.dtypes)["label"]
-    placed = groups.mapInPandas(assign, f"label {kind}, vector array<double>, rep long, copies long, cells array<long>, width int")
+    placed = groups.select("label", "vector", "rep", "copies").mapInPandas(assign, f"label {kind}, vector array<double>, rep long, copies long, cells array<long>, width int")
     placed, _ = store(placed.select("label", "width", "vector", "rep", "copies", F.posexplode("cells").alias("rank", "cell")).withColumn("home", F.col("rank") == 0).drop("rank"), "cells")
     blocks = placed.groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     sized = placed.join(blocks, ["label", "width", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -136,10 +138,16 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     dealt = lead.unionByName(follow).select("label", "width", "cell", "i", "j", "side", "home", "rep", "copies", "vector")
     found = dealt.groupBy("label", "width", "cell", "i", "j").applyInPandas(lambda pdf: search_block(pdf, threshold), "rep long, label long, links long")
     found, _ = store(found, "found")
-    joined = connected_components(found.where("rep <> label"), "rep", "label")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(joined, F.col("rep") == F.col("node"), "left")
-    groups = groups.join(links.select(F.col("rep").alias("r"), "links", "component"), F.col("rep") == F.col("r"), "left")
-    groups = groups.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    # records of one key reach one another through it
+    of_key = rows.where("good").select("key", "label", "vector").distinct().join(groups.select("label", "vector", "rep"), ["label", "vector"]).select("key", "rep")
+    several = of_key.groupBy("key").agg(F.min("rep").alias("label"), F.max("rep").alias("last")).where("label < last").select("key", "label")
+    through = of_key.join(several, "key").select("rep", "label").where("rep <> label")
+    joined = connected_components(found.where("rep <> label").select("rep", "label").unionByName(through), "rep", "label")
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    groups = groups.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    least = groups.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
+    groups = groups.join(least, "component", "left")
+    groups = groups.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("least", "first").alias("component"))
     both = rows.join(groups, ["label", "vector"], "left")
     component = F.when(F.col("good"), F.col("component")).otherwise(F.col("key"))
     return both.select(
