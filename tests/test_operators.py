@@ -96,3 +96,53 @@ def test_distances_reach_all(spark):
     assert distances(chain, "s16", most=2).count() == 3
     with pytest.raises(ValueError):
         distances(chain, "s15", most=2)
+
+
+def test_endpoints_of_components(spark):
+    from tracejobs.functions.names import endpoint_of
+
+    cases = {"span|web::POST /a": "POST /a", "span|web:: HTTP GET http://x::y ": "HTTP GET http://x::y", "span|HTTP POST http://x:80/a": "HTTP POST http://x:80/a", "span| http://x/a": "http://x/a", "span|web::select": None, "web": None, None: None, "span|web::X::GET /a": None, "a|b|GET /c": None}
+    df = spark.createDataFrame([(k,) for k in cases], "c string")
+    assert {r.c: r.e for r in df.withColumn("e", endpoint_of(F.col("c"))).collect()} == cases
+
+
+def test_client_repair(spark):
+    from tracejobs.operators.relations import client_repair
+
+    rows = [("a", "", "web", "HTTP GET"), ("b", "a", "api", "GET /x"), ("c", "b", "api", "POST"), ("e", "b", "api", "POST"), ("f", "e", "db", "one"), ("g", "e", "db", "two"), ("h", "g", "w", "GET"), ("i", "h", "q", "r")]
+    df = spark.createDataFrame([("d", 1, *r) for r in rows], "datapack string, trace_id long, span_id string, parent_span_id string, service_name string, span_name string")
+    got = {r.span_id: r.span_name for r in client_repair(df).collect()}
+    # c has no child and goes; e has two and stays; h's child has no third word
+    assert got == {"a": "HTTP GET /x", "b": "GET /x", "e": "POST", "f": "one", "g": "two", "h": "GET", "i": "r"}
+
+
+def test_split(spark):
+    from tracejobs.operators.reports import split_cases
+
+    cases = spark.createDataFrame([(s, f"{s}{i}") for s, n in (("a", 1), ("b", 4), ("c", 20)) for i in range(n)] + [("a", "old")], "s string, k string")
+    previous = spark.createDataFrame([("old",), ("x",)], "k string")
+    n = lambda df: {(r.s, r.part): r["count"] for r in df.groupBy("s", "part").count().collect()}
+    # 25 cases, 12.5 wanted: 1 + 2 + 10 with a cap of 10
+    assert n(split_cases(cases, "s", "k", 0.5, previous)) == {("a", "train"): 1, ("b", "train"): 2, ("b", "test"): 2, ("c", "train"): 10, ("c", "test"): 10}
+    assert n(split_cases(cases, "s", "k", 0.5, previous, limit=9)) == {("a", "train"): 1, ("b", "train"): 2, ("c", "train"): 1, ("b", "test"): 2, ("c", "test"): 3}
+    assert split_cases(cases.where("false"), "s", "k", 0.5).count() == 0
+
+
+def test_tool_bonus(spark):
+    from math import tanh
+
+    from tracejobs.operators.reports import tool_usage
+
+    rows = [(c, role, i, ok) for c, good, bad in ((1, 6, 2), (2, 0, 3)) for i in range(good + bad) for role, ok in (("assistant", None), ("tool", i < good), ("tool", False))]
+    got = {r.conv_id: (r.succeeded, r.failed, r.bonus) for r in tool_usage(spark.createDataFrame(rows, "conv_id long, role string, call long, ok boolean")).collect()}
+    assert got == {1: (6, 2, round(0.2 * 0.75 * (1 - tanh(2)) * (1 - tanh(0.2)), 6)), 2: (0, 3, 0.0)}
+
+
+def test_rank_sum_p(spark):
+    from statistics import NormalDist
+
+    from tracejobs.operators.compare import rank_sum
+
+    rows = [("d", "e", "normal", i) for i in range(20)] + [("d", "e", "abnormal", i + 7) for i in range(20)]
+    (r,) = rank_sum(spark.createDataFrame(rows, "datapack string, span_name string, period string, duration long")).collect()
+    assert r.u == 84.5 and abs(r.p - 2 * NormalDist().cdf(-r.z)) < 2e-6

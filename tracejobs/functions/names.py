@@ -80,9 +80,11 @@ def parsed_time(x: Column) -> Column:
 
 
 def endpoint_of(component: Column) -> Column:
-    """The endpoint of ``span|service::ENDPOINT`` if it looks like one of HTTP, else null."""
-    found = F.when(component.contains("::"), F.substring_index(component, "::", -1))
-    return F.when(found.rlike(r"^(?:(?:HTTP )?(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b|/)"), found)
+    """What follows the first ``::``, without one the first bar, trimmed, if it begins like a request of HTTP; else null."""
+    after = lambda mark: F.regexp_extract(component, rf"(?s)^.*?{mark}\s*(.*?)\s*$", 1)
+    found = F.when(component.contains("::"), after("::")).when(component.contains("|"), after(r"\|"))
+    # How an endpoint begins.
+    return F.when(found.rlike("^(HTTP |GET |POST |PUT |DELETE |PATCH |http://|https://)"), found)
 
 
 def pair_of(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracejobs.functions.normal import two_sided_p
 from tracejobs.functions.quantiles import relative_diff
 
 
@@ -81,7 +82,7 @@ def node_anomalies(metrics: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def rank_sum(spans: DataFrame, least: int = 10) -> DataFrame:
-    """Mann-Whitney U of normal against abnormal durations of an endpoint, its z with ties and continuity corrected.
+    """Mann-Whitney U of normal against abnormal durations of an endpoint, its z with ties and continuity corrected, and the two-sided p.
 
     Equal durations are counted first, so the window runs over different values only.
     """
@@ -94,4 +95,4 @@ def rank_sum(spans: DataFrame, least: int = 10) -> DataFrame:
     n, product = F.col("n1") + F.col("n2"), F.col("n1") * F.col("n2").cast("double")
     g = g.withColumn("u", F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2).withColumn("sigma", F.sqrt(product / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))))
     z = F.when(F.col("sigma") > 0, F.greatest(F.lit(0.0), F.abs(F.col("u") - product / 2) - 0.5) / F.when(F.col("sigma") > 0, F.col("sigma"))).otherwise(0.0)
-    return g.select(*keys, "n1", "n2", "u", F.round(z, 6).alias("z"))
+    return g.select(*keys, "n1", "n2", "u", F.round(z, 6).alias("z"), F.round(two_sided_p(z), 6).alias("p"))

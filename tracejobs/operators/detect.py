@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracejobs.functions.normal import two_sided_p
 from tracejobs.functions.quantiles import relative_diff
-
+from tracejobs.operators.detectors import Statistical, Trend
 from tracejobs.operators.sli import endpoint_stats
 
 
@@ -26,16 +27,18 @@ def statistical_detector(metrics: DataFrame, z: float = 3.0, iqr: float = 1.5, l
     both = metrics.where("period = 'abnormal'").join(history, keys)
     spread = F.col("q")[1] - F.col("q")[0]
     score = F.when(F.col("sd") > 0, F.abs(F.col("value") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")))
-    kind = F.when(score > z, "z-score").when((F.col("value") < F.col("q")[0] - iqr * spread) | (F.col("value") > F.col("q")[1] + iqr * spread), "iqr")
-    return both.select(*keys, "seq", "value", F.round(score, 6).alias("z"), kind.alias("kind")).where("kind IS NOT NULL")
+    kind = F.when(score > z, "z-score").when((spread > 0) & ((F.col("value") < F.col("q")[0] - iqr * spread) | (F.col("value") > F.col("q")[1] + iqr * spread)), "iqr")
+    known = both.withColumns({"h_n": F.col("n"), "h_mean": F.col("m"), "h_sd": F.col("sd"), "h_q1": F.col("q")[0], "h_q3": F.col("q")[1]})
+    found = Statistical(z, iqr).detect(F.col("value"))
+    return known.select(*keys, "seq", "value", F.round(score, 6).alias("z"), kind.alias("kind"), found["severity"].alias("severity"), F.round(found["confidence"], 6).alias("confidence")).where("kind IS NOT NULL")
 
 
 def trend_detector(metrics: DataFrame, length: int = 10, sigmas: float = 3.0) -> DataFrame:
     """Points that leave the mean of the ``length`` points before them by more than so many of their sigmas."""
     w = Window.partitionBy("datapack", "service_name", "metric").orderBy("time", "seq").rowsBetween(-length, -1)
-    v = metrics.select("datapack", "service_name", "metric", "seq", "value", F.avg("value").over(w).alias("m"), F.stddev_pop("value").over(w).alias("sd"), F.count("value").over(w).alias("n"))
-    hit = v.where((F.col("n") == length) & (F.abs(F.col("value") - F.col("m")) > sigmas * F.col("sd")))
-    return hit.select("datapack", "service_name", "metric", "seq", "value", F.when(F.col("value") > F.col("m"), "spike").otherwise("drop").alias("kind"), F.round("m", 6).alias("mean"))
+    before = {f"h_{c}_{length}": f("value").over(w) for c, f in (("mean", F.avg), ("sd", F.stddev_pop), ("last", F.count))}
+    v = metrics.withColumns(before).withColumn("found", Trend(length, sigmas).detect(F.col("value"))).where("found IS NOT NULL")
+    return v.select("datapack", "service_name", "metric", "seq", "value", F.substring_index("found.anomaly_type", "_", -1).alias("kind"), F.round(f"h_mean_{length}", 6).alias("mean"), "found.severity", F.round("found.confidence", 6).alias("confidence"))
 
 
 def _issue(name: str, condition: Column, before: Column, after: Column) -> Column:
@@ -88,10 +91,10 @@ def threshold_detector(metrics: DataFrame, low: float | None, high: float | None
     return rows.select("datapack", "service_name", "metric", "seq", "value", F.when(over, "high").otherwise("low").alias("kind"), severity(F.col("ratio")).alias("severity"), F.round(confidence, 6).alias("confidence"))
 
 
-def success_rate_detector(spans: DataFrame, least_normal: int = 10, least_abnormal: int = 5, drop: float = 0.03, relative: float = 0.1, z: float = 1.959963984540054) -> DataFrame:
+def success_rate_detector(spans: DataFrame, least_normal: int = 10, least_abnormal: int = 5, drop: float = 0.03, relative: float = 0.1, significance: float = 0.05) -> DataFrame:
     """Endpoints of both periods: success rates, their pooled two-proportion z, and whether the drop is significant.
 
-    Significant: beyond z, more than ``drop``, and more than ``relative`` of the normal rate; too few spans, or no
+    Significant: p below ``significance``, more than ``drop``, and more than ``relative`` of the normal rate; too few spans, or no
     variance, are not. Severity by the drop: over 0.2 critical, 0.1 high, 0.05 medium.
     """
     of = lambda p, c: F.count_if((F.col("period") == p) & c)
@@ -101,9 +104,10 @@ def success_rate_detector(spans: DataFrame, least_normal: int = 10, least_abnorm
     pooled = (F.col("g1") + F.col("g2")) / (F.col("n1") + F.col("n2"))
     g = g.withColumn("a", F.col("g1") / F.col("n1")).withColumn("b", F.col("g2") / F.col("n2")).withColumn("se", F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2"))))
     g = g.withColumn("z", F.coalesce(F.try_divide(F.abs(F.col("b") - F.col("a")), F.col("se")), F.lit(0.0))).withColumn("fall", F.col("a") - F.col("b"))
-    wrong = (F.col("z") > z) & (F.col("fall") > drop) & (F.col("fall") > relative * F.col("a"))
+    g = g.withColumn("p", F.when(F.col("se") > 0, two_sided_p(F.col("z"))).otherwise(1.0))
+    wrong = (F.col("p") < significance) & (F.col("fall") > drop) & (F.col("fall") > relative * F.col("a"))
     level = F.when(F.col("fall") > 0.2, "critical").when(F.col("fall") > 0.1, "high").when(F.col("fall") > 0.05, "medium").otherwise("low")
-    return g.select("datapack", "span_name", F.round("a", 6).alias("normal_rate"), F.round("b", 6).alias("abnormal_rate"), F.round("z", 6).alias("z"), wrong.alias("is_anomaly"), F.when(wrong, level).alias("severity"))
+    return g.select("datapack", "span_name", F.round("a", 6).alias("normal_rate"), F.round("b", 6).alias("abnormal_rate"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), wrong.alias("is_anomaly"), F.when(wrong, level).alias("severity"), F.when(wrong, F.round(F.least(F.lit(1.0), (1 - F.col("p")) * 2), 6)).alias("confidence"))
 
 
 def new_endpoint_issues(stats: DataFrame) -> DataFrame:
@@ -138,9 +142,14 @@ def recent_stats(metrics: DataFrame, length: int = 10) -> DataFrame:
     return metrics.select("datapack", "service_name", "metric", "seq", F.round(F.avg("value").over(past), 6).alias("mean"), F.round(F.stddev_pop("value").over(past), 6).alias("sd"))
 
 
-def usable_datapacks(concluded: DataFrame) -> DataFrame:
-    """Datapacks with an endpoint that has issues."""
-    return concluded.groupBy("datapack").agg(F.max(F.col("issues") != "").alias("usable"))
+def usable_datapacks(concluded: DataFrame, sizes: DataFrame, most_bytes: int) -> DataFrame:
+    """(datapack, issues, bytes, usable): datapacks with at least an endpoint that has issues (JSON other than ``{}``) and of no more than that size.
+
+    sizes: (datapack, bytes). A datapack without conclusions or without a size is not usable.
+    """
+    some = concluded.groupBy("datapack").agg(F.count_if(F.col("issues") != "{}").alias("issues"))
+    out = some.join(sizes, "datapack", "full")
+    return out.select("datapack", F.coalesce("issues", F.lit(0)).alias("issues"), "bytes", F.coalesce((F.col("issues") > 0) & (F.col("bytes") <= most_bytes), F.lit(False)).alias("usable"))
 
 
 def validity(counts: DataFrame, signals: list[str], spans: DataFrame, longest_s: float) -> DataFrame:
@@ -148,4 +157,4 @@ def validity(counts: DataFrame, signals: list[str], spans: DataFrame, longest_s:
     have = counts.where("n > 0").groupBy("datapack").agg(F.collect_set("signal").alias("have"))
     roots = spans.where("period = 'normal' AND parent_span_id = ''").groupBy("datapack").agg((F.max("duration") / 1e9).alias("longest"))
     out = have.join(roots, "datapack", "full").withColumn("missing", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, signals)), F.coalesce("have", F.array().cast("array<string>")))), ","))
-    return out.select("datapack", "missing", "longest", ((F.col("missing") == "") & (F.col("longest") <= longest_s)).alias("valid"))
+    return out.select("datapack", "missing", "longest", F.coalesce((F.col("missing") == "") & (F.col("longest") <= longest_s), F.lit(False)).alias("valid"))

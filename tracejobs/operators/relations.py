@@ -69,11 +69,15 @@ def error_spans(spans: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def client_repair(spans: DataFrame) -> DataFrame:
-    """Spans whose name is a bare GET or POST take the name of their only child; those without a child go."""
+    """Spans whose name ends in GET or POST get the third word of their only child's operation (service, then name) appended; those without a child go.
+
+    A child's operation of fewer words appends nothing.
+    """
     bare = F.col("span_name").rlike("(GET|POST)$")
-    child = spans.groupBy(*KEY, F.col("parent_span_id").alias("span_id")).agg(F.count(F.lit(1)).alias("children"), F.min("span_name").alias("child_name"))
+    word = F.get(F.split(F.concat("service_name", F.lit(" "), "span_name"), " "), F.lit(2))
+    child = spans.where("parent_span_id <> ''").groupBy(*KEY, F.col("parent_span_id").alias("span_id")).agg(F.count(F.lit(1)).alias("children"), F.min(word).alias("word"))
     both = spans.join(child, [*KEY, "span_id"], "left").where(~bare | F.col("children").isNotNull())
-    return both.select(*KEY, "span_id", F.when(bare & (F.col("children") == 1), F.col("child_name")).otherwise(F.col("span_name")).alias("span_name"))
+    return both.select(*KEY, "span_id", F.when(bare & (F.col("children") == 1), F.concat_ws(" ", "span_name", "word")).otherwise(F.col("span_name")).alias("span_name"))
 
 
 def path_services(spans: DataFrame) -> DataFrame:

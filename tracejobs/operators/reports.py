@@ -77,11 +77,9 @@ def levels_accuracy(samples: DataFrame) -> DataFrame:
 
 
 def top_per_group(rows: DataFrame, keys: list[str], value: str, tie: str, most: int) -> DataFrame:
-    """The ``most`` rows of each group with the largest values, ranked; ties by ``tie``. Kept as a bounded list while groups are summed up."""
-    others = [c for c in rows.columns if c not in keys]
-    row = F.struct((-F.col(value)).alias("_down"), F.col(tie).alias("_tie"), *others)
-    best = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(row)), 1, most).alias("best"))
-    return best.select(*keys, F.posexplode("best").alias("i", "x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in others], (F.col("i") + 1).alias("rank"))
+    """The ``most`` rows of each group with the largest values, ranked; ties by ``tie``. Spark keeps that many of a group before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(value), tie)
+    return rows.where(F.col(value).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def filled_matrix(metrics: DataFrame, keys: list[str], time: str, metric: str, value: str) -> DataFrame:
@@ -96,29 +94,46 @@ def filled_matrix(metrics: DataFrame, keys: list[str], time: str, metric: str, v
 
 
 def tool_usage(messages: DataFrame) -> DataFrame:
-    """Per conversation: different assistant calls whose reply succeeded or failed; any success wins."""
+    """Per conversation: different assistant calls whose reply succeeded or failed (any success wins), and the bonus for them.
+
+    bonus: 0.2 times the part that succeeded, less for failures (1 - tanh of their number) and for a number of calls far
+    from ten (1 - tanh of the distance over ten); 0 without a success.
+    """
     calls = messages.where("role = 'assistant'").select("conv_id", "call").distinct()
     replies = messages.where("role <> 'assistant'").groupBy("conv_id", "call").agg(F.max("ok").alias("ok"))
     both = calls.join(replies, ["conv_id", "call"])
-    return both.groupBy("conv_id").agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed")).withColumn("bonus", F.round(F.tanh(F.col("succeeded") / 5), 6))
+    total = F.col("succeeded") + F.col("failed")
+    bonus = 0.2 * F.try_divide(F.col("succeeded"), total) * (1 - F.tanh(F.col("failed").cast("double"))) * (1 - F.tanh(F.abs(total - 10) / 10))
+    return both.groupBy("conv_id").agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed")).withColumn("bonus", F.round(F.coalesce(bonus, F.lit(0.0)), 6))
+
 
+def split_cases(cases: DataFrame, stratum: str, key: str, ratio: float, previous: DataFrame | None = None, limit: int = 0, seed: int = 0) -> DataFrame:
+    """cases (stratum, key) with a column part, train or test; those of ``previous`` (key) are left out.
 
-def split_cases(cases: DataFrame, stratum: str, key: str, ratio: float, seed: int = 0) -> DataFrame:
-    """cases (stratum, key) with a column part, train or test: the smallest cap a stratum with which ceil(ratio * n) train cases are reached, of which that many stay.
+    Of a stratum of n cases min(ceil(ratio * n), cap) are for training, drawn in a seeded order. The cap is the least, from
+    the size of the smallest stratum on, with which at least ratio of all cases are for training. With a limit below
+    the number of cases, the first floor(limit * ratio) for training stay and the first limit - that for testing,
+    in the order of strata and draws.
 
-    Cases of a stratum are drawn in a seeded order. The caps are found from the strata's sizes alone.
+    The cap is found from how often each size occurs, so that only one number comes to the driver.
     """
+    cases = cases.select(stratum, key)
+    if previous is not None:
+        cases = cases.join(previous.select(key).distinct(), key, "left_anti")
+    sizes = cases.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.ceil(F.col("n") * ratio))
+    by = sizes.groupBy("most").agg(F.count(F.lit(1)).alias("strata"), F.sum("n").alias("cases"), F.min("n").alias("least"))
+    order = Window.orderBy("most")  # over different sizes only
+    below = F.coalesce(F.sum(F.col("strata") * F.col("most")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum("strata").over(order.rowsBetween(0, Window.unboundedFollowing))
+    target = F.sum("cases").over(Window.partitionBy()) * ratio
+    steps = by.select("most", F.min("least").over(Window.partitionBy()).alias("least"), F.ceil((target - below) / open_).alias("cap"))
+    cap = steps.agg(F.greatest(F.min(F.when(F.col("cap") <= F.col("most"), F.col("cap"))), F.min("least"))).first()[0] or 0
     drawn = cases.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    at = F.row_number().over(Window.partitionBy(stratum).orderBy("draw", key))
-    rows = drawn.withColumn("place", at)
-    heights = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    total = cases.count()
-    wanted = -(-int(total * ratio * 1_000_000) // 1_000_000)
-    reached = heights.withColumn("upto", F.sum("n").over(Window.orderBy("place")))  # as many rows as the largest stratum has cases
-    last = reached.where(F.col("upto") >= wanted).agg(F.min(F.struct("place", "upto", "n")).alias("x")).first()["x"] if wanted else None
-    if last is None:
-        return rows.select(stratum, key, F.lit("test").alias("part"))
-    left = wanted - (last["upto"] - last["n"])
-    edge = rows.where(F.col("place") == last["place"]).orderBy("draw", key).limit(left).select(F.col(key).alias("k"))
-    both = rows.join(edge, rows[key] == edge["k"], "left")
-    return both.select(stratum, key, F.when((F.col("place") < last["place"]) | F.col("k").isNotNull(), "train").otherwise("test").alias("part"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("draw", key))
+    rows = drawn.withColumn("place", place).join(sizes.select(stratum, "most"), stratum)
+    rows = rows.withColumn("part", F.when(F.col("place") <= F.least("most", F.lit(cap)), "train").otherwise("test"))
+    if limit and cases.count() > limit:
+        train = int(limit * ratio)
+        first = lambda part, n: rows.where(F.col("part") == part).orderBy(stratum, "place").limit(n)
+        rows = first("train", train).unionByName(first("test", limit - train))
+    return rows.select(stratum, key, "part")

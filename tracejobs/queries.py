@@ -27,6 +27,15 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
         ORACLE_SQL[name] = (f"WITH {'RECURSIVE ' if 'RECURSIVE' in sql else ''}{with_}" + (", " + sql.replace("RECURSIVE ", "", 1)[5:] if sql.startswith("WITH") else " " + sql)) if views else sql
 
 
+_ERF = "list_sum(list_transform(range(0, 160), lambda n: exp((2 * n + 1) * ln({x}) + n * ln(4) + lgamma(n + 1) - lgamma(2 * n + 2)))) * 2 / sqrt(pi()) * exp(-{x} * {x})"
+
+
+def _p_sql(z: str) -> str:
+    """Two-sided probability; at 0 it is 1, from 8 on 0 to 12 places."""
+    x = f"(({z}) / sqrt(2.0))"
+    return f"CASE WHEN ({z}) = 0 THEN 1 WHEN ({z}) > 8 THEN 0 ELSE 1 - {_ERF.format(x=x)} END"
+
+
 _EDGES = "SELECT DISTINCT p.datapack, p.service_name AS src, c.service_name AS dst FROM spans p JOIN spans c ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE p.service_name <> c.service_name"
 _SAMPLED = "(SELECT DISTINCT datapack, trace_id FROM spans WHERE trace_id % 10 = 0)"
 
@@ -115,11 +124,11 @@ SELECT datapack, span_name, count(*) AS n, round(coalesce(avg(s) FILTER (i >= fl
 _add("d02_statistical_detector", lambda s, d: detect.statistical_detector(fx.metrics(s, d), 1.5, 0.5), """
 WITH h AS (SELECT datapack, service_name, metric, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM metrics WHERE period = 'normal' GROUP BY ALL HAVING count(value) >= 5),
 x AS (SELECT datapack, service_name, metric, seq, value, CASE WHEN sd > 0 THEN abs(value - m) / sd END AS z, a, b FROM metrics JOIN h USING (datapack, service_name, metric) WHERE period = 'abnormal'),
-k AS (SELECT *, CASE WHEN z > 1.5 THEN 'z-score' WHEN value < a - 0.5 * (b - a) OR value > b + 0.5 * (b - a) THEN 'iqr' END AS kind FROM x)
-SELECT datapack, service_name, metric, seq, value, round(z, 6) AS z, kind FROM k WHERE kind IS NOT NULL""", "metrics")
+k AS (SELECT *, CASE WHEN z > 1.5 THEN 'z-score' WHEN b > a AND (value < a - 0.5 * (b - a) OR value > b + 0.5 * (b - a)) THEN 'iqr' END AS kind, least(greatest(a - 0.5 * (b - a) - value, value - b - 0.5 * (b - a), 0) / nullif(0.5 * (b - a), 0), 1) AS far FROM x)
+SELECT datapack, service_name, metric, seq, value, round(z, 6) AS z, kind, CASE WHEN kind = 'iqr' THEN CASE WHEN far >= 0.8 THEN 'high' WHEN far >= 0.5 THEN 'medium' ELSE 'low' END WHEN z >= 4 THEN 'critical' WHEN z >= 3.5 THEN 'high' WHEN z >= 3 THEN 'medium' ELSE 'low' END AS severity, round(CASE WHEN kind = 'iqr' THEN far ELSE least(z / 1.5, 4) / 4 END, 6) AS confidence FROM k WHERE kind IS NOT NULL""", "metrics")
 _add("d03_trend_detector", lambda s, d: detect.trend_detector(fx.metrics(s, d), 10, 2.0), """
 WITH v AS (SELECT datapack, service_name, metric, seq, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(value) OVER w AS n FROM metrics WINDOW w AS (PARTITION BY datapack, service_name, metric ORDER BY time, seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-SELECT datapack, service_name, metric, seq, value, CASE WHEN value > m THEN 'spike' ELSE 'drop' END AS kind, round(m, 6) AS mean FROM v WHERE n = 10 AND abs(value - m) > 2.0 * sd""", "metrics")
+SELECT datapack, service_name, metric, seq, value, CASE WHEN value > m THEN 'spike' ELSE 'drop' END AS kind, round(m, 6) AS mean, CASE WHEN abs(value - m) / sd >= 4 THEN 'critical' WHEN abs(value - m) / sd >= 3 THEN 'high' ELSE 'medium' END AS severity, 1.0 AS confidence FROM v WHERE n = 10 AND sd > 0 AND abs(value - m) > 2.0 * sd""", "metrics")
 _STATS = "count(*) AS n, round(avg(duration / 1e9), 10) AS avg_duration, round(quantile_cont(duration / 1e9, 0.9), 8) AS p90, round(quantile_cont(duration / 1e9, 0.95), 8) AS p95, round(quantile_cont(duration / 1e9, 0.99), 8) AS p99, round(count(*) FILTER (status_code <> 'Error') / count(*), 6) AS succ_rate"
 _CONCLUSION = f"""st AS (SELECT datapack, span_name, period, {_STATS} FROM spans GROUP BY datapack, span_name, period), ab AS (SELECT a.datapack, a.span_name,
   {', '.join(f'a.{k} AS abnormal_{k}, b.{k} AS normal_{k}' for k in ('avg_duration', 'p90', 'p95', 'p99', 'succ_rate'))}, b.n IS NULL AS new FROM st a LEFT JOIN (SELECT * FROM st WHERE period = 'normal') b ON a.datapack = b.datapack AND a.span_name = b.span_name WHERE a.period = 'abnormal'),
@@ -200,11 +209,11 @@ SELECT algorithm, dataset, count(*) AS total, count(*) FILTER (best <= 1) AS cou
 _add("w01_latest_execution", lambda s, d: evaluate.latest(fx.read(s, d, "orders"), ["o_orderpriority", "o_custkey"], "o_orderdate", "o_orderkey").select("o_orderpriority", "o_custkey", "o_orderkey"), """
 SELECT o_orderpriority, o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS i FROM orders) WHERE i = 1""")
 _add("w02_first_entry", lambda s, d: coverage.first_entry(fx.spans(s, d)), f"WITH {_ENTRIES} SELECT * FROM entries", "spans")
-_add("w13_rank_sum", lambda s, d: compare.rank_sum(fx.spans(s, d)), """
+_add("w13_rank_sum", lambda s, d: compare.rank_sum(fx.spans(s, d)), f"""
 WITH r AS (SELECT datapack, span_name, period, rank() OVER w + (count(*) OVER (PARTITION BY datapack, span_name, duration) - 1) / 2 AS rank, count(*) OVER (PARTITION BY datapack, span_name, duration) AS t FROM spans WINDOW w AS (PARTITION BY datapack, span_name ORDER BY duration)),
 g AS (SELECT datapack, span_name, count(*) FILTER (period = 'normal') AS n1, count(*) FILTER (period = 'abnormal') AS n2, sum(rank) FILTER (period = 'normal') AS r, sum(CAST(t AS DOUBLE) * t - 1) AS ties, count(*) AS n FROM r GROUP BY ALL),
-u AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, n1 * CAST(n2 AS DOUBLE) AS p FROM g WHERE n1 >= 10 AND n2 >= 10)
-SELECT datapack, span_name, n1, n2, u, round(greatest(0, abs(u - p / 2) - 0.5) / sqrt(p / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM u""", "spans")
+u AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, n1 * CAST(n2 AS DOUBLE) AS p FROM g WHERE n1 >= 10 AND n2 >= 10),
+x AS (SELECT datapack, span_name, n1, n2, u, greatest(0, abs(u - p / 2) - 0.5) / sqrt(p / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u) SELECT datapack, span_name, n1, n2, u, round(z, 6) AS z, round({_p_sql('z')}, 6) AS p FROM x""", "spans")
 _add("d13_node_anomalies", lambda s, d: compare.node_anomalies(fx.metrics(s, d), 0.2), "WITH g AS (SELECT datapack, service_name, metric, " + ", ".join(f"round({f} FILTER (period = '{p}'), 9) AS {p}_{k}" for k, f in (("mean", "avg(value)"), ("std", "stddev_samp(value)"), ("p90", "quantile_cont(value, 0.9)")) for p in ("normal", "abnormal"))
      + " FROM metrics GROUP BY ALL), x AS (" + " UNION ALL ".join(f"SELECT datapack, service_name, metric, '{k}' AS stat, normal_{k} AS a, abnormal_{k} AS b FROM g" for k in ("mean", "std", "p90")) + """)
 SELECT datapack, service_name, metric, stat, round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 1 END ELSE (b - a) / a END, 6) AS diff FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND abs(round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 1 END ELSE (b - a) / a END, 6)) > CAST(0.2 AS DOUBLE)""", "metrics")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracejobs.operators import conclude, detectors
-from tracejobs.queries import _add
+from tracejobs.queries import _add, _p_sql
 from tracejobs.sources import fixtures as fx
 
 _SCALE, _FACTOR = (0.002, 0.008, 0.02, 0.06, 0.3), (1.0, 2.0, 5.0, 12.0, 30.0, 1.0, 300.0)
@@ -31,15 +31,6 @@ def _list(values: tuple[float, ...]) -> str:
 _SVC, _OP = "CAST(substr(span_name, 16, 1) AS INT)", "CAST(substr(span_name, 20, 1) AS INT)"
 _ENTRIES = f"""entries AS (SELECT datapack, period, span_name AS endpoint, CAST(floor(duration * {_list(_SCALE)}[{_OP} + 1] * CASE WHEN period = 'abnormal' THEN {_list(_FACTOR)}[{_SVC} + 1] ELSE 1 END) AS BIGINT) AS duration,
   CASE WHEN status_code = 'Unset' AND trace_id % 2 = 0 THEN NULL WHEN period = 'normal' AND {_OP} <> 0 THEN '200' ELSE CAST(http_status AS VARCHAR) END AS status FROM spans WHERE parent_span_id = '' AND (period = 'abnormal' OR NOT ({_SVC} = 5 AND {_OP} = 1)))"""
-_ERF = "list_sum(list_transform(range(0, 160), lambda n: exp((2 * n + 1) * ln({x}) + n * ln(4) + lgamma(n + 1) - lgamma(2 * n + 2)))) * 2 / sqrt(pi()) * exp(-{x} * {x})"
-
-
-def _p_sql(z: str) -> str:
-    """Two-sided probability; at 0 it is 1, from 8 on 0 to 12 places."""
-    x = f"(({z}) / sqrt(2.0))"
-    return f"CASE WHEN ({z}) = 0 THEN 1 WHEN ({z}) > 8 THEN 0 ELSE 1 - {_ERF.format(x=x)} END"
-
-
 _WHERE = {"avg": "true", "p90": ("0.85", "0.95"), "p95": ("0.90", "0.99"), "p99": ("0.95", "1.0")}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracejobs.functions import names
 from tracejobs.operators import coverage, detect, joins, relations, reports, selects, sli, structure
-from tracejobs.queries import _EDGES, _JUDGED, _SAMPLED, _add, _judged, _samples
+from tracejobs.queries import _EDGES, _JUDGED, _SAMPLED, _add, _judged, _p_sql, _samples
 from tracejobs.sources import fixtures as fx
 
 _WALK = """w AS (
@@ -66,14 +66,22 @@ _add("f10_local_time", lambda s, d: fx.read(s, d, "orders").select("o_orderkey",
 _add("f11_injection_time", lambda s, d: fx.spans(s, d).groupBy("datapack", "span_name").agg(F.min("time").alias("a"), F.max("time").alias("b")).select("datapack", "span_name", selects.injection_time(F.col("a"), F.col("b")).alias("time")),
      "SELECT datapack, span_name, CASE WHEN max(time) > min(time) THEN make_timestamp(CAST(floor((epoch_us(min(time)) + epoch_us(max(time))) / 2) AS BIGINT)) ELSE max(time) END AS time FROM spans GROUP BY datapack, span_name", "spans")
 _add("f12_http_span_name", lambda s, d: fx.spans(s, d).select("trace_id", "span_id", names.http_span_name(F.concat(F.lit("HTTP POST http://"), "service_name", F.lit(":8080"), F.regexp_replace("span_name", "^GET ", ""))).alias("name")), "SELECT trace_id, span_id, 'POST ' || substr(span_name, 5) AS name FROM spans", "spans")
-_add("f13_endpoint", lambda s, d: fx.spans(s, d).select("trace_id", "span_id", names.endpoint_of(F.concat(F.lit("span|"), "service_name", F.when(F.col("http_status") == 500, "::").otherwise("-"), "span_name")).alias("endpoint")), "SELECT trace_id, span_id, CASE WHEN http_status = 500 THEN span_name END AS endpoint FROM spans", "spans")
+_COMPONENTS = ("'span|' || {svc} || '::' || {name}", "'span| http://' || {svc} || ':8080/a::b '", "'span|HTTP ' || {name}", "'span|' || {svc} || '::X::' || {name}", "'service|' || {svc}", "{svc}", "{svc} || '::HTTP POST /x::GET /y'")
+
+
+def _component(s: SparkSession, d: str) -> DataFrame:
+    forms = [F.expr(c.format(svc="service_name", name="span_name")) for c in _COMPONENTS]
+    return fx.spans(s, d).select("trace_id", "span_id", names.endpoint_of(F.element_at(F.array(*forms), (F.length("span_id") % len(forms) + 1).cast("int"))).alias("endpoint"))
+
+
+_add("f13_endpoint", _component, "SELECT trace_id, span_id, CASE length(span_id) % 7 WHEN 0 THEN span_name WHEN 2 THEN 'HTTP ' || span_name WHEN 6 THEN 'HTTP POST /x::GET /y' END AS endpoint FROM spans", "spans")
 _add("f14_component_name", lambda s, d: fx.read(s, d, "supplier").select("s_suppkey", names.component_name(F.concat(F.lit(" service|TS-"), "s_name", F.lit("-x "))).alias("name")), "SELECT s_suppkey, replace(lower(s_name), '-', '') || 'x' AS name FROM supplier")
 _add("f16_pair", lambda s, d: fx.read(s, d, "nation").select(names.pair_of(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, "->a").otherwise(""))).alias("p")).select("p.*"), "SELECT n_name AS source, CASE WHEN n_nationkey % 2 = 0 THEN 'a' END AS target FROM nation")
 _add("f17_label_value", lambda s, d: fx.read(s, d, "customer").select("c_custkey", names.whole_number(F.when(F.col("c_custkey") % 4 == 0, "Infinity").when(F.col("c_custkey") % 4 == 1, "-Infinity").when(F.col("c_custkey") % 4 == 2, F.col("c_acctbal").cast("string")).otherwise("none")).alias("value")),
      "SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 0 THEN 999999999 WHEN 1 THEN -999999999 WHEN 2 THEN trunc(c_acctbal) ELSE 0 END AS BIGINT) AS value FROM customer")
 _add("f20_client_repair", lambda s, d: relations.client_repair(fx.spans(s, d).withColumn("span_name", F.when(F.col("http_status") == 500, "x GET").otherwise(F.col("span_name")))), """
-WITH x AS (SELECT datapack, trace_id, span_id, parent_span_id, CASE WHEN http_status = 500 THEN 'x GET' ELSE span_name END AS span_name FROM spans), c AS (SELECT trace_id, parent_span_id AS p, count(*) AS n, min(span_name) AS child FROM x GROUP BY ALL)
-SELECT datapack, x.trace_id, span_id, CASE WHEN span_name = 'x GET' AND n = 1 THEN child ELSE span_name END AS span_name FROM x LEFT JOIN c ON x.trace_id = c.trace_id AND x.span_id = c.p WHERE span_name <> 'x GET' OR n IS NOT NULL""", "spans")
+WITH x AS (SELECT datapack, trace_id, span_id, parent_span_id, service_name, CASE WHEN http_status = 500 THEN 'x GET' ELSE span_name END AS span_name FROM spans), c AS (SELECT trace_id, parent_span_id AS p, count(*) AS n, split_part(min(service_name || ' ' || span_name), ' ', 3) AS word FROM x WHERE parent_span_id <> '' GROUP BY ALL)
+SELECT datapack, x.trace_id, span_id, CASE WHEN span_name = 'x GET' AND n = 1 THEN span_name || ' ' || word ELSE span_name END AS span_name FROM x LEFT JOIN c ON x.trace_id = c.trace_id AND x.span_id = c.p WHERE span_name <> 'x GET' OR n IS NOT NULL""", "spans")
 _add("f22_jaccard", lambda s, d: fx.spans(s, d).groupBy("datapack").agg(F.collect_set(F.when(F.col("period") == "normal", F.col("span_name"))).alias("a"), F.collect_set(F.when(F.col("status_code") == "Error", F.col("service_name"))).alias("b"), F.collect_set("service_name").alias("c")).select("datapack", F.round(names.jaccard(F.col("b"), F.col("c")), 6).alias("jaccard")),
      "SELECT datapack, round(count(DISTINCT service_name) FILTER (status_code = 'Error') / count(DISTINCT service_name), 6) AS jaccard FROM spans GROUP BY ALL", "spans")
 
@@ -168,7 +176,7 @@ _add("a52_level_accuracy", lambda s, d: reports.levels_accuracy(_judged(s, d).wi
 SELECT level, count(*) AS n, count(*) FILTER (c) AS "right", round(count(*) FILTER (c) / count(c), 6) AS accuracy FROM x GROUP BY level UNION ALL SELECT NULL, count(*), count(*) FILTER (c), round(count(*) FILTER (c) / count(*), 6) FROM x""")
 _add("a55_tool_usage", lambda s, d: reports.tool_usage(fx.read(s, d, "conversations").select("conv_id", F.expr("CASE WHEN turn % 2 = 1 THEN 'assistant' ELSE 'tool' END").alias("role"), F.floor((F.col("turn") + 1) / 2 % 3).alias("call"), (F.length("text") % 2 == 0).alias("ok"))), """
 WITH m AS (SELECT conv_id, turn % 2 = 1 AS mine, CAST(floor((turn + 1) / 2 % 3) AS BIGINT) AS call, length(text) % 2 = 0 AS ok FROM conversations), c AS (SELECT DISTINCT conv_id, call FROM m WHERE mine), r AS (SELECT conv_id, call, bool_or(ok) AS ok FROM m WHERE NOT mine GROUP BY ALL),
-g AS (SELECT conv_id, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed FROM c JOIN r USING (conv_id, call) GROUP BY ALL) SELECT *, round(tanh(succeeded / 5), 6) AS bonus FROM g""")
+g AS (SELECT conv_id, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed FROM c JOIN r USING (conv_id, call) GROUP BY ALL) SELECT *, round(CASE WHEN succeeded = 0 THEN 0 ELSE 0.2 * succeeded / (succeeded + failed) * (1 - tanh(failed)) * (1 - tanh(abs(succeeded + failed - 10) / 10)) END, 6) AS bonus FROM g""")
 _add("a56_time_range", lambda s, d: fx.logs(s, d).groupBy("datapack").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count(F.lit(1)).alias("logs"), F.count_distinct("service_name").alias("services")), "SELECT datapack, min(time) AS first, max(time) AS last, count(*) AS logs, count(DISTINCT service_name) AS services FROM logs GROUP BY ALL", "logs")
 _add("a57_label_usage", lambda s, d: fx.read(s, d, "nation").select("n_nationkey", "n_name").join(fx.read(s, d, "supplier").select("s_nationkey", "s_suppkey"), F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("assignments")), "SELECT n_name, count(s_suppkey) AS assignments FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL")
 _add("a58_pair_drilldown", lambda s, d: fx.spans(s, d).where("span_name LIKE '%svc1/%' OR span_name LIKE '%svc2/%'").groupBy("datapack", "trace_id").agg(F.max("http_status").alias("worst"), F.max("duration").alias("longest"), F.min("time").alias("first"), F.max(F.col("span_name").contains("svc1/")).alias("a"), F.max(F.col("span_name").contains("svc2/")).alias("b")).where("a AND b").drop("a", "b"),
@@ -185,16 +193,25 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
 _add("k04_top_metrics", lambda s, d: reports.top_per_group(_parts(s, d), ["datapack", "service_name"], "part", "metric", 3), f"{_CONTRIBUTION}, r AS (SELECT *, row_number() OVER (PARTITION BY datapack, service_name ORDER BY part DESC, metric) AS rank FROM c WHERE part IS NOT NULL) SELECT * FROM r WHERE rank <= 3", "metrics")
 _add("k05_top_symptoms", lambda s, d: reports.top_per_group(fx.spans(s, d).groupBy("datapack", "service_name", "span_name").agg(F.sum(F.when(F.col("period") == "abnormal", F.col("duration")).otherwise(-F.col("duration"))).alias("delta")).where("delta > 0 AND service_name <> 'loadgenerator'").withColumn("op", F.concat("service_name", F.lit(" "), "span_name")).select("datapack", "op", "delta"), ["datapack"], "delta", "op", 5), """
 WITH g AS (SELECT datapack, service_name || ' ' || span_name AS op, CAST(sum(CASE period WHEN 'abnormal' THEN duration ELSE -duration END) AS BIGINT) AS delta FROM spans WHERE service_name <> 'loadgenerator' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY datapack ORDER BY delta DESC, op) AS rank FROM g WHERE delta > 0) SELECT * FROM r WHERE rank <= 5""", "spans")
-_add("k09_train_test_split", lambda s, d: reports.split_cases(fx.read(s, d, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 0.3), """
-WITH r AS (SELECT c_mktsegment, c_custkey, md5('0:' || c_custkey) AS draw, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('0:' || c_custkey), c_custkey) AS place FROM customer), w AS (SELECT *, row_number() OVER (ORDER BY place, draw, c_custkey) AS i, count(*) OVER () AS n FROM r)
-SELECT c_mktsegment, c_custkey, CASE WHEN i <= ceil(n * CAST(0.3 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM w""")
+_STRATA = """c AS (SELECT c_mktsegment || (c_custkey % 97 % 4) AS stratum, c_custkey FROM customer WHERE c_custkey % 11 <> 0), z AS (SELECT stratum, count(*) AS n, CAST(ceil(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS most FROM c GROUP BY ALL),
+t AS (SELECT cap FROM (SELECT unnest(range(1, (SELECT max(n) FROM z) + 1)) AS cap), (SELECT min(n) AS least, sum(n) * CAST(0.3 AS DOUBLE) AS target FROM z) WHERE cap >= least AND (SELECT sum(least(most, cap)) FROM z) >= target ORDER BY cap LIMIT 1),
+r AS (SELECT stratum, c_custkey, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || c_custkey), c_custkey) AS place FROM c), p AS (SELECT r.*, CASE WHEN place <= least(most, cap) THEN 'train' ELSE 'test' END AS part FROM r JOIN z USING (stratum), t)"""
+
+
+def _split(s: SparkSession, d: str, limit: int) -> DataFrame:
+    cases = fx.read(s, d, "customer").select(F.concat("c_mktsegment", F.col("c_custkey") % 97 % 4).alias("stratum"), "c_custkey")
+    return reports.split_cases(cases, "stratum", "c_custkey", 0.3, cases.where("c_custkey % 11 = 0").select("c_custkey"), limit)
+
+
+_add("k09_train_test_split", lambda s, d: _split(s, d, 0), f"WITH {_STRATA} SELECT stratum, c_custkey, part FROM p")
+_add("k09_limited_split", lambda s, d: _split(s, d, 100), f"WITH {_STRATA}, l AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY stratum, place) AS i FROM p) SELECT stratum, c_custkey, part FROM l WHERE i <= CASE part WHEN 'train' THEN 30 ELSE 70 END")
 
 # Detectors
-_add("d05_success_rate", lambda s, d: detect.success_rate_detector(fx.spans(s, d)), """
-WITH g AS (SELECT datapack, span_name, count(*) FILTER (period = 'normal') AS n1, count(*) FILTER (period = 'abnormal') AS n2, count(*) FILTER (period = 'normal' AND status_code <> 'Error') AS g1, count(*) FILTER (period = 'abnormal' AND status_code <> 'Error') AS g2 FROM spans GROUP BY ALL),
-x AS (SELECT *, g1 / n1 AS a, g2 / n2 AS b, (g1 + g2) / (n1 + n2) AS p FROM g WHERE n1 >= 10 AND n2 >= 5), y AS (SELECT *, sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) AS se, a - b AS f FROM x), z AS (SELECT *, CASE WHEN se > 0 THEN abs(b - a) / se ELSE 0 END AS z FROM y),
-v AS (SELECT *, z > CAST(1.959963984540054 AS DOUBLE) AND f > CAST(0.03 AS DOUBLE) AND f > CAST(0.1 AS DOUBLE) * a AS w FROM z)
-SELECT datapack, span_name, round(a, 6) AS normal_rate, round(b, 6) AS abnormal_rate, round(z, 6) AS z, w AS is_anomaly, CASE WHEN w THEN CASE WHEN f > 0.2 THEN 'critical' WHEN f > 0.1 THEN 'high' WHEN f > 0.05 THEN 'medium' ELSE 'low' END END AS severity FROM v""", "spans")
+_add("d05_success_rate", lambda s, d: detect.success_rate_detector(fx.spans(s, d).where("period = 'normal' OR trace_id % 3 = 0").withColumn("status_code", F.when((F.col("period") == "normal") & (F.col("trace_id") % 2 == 0), "Ok").otherwise(F.col("status_code")))), f"""
+WITH y0 AS (SELECT datapack, span_name, period, period = 'normal' AND trace_id % 2 = 0 OR status_code <> 'Error' AS ok FROM spans WHERE period = 'normal' OR trace_id % 3 = 0), g AS (SELECT datapack, span_name, count(*) FILTER (period = 'normal') AS n1, count(*) FILTER (period = 'abnormal') AS n2, count(*) FILTER (period = 'normal' AND ok) AS g1, count(*) FILTER (period = 'abnormal' AND ok) AS g2 FROM y0 GROUP BY ALL),
+x AS (SELECT *, g1 / n1 AS a, g2 / n2 AS b, (g1 + g2) / (n1 + n2) AS p FROM g WHERE n1 >= 10 AND n2 >= 5), y AS (SELECT *, sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) AS se, a - b AS f FROM x), z AS (SELECT * EXCLUDE (p), CASE WHEN se > 0 THEN abs(b - a) / se ELSE 0 END AS z FROM y),
+q AS (SELECT *, CASE WHEN se > 0 THEN {_p_sql('z')} ELSE 1 END AS p FROM z), v AS (SELECT *, p < CAST(0.05 AS DOUBLE) AND f > CAST(0.03 AS DOUBLE) AND f > CAST(0.1 AS DOUBLE) * a AS w FROM q)
+SELECT datapack, span_name, round(a, 6) AS normal_rate, round(b, 6) AS abnormal_rate, round(z, 6) AS z, round(p, 6) AS p, w AS is_anomaly, CASE WHEN w THEN CASE WHEN f > 0.2 THEN 'critical' WHEN f > 0.1 THEN 'high' WHEN f > 0.05 THEN 'medium' ELSE 'low' END END AS severity, CASE WHEN w THEN round(least(1, (1 - p) * 2), 6) END AS confidence FROM v""", "spans")
 _add("d06_new_endpoint_issues", lambda s, d: detect.new_endpoint_issues(sli.endpoint_stats(fx.spans(s, d).where("period = 'abnormal'"), ["datapack", "span_name"])).select("datapack", "span_name", *[F.get_json_object("issues", f"$.{c}.threshold").cast("double").alias(c) for c in ("avg_duration", "p99", "hard_timeout", "succ_rate")]), """
 SELECT datapack, span_name, CASE WHEN round(avg(duration / 1e9), 10) > 3 THEN CAST(3 AS DOUBLE) END AS avg_duration, CASE WHEN round(quantile_cont(duration / 1e9, 0.99), 8) > 10 THEN CAST(10 AS DOUBLE) END AS p99, CASE WHEN round(avg(duration / 1e9), 10) > 15 THEN CAST(15 AS DOUBLE) END AS hard_timeout,
   CASE WHEN round(count(*) FILTER (status_code <> 'Error') / count(*), 6) < CAST(0.9 AS DOUBLE) THEN CAST(0.9 AS DOUBLE) END AS succ_rate FROM spans WHERE period = 'abnormal' GROUP BY ALL""", "spans")
@@ -205,8 +222,21 @@ x AS (SELECT datapack, src, dst, round((b - a) / a, 6) AS diff_p_src, round((d -
 _add("d15_standardised_anomalies", lambda s, d: detect.standardised_anomalies(fx.metrics(s, d), 0.2), """
 WITH g AS (SELECT datapack, service_name, metric, avg(value) FILTER (period = 'normal') AS a, avg(value) FILTER (period = 'abnormal') AS b, coalesce(stddev_samp(value) FILTER (period = 'normal'), 0) AS sd FROM metrics GROUP BY ALL), x AS (SELECT datapack, service_name, metric, sd, round(CASE WHEN sd > 0 THEN (b - a) / sd ELSE b - a END, 6) AS diff FROM g)
 SELECT datapack, service_name, metric, diff FROM x WHERE CASE WHEN sd > 0 THEN abs(diff) > CAST(0.2 AS DOUBLE) ELSE abs(diff) > 0 END""", "metrics")
-_add("d11_usable_datapacks", lambda s, d: detect.usable_datapacks(detect.conclusion(fx.spans(s, d)).select("datapack", "issues")), "SELECT DISTINCT datapack, true AS usable FROM spans", "spans")
-_add("d10_validity", lambda s, d: detect.validity(fx.spans(s, d).groupBy("datapack").agg(F.lit("traces").alias("signal"), F.count(F.lit(1)).alias("n")).unionByName(fx.logs(s, d).groupBy("datapack").agg(F.lit("logs").alias("signal"), F.count(F.lit(1)).alias("n"))), ["traces", "logs", "metrics"], fx.spans(s, d), 104.0),
-     "SELECT datapack, 'metrics' AS missing, max(duration) FILTER (period = 'normal' AND parent_span_id = '') / 1e9 AS longest, false AS valid FROM spans GROUP BY ALL", "spans")
+# datapacks without logs, without metrics, without slow endpoints, and of different sizes
+_add("d11_usable_datapacks", lambda s, d: detect.usable_datapacks(detect.new_endpoint_issues(sli.endpoint_stats(fx.spans(s, d).where("datapack NOT IN ('dp2', 'dp5') AND period = 'abnormal'").withColumn("duration", F.when(F.col("datapack") == "dp4", 0).otherwise(F.col("duration"))).withColumn("status_code", F.lit("Ok")), ["datapack", "span_name"])),
+     fx.spans(s, d).groupBy("datapack").agg(F.sum(F.when(F.col("datapack") == "dp6", 10**9).otherwise(100)).alias("bytes")), 500 << 20), """
+WITH e AS (SELECT datapack, span_name, avg(CASE datapack WHEN 'dp4' THEN 0 ELSE duration END) / 1e9 AS a FROM spans WHERE period = 'abnormal' AND datapack NOT IN ('dp2', 'dp5') GROUP BY ALL), i AS (SELECT datapack, count(*) FILTER (a > 3) AS issues FROM e GROUP BY ALL), z AS (SELECT datapack, CAST(sum(CASE datapack WHEN 'dp6' THEN 1000000000 ELSE 100 END) AS BIGINT) AS bytes FROM spans GROUP BY ALL)
+SELECT z.datapack, coalesce(issues, 0) AS issues, bytes, coalesce(issues, 0) > 0 AND bytes <= 524288000 AS usable FROM z LEFT JOIN i USING (datapack)""", "spans")
+
+
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    n = lambda df, name: df.groupBy("datapack").agg(F.lit(name).alias("signal"), F.count(F.lit(1)).alias("n"))
+    return n(fx.spans(s, d), "traces").unionByName(n(fx.logs(s, d).where("datapack <> 'dp1'"), "logs")).unionByName(n(fx.metrics(s, d).where("datapack NOT IN ('dp1', 'dp3')"), "metrics"))
+
+
+_add("d10_validity", lambda s, d: detect.validity(_signals(s, d), ["traces", "logs", "metrics"], fx.spans(s, d).where("datapack <> 'dp7' OR period = 'abnormal'"), 104.0), """
+WITH g AS (SELECT datapack, 'traces' AS signal FROM spans UNION SELECT datapack, 'logs' FROM logs WHERE datapack <> 'dp1' UNION SELECT datapack, 'metrics' FROM metrics WHERE datapack NOT IN ('dp1', 'dp3')), want AS (SELECT DISTINCT datapack, signal FROM spans, (SELECT unnest(['traces', 'logs', 'metrics']) AS signal)),
+m AS (SELECT w.datapack, coalesce(string_agg(w.signal, ',' ORDER BY w.signal) FILTER (g.signal IS NULL), '') AS missing FROM want w LEFT JOIN g USING (datapack, signal) GROUP BY ALL), r AS (SELECT datapack, max(duration) / 1e9 AS longest FROM spans WHERE period = 'normal' AND parent_span_id = '' AND datapack <> 'dp7' GROUP BY ALL)
+SELECT m.datapack, missing, longest, coalesce(missing = '' AND longest <= 104, false) AS valid FROM m LEFT JOIN r USING (datapack)""", "spans", "logs", "metrics")
 _add("t11_balance", lambda s, d: coverage.sampler_scores(fx.spans(s, d), _samples(s, d), 0.1, 0.03).where("sampled > 0").select("datapack", "balance_cv"), f"""
 WITH n AS (SELECT datapack, span_name, count(*) AS s FROM spans WHERE parent_span_id = '' AND (datapack, trace_id) IN (SELECT (datapack, trace_id) FROM {_SAMPLED}) GROUP BY ALL) SELECT datapack, round(CASE WHEN count(*) > 1 THEN stddev_pop(s) / avg(s) ELSE 0 END, 6) AS balance_cv FROM n GROUP BY ALL""", "spans")
