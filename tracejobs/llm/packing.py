@@ -30,6 +30,8 @@ GROUP_BYTES = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Words whose ids a Python worker remembers, from one task to the next.
 REMEMBER = 200_000
+#: Rows of one key and text are dealt to as many groups.
+SPREAD = 4096
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -113,8 +115,8 @@ class Words:
             found[i] = np.array(e.ids, np.uint32)
         return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate([np.zeros(0, np.uint32), *found])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.places) > REMEMBER:
+    def encode(self, texts: list[str | None], remember: int = REMEMBER) -> list[np.ndarray]:
+        if len(self.places) > remember:
             self.forget()
         at = [np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)) for words in ((t or "").encode("utf-8", "surrogatepass").split() for t in texts)]
         self.learn()
@@ -162,13 +164,14 @@ def pack(lengths: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, path: str | None = None, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document's ids are its text's, without special tokens, then END_ID; a null text counts as empty. The
     pieces of a document cover its ids once; a sequence's pieces lie one after another from offset 0 on. All
     sequences are full or as long as a power of two. Rows that repeat a key are documents of their own. An
     empty table gives an empty one. Other columns of any name are ignored.
+    ``remember``: words whose ids a worker keeps; more of them save time and take memory, and change no result.
     """
     from tokenizers import Tokenizer
 
@@ -177,14 +180,14 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     kind = np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else np.uint32
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     groups = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES)
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "text"), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "text", F.monotonically_increasing_id() % SPREAD), F.lit(groups)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                ids = [x.astype(kind).tobytes() for x in words.encode(part.column(1).to_pylist())]
+                ids = [x.astype(kind).tobytes() for x in words.encode(part.column(1).to_pylist(), remember)]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(ids, pa.binary())], ["group", "key", "ids"])
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
