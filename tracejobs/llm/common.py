@@ -29,11 +29,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder that ends with the process.
+    Where the session names none (tests on one machine), a temporary folder that ends with the process; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tracejobs-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
