@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracejobs.operators import causal, stategraph
+from tracejobs.operators import causal, relational, stategraph
 from tracejobs.operators.rounds import cut
 from tracejobs.queries import _add
 from tracejobs.sources import fixtures as fx
@@ -154,3 +154,42 @@ fin AS (SELECT datapack, node, times, total, places FROM walk w WHERE NOT EXISTS
 o AS (SELECT f.datapack, v.service AS service_name, CAST(sum(times) AS BIGINT) AS paths, round(max((total + CASE WHEN f.node LIKE 'service|%' THEN 0 ELSE coalesce(t.score, 0) END) / (places + CASE WHEN f.node LIKE 'service|%' OR t.score IS NULL THEN 0 ELSE 1 END)), 6) AS score
   FROM fin f JOIN svc v ON v.datapack = f.datapack AND v.node = f.node LEFT JOIN top t ON t.datapack = f.datapack AND t.node = 'service|' || v.service GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY datapack ORDER BY paths DESC, score DESC, service_name) AS rank FROM o""", "spans", "metrics")
+
+
+# Relational score: pods and containers by their metrics, services by their spans' latency
+def _series(spark: SparkSession, d: str, places: DataFrame, spans: DataFrame) -> DataFrame:
+    seq = F.monotonically_increasing_id()
+    node = stategraph.node
+    of = lambda kind, name: fx.metrics(spark, d).select("datapack", node(kind, name).alias("node"), F.col("metric").alias("name"), "time", "seq", "value", "period").where("value IS NOT NULL")
+    pod = F.concat("service_name", F.lit("-"), F.col("seq") % 2)
+    few = spans.where("service_name <> 'loadgenerator' AND span_name LIKE '%op0'")
+    latency = few.select("datapack", node("service", F.col("service_name")).alias("node"), F.lit("latency").alias("name"), (F.make_interval(days=F.dayofyear("time") % 28) + F.to_timestamp(F.lit("2024-01-02"))).alias("time"), F.expr("CAST(split_part(span_id, '-', 2) AS BIGINT) + trace_id * 100").alias("seq"), (F.col("duration") / 1e9).alias("value"), "period")
+    return of("pod", pod).unionByName(of("container", F.concat(pod, F.lit("-c")))).unionByName(latency)
+
+
+def _relations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spans, places = cut(fx.spans(spark, d)), cut(_places(spark, d))
+    edges = cut(stategraph.edges(spans, places))
+    scores = relational.relation_scores(edges.where("kind IN ('routes_to', 'runs')"), cut(_series(spark, d, places, spans)), 4, 10, 86400)
+    return scores, edges, cut(stategraph.anomalies(stategraph.node_stats(spans, places, edges)))
+
+
+def _rank_relational(spark: SparkSession, d: str) -> DataFrame:
+    scores, _, found = _relations(spark, d)
+    return relational.rank_relational(scores, found).select("datapack", "node", "score")
+
+
+_SERIES = """pods AS (SELECT datapack, 'pod|' || service_name || '-' || (seq % 2) AS node, metric AS name, time, seq, value, period FROM metrics WHERE value IS NOT NULL),
+series AS (SELECT * FROM pods UNION ALL SELECT datapack, replace(node, 'pod|', 'container|') || '-c', name, time, seq, value, period FROM pods
+  UNION ALL SELECT datapack, 'service|' || service_name, 'latency', TIMESTAMP '2024-01-02' + to_days(CAST(dayofyear(time) % 28 AS INT)), CAST(split_part(span_id, '-', 2) AS BIGINT) + trace_id * 100, duration / 1e9, period FROM spans WHERE service_name <> 'loadgenerator' AND span_name LIKE '%op0'),
+ways AS (SELECT datapack, src, dst FROM rel WHERE kind IN ('routes_to', 'runs') UNION SELECT datapack, dst, src FROM rel WHERE kind IN ('routes_to', 'runs')), nm AS (SELECT DISTINCT datapack, node, name FROM series),
+prs AS (SELECT w.datapack, w.src, w.dst, a.name AS un, b.name AS vn FROM ways w JOIN nm a ON a.datapack = w.datapack AND a.node = w.src JOIN nm b ON b.datapack = w.datapack AND b.node = w.dst WHERE (w.src NOT LIKE 'service|%' OR a.name = 'latency') AND (w.dst NOT LIKE 'service|%' OR b.name = 'latency')),
+lf AS (SELECT p.*, s.time, s.seq, s.value, s.period FROM prs p JOIN series s ON s.datapack = p.datapack AND s.node = p.src AND s.name = p.un), rt AS (SELECT p.*, s.time, s.seq, s.value FROM prs p JOIN series s ON s.datapack = p.datapack AND s.node = p.dst AND s.name = p.vn),
+nr AS (SELECT l.*, r.value AS value_v, row_number() OVER (PARTITION BY l.datapack, l.src, l.dst, l.un, l.vn, l.seq ORDER BY abs(epoch_us(l.time) - epoch_us(r.time)), r.time > l.time, CASE WHEN r.time <= l.time THEN -r.seq ELSE r.seq END) AS i FROM lf l JOIN rt r ON r.datapack = l.datapack AND r.src = l.src AND r.dst = l.dst AND r.un = l.un AND r.vn = l.vn),
+al AS (SELECT * FROM nr WHERE i = 1), sm AS (SELECT datapack, src, dst, un, vn, count(*) FILTER (period = 'normal') AS n, count(*) FILTER (period = 'abnormal') AS m, CASE WHEN stddev_pop(value) FILTER (period = 'abnormal') < 1e-10 OR stddev_pop(value_v) FILTER (period = 'abnormal') < 1e-10 THEN 0 ELSE corr(value, value_v) FILTER (period = 'abnormal') END AS after FROM al GROUP BY ALL HAVING count(*) >= 10),
+rw AS (SELECT datapack, src, dst, un, vn, row_number() OVER w0 AS i, stddev_pop(value) OVER w AS a, stddev_pop(value_v) OVER w AS b, corr(value, value_v) OVER w AS c FROM al WHERE period = 'normal' WINDOW w0 AS (PARTITION BY datapack, src, dst, un, vn ORDER BY time, seq), w AS (PARTITION BY datapack, src, dst, un, vn ORDER BY time, seq ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+bf AS (SELECT datapack, src, dst, un, vn, avg(CASE WHEN a < 1e-10 OR b < 1e-10 THEN 0 ELSE c END) AS mean, stddev_samp(CASE WHEN a < 1e-10 OR b < 1e-10 THEN 0 ELSE c END) AS sd FROM rw WHERE i >= 4 GROUP BY ALL HAVING count(*) >= 2),
+sc AS (SELECT s.datapack, s.src, s.dst, max(CASE WHEN sd > 1e-6 THEN abs(after - mean) / sd ELSE abs(after - mean) * 10 END) AS score FROM sm s JOIN bf b ON b.datapack = s.datapack AND b.src = s.src AND b.dst = s.dst AND b.un = s.un AND b.vn = s.vn WHERE s.n >= 4 AND s.m >= 2 GROUP BY ALL)"""
+_add("g14_relation_scores", lambda s, d: _relations(s, d)[0].select("datapack", "src", "dst", F.round("score", 3).alias("score")), f"WITH {_REL}, {_SERIES} SELECT datapack, src, dst, round(score, 3) AS score FROM sc", "spans", "metrics")
+_add("g14_relational_ranking", _rank_relational, f"""WITH {_REL}, {_STATS}, {_AN}, {_SERIES}, o AS (SELECT datapack, node, max(score) AS own FROM an GROUP BY ALL), c AS (SELECT datapack, src AS node, sum(score) AS changed FROM sc WHERE score >= 1 GROUP BY ALL), j AS (SELECT datapack, node, 0.5 * coalesce(own, 0) + 0.5 * coalesce(changed, 0) AS score FROM o FULL JOIN c USING (datapack, node))
+SELECT datapack, node, round(score, 6) AS score FROM j WHERE round(score, 6) > 0""", "spans", "metrics")
