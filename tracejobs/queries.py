@@ -251,4 +251,4 @@ SELECT datapack, name, row_number() OVER (PARTITION BY datapack ORDER BY md5(dat
 _add("p17_log_search", lambda s, d: names.search(fx.read(s, d, "documents").select("doc_id", "lang", "text"), "text", "License").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')")
 _add("f05_json_message", lambda s, d: fx.logs(s, d).select("trace_id", names.json_message(F.col("message"), "k").alias("message")), "SELECT trace_id, coalesce(json_extract_string(message, '$.k'), message) AS message FROM logs", "logs")
 
-from tracejobs import queries_detect, queries_events, queries_graph, queries_logs, queries_more, queries_paths  # noqa: E402, F401  (they register their queries here)
+from tracejobs import queries_detect, queries_events, queries_graph, queries_ingest, queries_logs, queries_more, queries_paths  # noqa: E402, F401  (they register their queries here)
