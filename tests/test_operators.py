@@ -146,3 +146,15 @@ def test_rank_sum_p(spark):
     rows = [("d", "e", "normal", i) for i in range(20)] + [("d", "e", "abnormal", i + 7) for i in range(20)]
     (r,) = rank_sum(spark.createDataFrame(rows, "datapack string, span_name string, period string, duration long")).collect()
     assert r.u == 84.5 and abs(r.p - 2 * NormalDist().cdf(-r.z)) < 2e-6
+
+
+def test_levels_of_deep_and_broken_trees(spark):
+    chain = [("d", 1, f"s{i}", f"s{i - 1}" if i else None, "web", "GET") for i in range(200)]
+    rows = chain + [("d", 2, "a", "b", "x", "1"), ("d", 2, "b", "a", "x", "2"), ("d", 2, "c", "b", "x", "3"), ("d", 3, "o", "gone", "y", "1"), ("d", 3, "p", "o", "y", "2"), ("d", 4, "r", "", "z", "1"), ("d", 4, "self", "self", "z", "2")]
+    df = spark.createDataFrame(rows, "datapack string, trace_id long, span_id string, parent_span_id string, service_name string, span_name string")
+    got = {(r.trace_id, r.span_id): (r.level, r.label) for r in structure.levels(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[1, f"s{i}"][0] == i + 1 for i in range(200))
+    assert {v for k, v in got.items() if k[0] == 2} == {(1, "x:1"), (1, "x:2"), (1, "x:3")}
+    assert (got[3, "o"], got[3, "p"], got[4, "r"], got[4, "self"]) == ((1, "y:1"), (1, "y:2"), (1, "z:1"), (1, "z:2"))
+    assert structure.levels(df.where("false")).count() == 0

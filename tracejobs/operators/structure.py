@@ -5,35 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracejobs.operators.rounds import cut
+
 KEY = ["datapack", "trace_id"]
 
 
-def tree_levels(spans: DataFrame, start: Column, carry, most: int = 64) -> DataFrame:
+def tree_levels(spans: DataFrame, start: Column, carry, most: int | None = None) -> DataFrame:
     """(datapack, trace_id, span_id, level, carried): roots are level 1, spans that no root reaches level 1 too.
 
-    carried: ``start`` of a root; below, ``carry`` of the parent's and the span's own. The frontier moves down by an
-    equi-join on the trace and the parent, a level at a time, until it is empty; a trace deeper than ``most``
-    raises an error. Spans are kept once, dealt by trace, and each level is one small join, cut by a checkpoint
-    where the session names a folder for it.
+    carried: ``start`` of each span, put together from the root down by ``carry`` (of what is above, and below), which must be
+    associative; a span that no root reaches has its own. Every span points to its parent, and in a round to the one
+    that its ancestor points to, so that a round doubles the steps: as many joins as the logarithm of the deepest
+    level, each on the trace and the pointer, cut by a checkpoint. Spans in a cycle of parents still point somewhere when
+    that many rounds as the longest trace could need are over. A level beyond ``most``, if that is given, raises an error.
     """
-    cut = spans.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    keep = lambda df: df.checkpoint() if cut else df.persist()
-    own = keep(spans.select(*KEY, "span_id", "parent_span_id", start.alias("own")).repartition(*KEY))
-    below = own.where("parent_span_id <> ''").select(*KEY, F.col("span_id").alias("child"), F.col("parent_span_id").alias("span_id"), "own")
-    front = own.where("parent_span_id = ''").select(*KEY, "span_id", F.lit(1).alias("level"), F.col("own").alias("carried"))
-    found = front
-    for level in range(2, most + 1):
-        front = keep(front.join(below, [*KEY, "span_id"]).select(*KEY, F.col("child").alias("span_id"), F.lit(level).alias("level"), carry(F.col("carried"), F.col("own")).alias("carried")))
-        if front.isEmpty():
+    root = F.coalesce("parent_span_id", F.lit("")) == ""
+    own = spans.select(*KEY, "span_id", F.when(~root, F.col("parent_span_id")).alias("up"), root.alias("reached"), F.lit(1).alias("level"), start.alias("carried"), start.alias("own"))
+    state = cut(own.repartition(*KEY))
+    longest = state.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        open_ = state.where("up IS NOT NULL")
+        if open_.isEmpty():
             break
-        found = found.unionByName(front)
-    else:
+        above = state.select(*KEY, F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("reached").alias("at_root"), F.col("level").alias("more"), F.col("carried").alias("upper"), F.lit(True).alias("known"))
+        met = open_.join(above, [*KEY, "up"], "left")
+        moved = met.select(*KEY, "span_id", F.col("next").alias("up"), F.coalesce("at_root", F.lit(False)).alias("reached"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), F.when(F.col("known"), carry(F.col("upper"), F.col("carried"))).otherwise(F.col("carried")).alias("carried"), "own")
+        state = cut(state.where("up IS NULL").unionByName(moved))
+    found = F.col("up").isNull() & F.col("reached")
+    out = state.select(*KEY, "span_id", F.when(found, F.col("level")).otherwise(1).alias("level"), F.when(found, F.col("carried")).otherwise(F.col("own")).alias("carried"))
+    if most is not None and not out.where(F.col("level") > most).isEmpty():
         raise ValueError(f"a trace is deeper than {most} levels")
-    rest = own.join(found, [*KEY, "span_id"], "left_anti").select(*KEY, "span_id", F.lit(1).alias("level"), F.col("own").alias("carried"))
-    return found.unionByName(rest)
+    return out
 
 
-def levels(spans: DataFrame, most: int = 64) -> DataFrame:
+def levels(spans: DataFrame, most: int | None = None) -> DataFrame:
     """(datapack, trace_id, span_id, label, level), as tree_levels has them."""
     label = F.concat("service_name", F.lit(":"), "span_name")
     return tree_levels(spans, label, lambda above, own: own, most).select(*KEY, "span_id", F.col("carried").alias("label"), "level")
