@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracejobs.functions.normal import two_sided_p
 from tracejobs.functions.quantiles import relative_diff
+from tracejobs.functions.ranked import order_stats
 
 
 def by_period(value: Column, period: str) -> Column:
@@ -27,10 +28,12 @@ def max_duration(spans: DataFrame, unit: str = "second") -> DataFrame:
 def golden_signals(spans: DataFrame, seconds: float) -> DataFrame:
     """Latency in ms, requests a second over a window of that length, part and rate of errors."""
     ms, wrong = F.col("duration") / 1e6, F.count_if(F.col("status_code") == "Error")
-    q = [F.round(F.percentile(ms, F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return spans.groupBy("datapack", "period", "service_name").agg(
-        F.round(F.avg("duration") / 1e6, 6).alias("avg_ms"), *q, F.round(F.count(F.lit(1)) / seconds, 9).alias("rps"), F.round(wrong / F.count(F.lit(1)) * 100, 6).alias("error_percent"), F.round(wrong / seconds, 9).alias("eps")
+    keys = ["datapack", "period", "service_name"]
+    out = spans.groupBy(*keys).agg(
+        F.round(F.avg("duration") / 1e6, 6).alias("avg_ms"), F.round(F.count(F.lit(1)) / seconds, 9).alias("rps"), F.round(wrong / F.count(F.lit(1)) * 100, 6).alias("error_percent"), F.round(wrong / seconds, 9).alias("eps")
     )
+    q = order_stats(spans, keys, ms, {f"p{n}": n / 100 for n in (50, 95, 99)})
+    return out.join(q.select(*keys, *[F.round(f"p{n}", 6).alias(f"p{n}") for n in (50, 95, 99)]), keys, "left")
 
 
 def operation_rates(spans: DataFrame) -> DataFrame:
@@ -52,12 +55,10 @@ def service_error_rates(spans: DataFrame) -> DataFrame:
 def indicator_stats(metrics: DataFrame, cuts: tuple[float, ...] = (0.05, 0.1, 0.25)) -> DataFrame:
     """Count, extremes, mean, trimmed means (floor of cut * n values off each end) and percentiles per indicator and period."""
     keys = ["datapack", "service_name", "metric", "period"]
-    w = Window.partitionBy(*keys)
-    ranked = metrics.where("value IS NOT NULL").select(*keys, "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    inside = lambda p: (F.col("i") >= F.floor(F.col("n") * p)) & (F.col("i") < F.col("n") - F.floor(F.col("n") * p))
-    trimmed = [F.round(F.avg(F.when(inside(p), F.col("value"))), 6).alias(f"trimmed_{int(p * 100)}") for p in cuts]
-    q = [F.round(F.percentile("value", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)]
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 6).alias("mean"), *trimmed, *q)
+    stats = order_stats(metrics, keys, F.col("value"), {f"p{n}": n / 100 for n in (50, 90, 95, 99)}, {f"trimmed_{int(p * 100)}": p for p in cuts})
+    sums = metrics.where("value IS NOT NULL").groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 6).alias("mean"))
+    rest = [c for c in stats.columns if c not in (*keys, "n")]
+    return sums.join(stats, keys).select(*keys, "n", "lo", "hi", "mean", *[F.round(c, 6).alias(c) for c in rest])
 
 
 def varying_metrics(metrics: DataFrame, least: float = 1e-8, kept: tuple[str, ...] = ()) -> DataFrame:
@@ -68,14 +69,18 @@ def varying_metrics(metrics: DataFrame, least: float = 1e-8, kept: tuple[str, ..
 
 def normal_durations(spans: DataFrame) -> DataFrame:
     s = F.col("duration") / 1e9
-    return spans.where("period = 'normal'").groupBy("datapack").agg(F.max(s).alias("longest"), F.min(s).alias("shortest"), F.round(F.avg("duration") / 1e9, 6).alias("mean"), F.round(F.percentile(s, F.lit(0.5)), 6).alias("median"))
+    return spans.where("period = 'normal'").groupBy("datapack").agg(F.max(s).alias("longest"), F.min(s).alias("shortest"), F.round(F.avg("duration") / 1e9, 6).alias("mean")).join(
+        order_stats(spans.where("period = 'normal'"), ["datapack"], s, {"median": 0.5}).select("datapack", F.round("median", 6).alias("median")), "datapack")
 
 
 def node_anomalies(metrics: DataFrame, least: float = 0.5) -> DataFrame:
     """Indicators whose mean, deviation or 90 % differ between periods by more than that part."""
     v = F.col("value")
-    stats = {"mean": F.avg, "std": F.stddev_samp, "p90": lambda x: F.percentile(x, F.lit(0.9))}
-    g = metrics.groupBy("datapack", "service_name", "metric").agg(*[F.round(f(by_period(v, p)), 9).alias(f"{p}_{k}") for k, f in stats.items() for p in ("normal", "abnormal")])
+    keys = ["datapack", "service_name", "metric"]
+    stats = {"mean": F.avg, "std": F.stddev_samp, "p90": None}
+    g = metrics.groupBy(*keys).agg(*[F.round(f(by_period(v, p)), 9).alias(f"{p}_{k}") for k, f in stats.items() if f for p in ("normal", "abnormal")])
+    high = order_stats(metrics, [*keys, "period"], v, {"p90": 0.9})
+    g = g.join(high.groupBy(*keys).agg(*[F.round(F.max(by_period(F.col("p90"), p)), 9).alias(f"{p}_p90") for p in ("normal", "abnormal")]), keys, "left")
     rows = F.inline(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(f"normal_{k}").alias("normal"), F.col(f"abnormal_{k}").alias("abnormal")) for k in stats]))
     out = g.select("datapack", "service_name", "metric", rows).where("normal IS NOT NULL AND abnormal IS NOT NULL")
     return out.withColumn("diff", F.round(relative_diff(F.col("normal"), F.col("abnormal")), 6)).where(F.abs("diff") > least).select("datapack", "service_name", "metric", "stat", "diff")

@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from tracejobs.functions.normal import two_sided_p
 from tracejobs.functions.quantiles import relative_diff
+from tracejobs.functions.ranked import band_stats, order_stats
 from tracejobs.operators.detectors import Statistical, Trend
 from tracejobs.operators.sli import endpoint_stats
 
 
 def baseline_slices(spans: DataFrame) -> DataFrame:
-    """Per endpoint: mean of the normal durations in three bands of their order, in seconds; all rows where a band is empty."""
-    w = Window.partitionBy("datapack", "span_name")
-    ranked = spans.where("period = 'normal'").select("datapack", "span_name", (F.col("duration") / 1e9).alias("s"), (F.row_number().over(w.orderBy("duration", "span_id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    bands = {"p90": (0.85, 0.95), "p95": (0.90, 0.99), "p99": (0.95, 1.0)}
-    cut = {k: (F.col("i") >= F.floor(F.col("n") * lo)) & (F.col("i") < (F.floor(F.col("n") * hi) if hi < 1 else F.col("n"))) for k, (lo, hi) in bands.items()}
-    return ranked.groupBy("datapack", "span_name").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.coalesce(F.avg(F.when(c, F.col("s"))), F.avg("s")), 6).alias(f"base_{k}") for k, c in cut.items()])
+    """Per endpoint: mean of the normal durations in three bands of their order, in seconds; all rows where a band is empty. Durations are counted first."""
+    bands = {"all": (0.0, 1.0), "p90": (0.85, 0.95), "p95": (0.90, 0.99), "p99": (0.95, 1.0)}
+    stats = band_stats(spans.where("period = 'normal'"), ["datapack", "span_name"], F.col("duration") / 1e9, bands)
+    return stats.select("datapack", "span_name", F.col("all_n").alias("n"), *[F.round(f"{k}_mean", 6).alias(f"base_{k}") for k in ("p90", "p95", "p99")])
 
 
 def statistical_detector(metrics: DataFrame, z: float = 3.0, iqr: float = 1.5, least: int = 5) -> DataFrame:
     """Abnormal points against their metric's normal history: z-score (population sigma), else quartile fences."""
     keys = ["datapack", "service_name", "metric"]
-    history = metrics.where("period = 'normal'").groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).where(F.col("n") >= least)
+    history = metrics.where("period = 'normal'").groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")).where(F.col("n") >= least)
+    quartiles = order_stats(metrics.where("period = 'normal'"), keys, F.col("value"), {"q1": 0.25, "q3": 0.75})
+    history = history.join(quartiles.select(*keys, F.array("q1", "q3").alias("q")), keys)
     both = metrics.where("period = 'abnormal'").join(history, keys)
     spread = F.col("q")[1] - F.col("q")[0]
     score = F.when(F.col("sd") > 0, F.abs(F.col("value") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["datapack", "trace_id"]
+BINS = 1 << 16
 
 
 def score(seed: int = 0) -> Column:
@@ -19,11 +20,20 @@ def online(spans: DataFrame, rate: float, seed: int = 0) -> DataFrame:
 
 
 def offline(spans: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """Per datapack, the floor of rate * traces with the highest scores."""
-    traces = spans.select(*KEY).distinct().withColumn("sample_score", score(seed))
-    w = Window.partitionBy("datapack")
-    ranked = traces.withColumn("r", F.row_number().over(w.orderBy(F.desc("sample_score"), "trace_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("r") <= F.floor(F.col("n") * rate)).select(*KEY, "sample_score")
+    """Per datapack, the floor of rate * traces with the highest scores.
+
+    A histogram of scores tells in which of BINS bins the last one lies; only that bin's traces are ranked.
+    """
+    traces = spans.select(*KEY).distinct().withColumn("sample_score", score(seed)).withColumn("bin", F.floor(F.col("sample_score") * BINS))
+    bins = traces.groupBy("datapack", "bin").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("datapack")  # of bins
+    upto = bins.withColumn("upto", F.sum("c").over(w.orderBy(F.desc("bin")))).withColumn("most", F.floor(F.sum("c").over(w) * rate))
+    last = upto.where((F.col("upto") >= F.col("most")) & (F.col("most") > 0)).groupBy("datapack").agg(F.max(F.struct("bin", (F.col("most") - F.col("upto") + F.col("c")).alias("left"))).alias("last"))
+    rows = traces.join(last.select("datapack", F.col("last.bin").alias("last"), "last.left"), "datapack")
+    above = rows.where("bin > last")
+    place = F.row_number().over(Window.partitionBy("datapack").orderBy(F.desc("sample_score"), "trace_id"))
+    edge = rows.where("bin = last").withColumn("place", place).where("place <= left")
+    return above.select(*KEY, "sample_score").unionByName(edge.select(*KEY, "sample_score"))
 
 
 def rank_services(candidates: DataFrame, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracejobs.functions.quantiles import nearest, ratio
+from tracejobs.functions.ranked import order_stats
 
 MS = 1e6
 
@@ -27,9 +28,9 @@ def sli_rollup(spans: DataFrame, unit: str = "minute") -> DataFrame:
 def endpoint_stats(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: mean and linear quantiles of durations in seconds, success rate and number of requests."""
     s = F.col("duration") / 1e9
-    q = F.percentile(s, F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    out = spans.groupBy(*keys).agg(F.avg(s).alias("avg"), q.alias("q"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") != "Error").alias("ok"))
-    return out.select(*keys, F.round("avg", 10).alias("avg_duration"), *[F.round(F.col("q")[i], 8).alias(n) for i, n in enumerate(("p90", "p95", "p99"))], F.round(ratio(F.col("ok"), F.col("n")), 6).alias("succ_rate"), "n")
+    out = spans.groupBy(*keys).agg(F.avg(s).alias("avg"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") != "Error").alias("ok"))
+    q = order_stats(spans, keys, s, {"p90": 0.9, "p95": 0.95, "p99": 0.99}).drop("n")
+    return out.join(q, keys, "left").select(*keys, F.round("avg", 10).alias("avg_duration"), *[F.round(n, 8).alias(n) for n in ("p90", "p95", "p99")], F.round(ratio(F.col("ok"), F.col("n")), 6).alias("succ_rate"), "n")
 
 
 def error_rate_windows(spans: DataFrame, length: str) -> DataFrame:
@@ -55,9 +56,10 @@ def span_stats(spans: DataFrame) -> DataFrame:
     ms = F.col("duration") / MS
     out = spans.groupBy("datapack", "service_name", "span_name").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status_code") == "Error").alias("errors"), (F.avg("duration") / MS).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
-        F.percentile(ms, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)])).alias("q"),
     )
-    return out.select("datapack", "service_name", "span_name", "calls", "errors", F.round(ratio(F.col("errors"), F.col("calls")), 6).alias("error_rate"), F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", *[F.round(F.col("q")[i], 8).alias(f"p{n}") for i, n in enumerate((50, 90, 95, 99))])
+    keys = ["datapack", "service_name", "span_name"]
+    out = out.join(order_stats(spans, keys, ms, {f"p{n}": n / 100 for n in (50, 90, 95, 99)}).drop("n"), keys, "left")
+    return out.select("datapack", "service_name", "span_name", "calls", "errors", F.round(ratio(F.col("errors"), F.col("calls")), 6).alias("error_rate"), F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms", *[F.round(f"p{n}", 8).alias(f"p{n}") for n in (50, 90, 95, 99)])
 
 
 def call_probability(spans: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 _JUDGED = "judged AS (SELECT doc_id AS sample_id, doc_id % 50 AS question, quality = 1 AS correct, toxic AS level, (doc_id * 7) % 101 AS confidence FROM labels)"
 
-_add("a02_sli_rollup", lambda s, d: sli.sli_rollup(fx.spans(s, d), "month"), """
-WITH g AS (SELECT datapack, date_trunc('month', time) AS time, service_name, span_name, list_sort(list(duration / 1e6)) AS l, avg(duration) / 1e6 AS a, count(*) AS total_count, count(*) FILTER (status_code = 'Error') AS error_count FROM spans GROUP BY ALL)
+_add("a02_sli_rollup", lambda s, d: sli.sli_rollup(fx.spans(s, d), "minute"), """
+WITH g AS (SELECT datapack, date_trunc('minute', time) AS time, service_name, span_name, list_sort(list(duration / 1e6)) AS l, avg(duration) / 1e6 AS a, count(*) AS total_count, count(*) FILTER (status_code = 'Error') AS error_count FROM spans GROUP BY ALL)
 SELECT datapack, CAST(time AS TIMESTAMP) AS time, service_name, span_name, l[1] AS min_duration, l[len(l)] AS max_duration, round(a, 6) AS avg_duration, l[CAST(round(0.5 * (len(l) - 1)) AS INT) + 1] AS duration_p50, l[CAST(round(0.9 * (len(l) - 1)) AS INT) + 1] AS duration_p90,
   l[CAST(round(0.95 * (len(l) - 1)) AS INT) + 1] AS duration_p95, l[CAST(round(0.99 * (len(l) - 1)) AS INT) + 1] AS duration_p99, total_count, error_count FROM g""", "spans")
 _add("a01_endpoint_stats", lambda s, d: sli.endpoint_stats(fx.spans(s, d), ["datapack", "period", "span_name"]), f"""
