@@ -67,3 +67,26 @@ def test_reachability(spark):
     got = {r.sample: r.reachable for r in judge.path_reachability(edges, found, true, alarms, true_edges).collect()}
     # t: b does not lead to a; u: no correct root; v: no alarm; w: b calls the load generator; y: a root that is an alarm; z: nothing found
     assert got == {"s": True, "t": False, "u": None, "v": None, "w": True, "y": True, "z": None}
+
+
+def test_top_services_and_elements(spark):
+    from tracejobs.operators.coverage import set_elements
+
+    edges = spark.createDataFrame([("d", "a", "b"), ("d", "b", "c"), ("e", "a", "b")], EDGES)
+    size = spark.createDataFrame([("d", "a", 3.0), ("d", "b", 2.0), ("d", "c", 1.0), ("e", "b", 9.0), ("e", "a", 9.0)], "datapack string, service_name string, magnitude double")
+    roots = spark.createDataFrame([("d", "c"), ("e", "zz")], "datapack string, name string")
+    near = lambda n: {r.datapack: r.distance for r in paths.nearest_of_top(edges, size, roots, n).collect()}
+    assert near(1) == {"d": 2, "e": 999} and near(2) == {"d": 1, "e": 999} and near(3) == {"d": 0, "e": 999}
+    got = {r.datapack: (r.matched, r.missed, r.extra) for r in set_elements(edges, edges.where("src = 'a'").unionByName(spark.createDataFrame([("f", "x", "y")], EDGES)), ["datapack"]).collect()}
+    assert got == {"d": (["a b"], [], ["b c"]), "e": (["a b"], [], []), "f": ([], ["x y"], [])}
+
+
+def test_performance_levels(spark):
+    from tracejobs.operators.evaluate import performance
+
+    rows = [("m", "s", "d", "p1", 1, False, 2.0), ("m", "s", "d", "p1", 2, True, 2.0), ("m", "s", "d", "p2", 1, False, 4.0), ("m", "r", "f", "p3", 1, True, None)]
+    got = {(r.level, r.sampler, r.dataset, r.datapack): r for r in performance(spark.createDataFrame(rows, "algorithm string, sampler string, dataset string, datapack string, rank int, hit boolean, runtime double")).collect()}
+    assert {k[0] for k in got} == {"datapack", "dataset", "algorithm", "sampler", "sampler_dataset"} and len(got) == 3 + 2 + 1 + 2 + 2
+    r = got["algorithm", None, None, None]
+    assert (r.total, r.count_1, r.count_2, r.ac_2, r.avg_2, r.p_2, r.mrr, r.avg_runtime) == (3, 1, 2, 0.666667, 0.5, 0.333333, 0.75, 3.0)
+    assert (got["sampler_dataset", "s", "d", None].mrr, got["datapack", None, "d", "p2"].mrr, got["datapack", None, "f", "p3"].avg_runtime) == (0.5, 0.0, 0.0)

@@ -78,6 +78,15 @@ def set_scores(found: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "matched", (F.col("true") - F.col("matched")).alias("missed"), (F.col("found") - F.col("matched")).alias("extra"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
+def set_elements(found: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
+    """(key, matched, missed, extra): the elements themselves, sorted, each as its columns joined by a blank. Lists are as long as a key's sets are."""
+    rows = found.distinct().withColumn("f", F.lit(1)).join(truth.distinct().withColumn("t", F.lit(1)), found.columns, "full")
+    name = F.concat_ws(" ", *[c for c in found.columns if c not in key])
+    listed = lambda when: F.array_sort(F.collect_list(F.when(when, name)))
+    f, t = F.col("f").isNotNull(), F.col("t").isNotNull()
+    return rows.groupBy(*key).agg(listed(f & t).alias("matched"), listed(~f & t).alias("missed"), listed(f & ~t).alias("extra"))
+
+
 def distances(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
     """(datapack, service_name, distance) from the source along edges, for all services reached.
 

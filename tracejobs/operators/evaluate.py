@@ -80,6 +80,31 @@ def ranking_rollup(rankings: DataFrame) -> DataFrame:
     return sets.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("best") <= 1).alias("count_1"), F.round(F.avg(1 / F.col("best")), 6).alias("mrr"), F.round(F.avg("t"), 6).alias("avg_runtime"))
 
 
+#: The levels of performance(): what is grouped by besides the algorithm.
+LEVELS = {"datapack": ["dataset", "datapack"], "dataset": ["dataset"], "algorithm": [], "sampler": ["sampler"], "sampler_dataset": ["sampler", "dataset"]}
+
+
+def performance(rankings: DataFrame, most: int = 5) -> DataFrame:
+    """All levels of LEVELS at once, from one pass over the runs: level, algorithm, sampler, dataset, datapack (null where not grouped by), and the scores.
+
+    rankings: (algorithm, sampler, dataset, datapack, rank, hit, runtime). total: runs; count_k and ac_k: runs with a hit among the
+    first k; avg_k: the mean of ac_1 to ac_k; mrr: over runs with a hit; p_k, map_k: mean precision and its mean over 1 to k;
+    avg_runtime. What is undefined is 0.
+    """
+    ks, keys = range(1, most + 1), ["algorithm", "sampler", "dataset", "datapack"]
+    hits = [F.count_if(F.col("hit") & (F.col("rank") <= k)).alias(f"h{k}") for k in ks]
+    runs = rankings.groupBy(*keys).agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("best"), F.max("runtime").alias("t"), *hits)
+    ids = {sum(1 << (3 - keys.index(k)) for k in keys if k != "algorithm" and k not in by): level for level, by in LEVELS.items()}
+    named = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    ac, p = {k: F.avg(F.when(F.col("best") <= k, 1.0).otherwise(0.0)) for k in ks}, {k: F.avg(F.col(f"h{k}") / k) for k in ks}
+    mean = lambda of, k: sum([of[i] for i in range(2, k + 1)], of[1]) / k
+    scores = [F.count_if(F.col("best") <= k).alias(f"count_{k}") for k in ks] + [F.round(x(k), 6).alias(f"{n}_{k}") for n, x in (("ac", lambda k: ac[k]), ("avg", lambda k: mean(ac, k)), ("p", lambda k: p[k]), ("map", lambda k: mean(p, k))) for k in ks]
+    sets = runs.groupingSets([["algorithm", *by] for by in LEVELS.values()], *keys)
+    out = sets.agg(F.grouping_id().cast("int").alias("_id"), F.count(F.lit(1)).alias("total"), *scores, zero(F.round(F.avg(1 / F.col("best")), 6)).alias("mrr"), zero(F.round(F.avg("t"), 12)).alias("avg_runtime"))
+    return out.select(F.element_at(named, F.col("_id")).alias("level"), *[c for c in out.columns if c != "_id"])
+
+
 def latest(runs: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """Per key the row of the latest time, null times last, ties by the greater ``tie``: an aggregate, so map tasks reduce first."""
     rest = [c for c in runs.columns if c not in keys]

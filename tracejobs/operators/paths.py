@@ -64,6 +64,18 @@ def alignment_scores(edges: DataFrame, entry: str, predictions: DataFrame, truth
     return scored.select("datapack", "algorithm", "rank", "name", F.round(F.when(F.col("known"), upto).otherwise(0.0), 6).alias("alignment"))
 
 
+def nearest_of_top(edges: DataFrame, magnitudes: DataFrame, roots: DataFrame, most: int, unreachable: int = 999) -> DataFrame:
+    """(datapack, distance): the least number of hops from one of the ``most`` services of greatest magnitude to a root cause.
+
+    magnitudes: (datapack, service_name, magnitude), ties by name; roots: (datapack, name). ``unreachable`` where none of them reaches one.
+    """
+    order = Window.partitionBy("datapack").orderBy(F.desc("magnitude"), "service_name")  # services
+    top = cut(magnitudes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("datapack", F.col("service_name").alias("source")))
+    found = shortest_paths(edges, top).join(roots.select("datapack", F.col("name").alias("target")).distinct(), ["datapack", "target"])
+    best = found.groupBy("datapack").agg(F.min(F.size("path") - 1).alias("distance"))
+    return top.select("datapack").distinct().join(best, "datapack", "left").select("datapack", F.coalesce("distance", F.lit(unreachable)).alias("distance"))
+
+
 def path_efficiency(edges: DataFrame, entry: str, predictions: DataFrame, truths: DataFrame) -> DataFrame:
     """(datapack, algorithm, efficiency): the part of the vertices on paths to all predictions that lie on paths to true services.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracejobs.operators.coverage import entry_spans
 from tracejobs.operators.structure import KEY, tree_levels
+from tracejobs.operators.timejoins import interval_join
 
 
 def direct_calls(edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -61,11 +62,16 @@ def new_endpoints(spans: DataFrame) -> DataFrame:
     return out.withColumn("is_new", F.col("normal_n") == 0)
 
 
-def error_spans(spans: DataFrame, logs: DataFrame) -> DataFrame:
-    """(datapack, trace_id, span_id, source): spans in error, and spans whose log is an error."""
+def error_spans(spans: DataFrame, logs: DataFrame, seconds: int | None = None) -> DataFrame:
+    """(datapack, trace_id, span_id, source): spans in error, spans whose log is an error, and, if ``seconds`` is given, spans whose service has one at most so far from their start."""
     own = spans.where("status_code = 'Error'").select(*KEY, "span_id", F.lit("trace").alias("source"))
     told = logs.where("level = 'ERROR'").select(*KEY, "span_id").join(spans.select(*KEY, "span_id"), [*KEY, "span_id"]).select(*KEY, "span_id", F.lit("log").alias("source"))
-    return own.unionByName(told).distinct()
+    out = own.unionByName(told)
+    if seconds is not None:
+        errors = logs.where("level = 'ERROR'").select("datapack", "service_name", "time").distinct()
+        near = interval_join(spans.select(*KEY, "span_id", "service_name", "time"), errors.withColumn("of_log", F.lit(True)), ["datapack", "service_name"], seconds)
+        out = out.unionByName(near.select(*KEY, "span_id", F.lit("window").alias("source")))
+    return out.distinct()
 
 
 def client_repair(spans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracejobs.operators import joins, judge, paths, sampling
+from tracejobs.operators import coverage, evaluate, joins, judge, paths, relations, sampling, sli
 from tracejobs.operators.rounds import cut
 from tracejobs.queries import _EDGES, _add
 from tracejobs.sources import fixtures as fx
@@ -99,3 +99,47 @@ al AS (SELECT DISTINCT datapack AS sample, service_name AS service FROM spans WH
 goal AS (SELECT * FROM al WHERE service <> 'loadgenerator' UNION SELECT DISTINCT a.sample, 'svc-2' FROM al a JOIN e ON e.datapack = a.sample AND e.src = 'loadgenerator' WHERE a.service = 'loadgenerator'),
 reach AS (SELECT * FROM ok UNION SELECT r.sample, e.dst FROM reach r JOIN e ON e.datapack = r.sample AND e.src = r.service WHERE e.dst <> 'svc-5'), samples AS (SELECT sample FROM fr UNION SELECT sample FROM tr)
 SELECT sample, CASE WHEN sample IN (SELECT sample FROM ok) AND sample IN (SELECT sample FROM goal) THEN EXISTS (SELECT 1 FROM reach r JOIN goal g USING (sample, service) WHERE r.sample = samples.sample) END AS reachable FROM samples""", "spans")
+
+
+# Services of greatest magnitude and how far the root causes are
+_add("k03_nearest_of_top", lambda s, d: paths.nearest_of_top(cut(_edges(s, d)), sli.anomaly_magnitude(fx.metrics(s, d)), _truths(s, d), 2), f"""WITH RECURSIVE {_SPARSE}, {_WALKS}, {_TRUE}, g AS (SELECT datapack, service_name, metric, min(value) AS lo, max(value) AS hi, avg(value) FILTER (period = 'abnormal') AS a, avg(value) FILTER (period = 'normal') AS n FROM metrics GROUP BY ALL),
+m AS (SELECT datapack, service_name, round(sum(coalesce(CASE WHEN hi > lo THEN abs(a - n) / (hi - lo) END, 0)), 6) AS magnitude FROM g GROUP BY ALL), top AS (SELECT datapack, service_name FROM (SELECT *, row_number() OVER (PARTITION BY datapack ORDER BY magnitude DESC, service_name) AS i FROM m) WHERE i <= 2),
+own AS (SELECT datapack, service_name AS source, service_name AS target, 0 AS hops FROM top UNION ALL SELECT t.datapack, source, target, len(path) - 1 FROM sp JOIN top t ON t.datapack = sp.datapack AND t.service_name = sp.source)
+SELECT t.datapack, CAST(coalesce(min(hops) FILTER (tr.name IS NOT NULL), 999) AS INT) AS distance FROM top t LEFT JOIN own ON own.datapack = t.datapack AND own.source = t.service_name LEFT JOIN tr ON tr.datapack = own.datapack AND tr.name = own.target GROUP BY t.datapack""", "spans", "metrics")
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = cut(_edges(spark, d))
+    return edges.where("src <> 'svc-1'"), edges.where("dst <> 'svc-2'").unionByName(edges.where("src = 'svc-4'").select("datapack", F.lit("svc-4").alias("src"), F.lit("svc-9").alias("dst")))
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    out = coverage.set_elements(*_sides(spark, d), ["datapack"])
+    return out.select("datapack", *[F.array_join(c, ",").alias(c) for c in ("matched", "missed", "extra")])
+
+
+_add("e06_edge_elements", _elements, f"""WITH {_SPARSE}, f AS (SELECT * FROM e WHERE src <> 'svc-1'), t AS (SELECT * FROM e WHERE dst <> 'svc-2' UNION SELECT datapack, 'svc-4', 'svc-9' FROM e WHERE src = 'svc-4'), j AS (SELECT coalesce(f.datapack, t.datapack) AS datapack, coalesce(f.src, t.src) || ' ' || coalesce(f.dst, t.dst) AS name, f.src IS NOT NULL AS a, t.src IS NOT NULL AS b FROM f FULL JOIN t ON f.datapack = t.datapack AND f.src = t.src AND f.dst = t.dst)
+SELECT datapack, coalesce(string_agg(name, ',' ORDER BY name) FILTER (a AND b), '') AS matched, coalesce(string_agg(name, ',' ORDER BY name) FILTER (b AND NOT a), '') AS missed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (a AND NOT b), '') AS extra FROM j GROUP BY ALL""", "spans")
+_add("e04_error_spans_in_window", lambda s, d: relations.error_spans(fx.spans(s, d).withColumn("time", F.make_interval(days=F.dayofyear("time") % 30) + F.to_timestamp(F.lit("2024-01-02 12:00:00"))), fx.logs(s, d), 600), """
+WITH sp AS (SELECT * EXCLUDE (time), TIMESTAMP '2024-01-02 12:00:00' + to_days(CAST(dayofyear(time) % 30 AS INT)) AS time FROM spans)
+SELECT datapack, trace_id, span_id, 'trace' AS source FROM sp WHERE status_code = 'Error' UNION SELECT s.datapack, s.trace_id, s.span_id, 'log' FROM sp s JOIN logs l ON s.datapack = l.datapack AND s.trace_id = l.trace_id AND s.span_id = l.span_id WHERE level = 'ERROR'
+UNION SELECT s.datapack, s.trace_id, s.span_id, 'window' FROM sp s JOIN logs l ON s.datapack = l.datapack AND s.service_name = l.service_name AND abs(epoch_us(s.time) - epoch_us(l.time)) <= 600000000 WHERE level = 'ERROR'""", "spans", "logs")
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return fx.rankings(spark, d).withColumns({"dataset": F.concat(F.lit("d"), F.col("datapack") % 5), "sampler": F.concat(F.lit("s"), F.col("datapack") % 3)})
+
+
+_KS, _LEVELS = range(1, 6), {"datapack": ("dataset", "datapack"), "dataset": ("dataset",), "algorithm": (), "sampler": ("sampler",), "sampler_dataset": ("sampler", "dataset")}
+
+
+def _level_sql(level: str) -> str:
+    by = ("algorithm", *_LEVELS[level])
+    mean = lambda x, k: "(" + " + ".join(x.format(k=i) for i in range(1, k + 1)) + f") / {k}"
+    ac, p = "avg(CASE WHEN best <= {k} THEN 1.0::DOUBLE ELSE 0 END)", "avg(h{k} / {k})"
+    scores = [f"count(*) FILTER (best <= {k}) AS count_{k}, round({ac.format(k=k)}, 6) AS ac_{k}, round({mean(ac, k)}, 6) AS avg_{k}, round({p.format(k=k)}, 6) AS p_{k}, round({mean(p, k)}, 6) AS map_{k}" for k in _KS]
+    columns = [c if c in by else f"NULL AS {c}" for c in ("algorithm", "sampler", "dataset", "datapack")]
+    return f"SELECT '{level}' AS level, {', '.join(columns)}, count(*) AS total, {', '.join(scores)}, coalesce(round(avg(1 / best), 6), 0) AS mrr, coalesce(round(avg(t), 12), 0) AS avg_runtime FROM r GROUP BY {', '.join(by)}"
+
+
+_add("a33_performance_levels", lambda s, d: evaluate.performance(_runs(s, d)), f"WITH r AS (SELECT algorithm, 's' || (datapack % 3) AS sampler, 'd' || (datapack % 5) AS dataset, datapack, min(rank) FILTER (hit) AS best, max(runtime) AS t, {', '.join(f'count(*) FILTER (hit AND rank <= {k}) AS h{k}' for k in _KS)} FROM rankings GROUP BY ALL) " + " UNION ALL ".join(map(_level_sql, _LEVELS)), "rankings")
