@@ -24,7 +24,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(tables(spark, sf_dir, "documents"), remember=500_000)
+    return packing.pack_documents(tables(spark, sf_dir, "documents"), remember=800_000)
 
 
 def op5_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
