@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def set_folder(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names; on one machine, a temporary one if it names none."""
+    """Use the checkpoint folder that the session names; on one machine, a temporary one that ends with the process if it names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracejobs-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="tracejobs-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
