@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracejobs.operators import coverage, evaluate, joins, judge, paths, relations, sampling, sli
+from tracejobs.operators import coverage, evaluate, joins, judge, paths, quality, relations, sampling, sli
 from tracejobs.operators.rounds import cut
 from tracejobs.queries import _EDGES, _add
 from tracejobs.sources import fixtures as fx
@@ -143,3 +143,43 @@ def _level_sql(level: str) -> str:
 
 
 _add("a33_performance_levels", lambda s, d: evaluate.performance(_runs(s, d)), f"WITH r AS (SELECT algorithm, 's' || (datapack % 3) AS sampler, 'd' || (datapack % 5) AS dataset, datapack, min(rank) FILTER (hit) AS best, max(runtime) AS t, {', '.join(f'count(*) FILTER (hit AND rank <= {k}) AS h{k}' for k in _KS)} FROM rankings GROUP BY ALL) " + " UNION ALL ".join(map(_level_sql, _LEVELS)), "rankings")
+
+
+# Injections: each datapack has several, made from its number and a counter
+_CONFIGS = {
+    "NetworkDelay": '{"direction": "%s", "injection_point": {"source_service": "svc-%s", "target_service": "%s"}}',
+    "HTTPRequestReplaceMethod": '{"replace_method": %s, "injection_point": {"method": "POST", "app_name": "svc-%s", "server_address": "%s"}}',
+    "PodFailure": '{"mem_type": %s, "injection_point": {"app_label": "svc-%s", "other": "%s"}}',
+    "Nothing": '{"mem_type": %s, "x": "svc-%s", "y": "%s"}',
+}
+_FIRST = {"NetworkDelay": "element_at(array('from', 'to', 'both'), i % 3 + 1)", "HTTPRequestReplaceMethod": "i % 7", "PodFailure": "i % 3", "Nothing": "i"}
+
+
+def _injections(spark: SparkSession, d: str) -> DataFrame:
+    packs = fx.spans(spark, d).select("datapack").distinct().select("datapack", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("i"))
+    fault = F.element_at(F.array(*map(F.lit, _CONFIGS)), F.col("i") % 4 + 1)
+    target = F.when(F.col("i") % 5 == 0, "loadgenerator").when(F.col("i") % 5 == 1, "").otherwise(F.concat(F.lit("svc-"), F.col("i") % 9))
+    config = F.lit(None).cast("string")
+    for name, form in _CONFIGS.items():
+        config = F.when(fault == name, F.format_string(form, F.expr(_FIRST[name]).cast("string"), (F.col("i") % 11).cast("string"), target)).otherwise(config)
+    return packs.select("datapack", "i", fault.alias("fault_type"), config.alias("display_config"))
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    spans = cut(fx.spans(spark, d)).where("datapack <> 'dp2' OR service_name <> 'svc-4'")
+    again = spans.where("datapack = 'dp3' AND trace_id % 97 = 0")
+    scaled = spans.unionByName(again).withColumn("duration", F.when(F.col("datapack") == "dp1", F.col("duration")).otherwise((F.col("duration") / 100).cast("long")))
+    out = quality.quality_rules(_injections(spark, d), scaled)
+    return out.groupBy("datapack", "fault_type", *quality.RULES, "kicked_out").agg(F.count(F.lit(1)).alias("n"))
+
+
+_INJ = """inj AS (SELECT datapack, i, ['NetworkDelay', 'HTTPRequestReplaceMethod', 'PodFailure', 'Nothing'][i % 4 + 1] AS fault_type, 'svc-' || (i % 11) AS s, CASE i % 5 WHEN 0 THEN 'loadgenerator' WHEN 1 THEN '' ELSE 'svc-' || (i % 9) END AS t,
+  ['from', 'to', 'both'][i % 3 + 1] AS way, ['GET', 'POST', 'PUT', 'DELETE', 'HEAD', 'OPTIONS', 'PATCH'][i % 7 + 1] AS method FROM (SELECT DISTINCT datapack FROM spans), (SELECT unnest(range(0, 36)) AS i))"""
+_add("d12_quality_rules", _quality, f"""WITH {_INJ}, sp AS (SELECT * FROM spans WHERE datapack <> 'dp2' OR service_name <> 'svc-4'), c AS (SELECT DISTINCT c.datapack, p.service_name AS src, c.service_name AS dst FROM sp c JOIN sp p ON p.datapack = c.datapack AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id),
+dup AS (SELECT DISTINCT datapack FROM sp WHERE datapack = 'dp3' AND trace_id % 97 = 0), slow AS (SELECT datapack, quantile_cont(CASE datapack WHEN 'dp1' THEN duration ELSE floor(duration / 100) END, 0.99) > 6e9 AS slow FROM sp WHERE period = 'normal' GROUP BY ALL),
+x AS (SELECT i.*, EXISTS (SELECT 1 FROM c WHERE c.datapack = i.datapack AND c.src = s AND c.dst = t) AS st, EXISTS (SELECT 1 FROM c WHERE c.datapack = i.datapack AND c.src = t AND c.dst = s) AS ts, EXISTS (SELECT 1 FROM sp WHERE sp.datapack = i.datapack AND service_name = s) AS seen, i.datapack IN (SELECT datapack FROM dup) AS dup, coalesce(slow, false) AS slow, fault_type <> 'Nothing' AS pt FROM inj i LEFT JOIN slow USING (datapack)),
+r AS (SELECT datapack, fault_type, fault_type = 'NetworkDelay' AND t <> '' AND NOT ((way IN ('from', 'both') AND st) OR (way IN ('to', 'both') AND ts)) AS network_no_direct_calls, fault_type = 'HTTPRequestReplaceMethod' AND method = 'POST' AS http_method_same, fault_type = 'HTTPRequestReplaceMethod' AND t <> '' AND NOT st AS http_no_direct_calls,
+  fault_type IN ('HTTPRequestReplaceMethod', 'PodFailure') AND NOT seen AS target_not_called, pt AND dup AS duplicated_spans, pt AND slow AS large_latency_normal FROM x)
+SELECT *, network_no_direct_calls OR http_method_same OR http_no_direct_calls OR target_not_called OR duplicated_spans OR large_latency_normal AS kicked_out, count(*) AS n FROM r GROUP BY ALL""", "spans")
+_add("p21_injection_config", lambda s, d: quality.injection_config(_injections(s, d)).select("datapack", "i", "replace_method", "mem_type", "point_direction", "point_source_service", "point_app_label", "has_point"), f"""WITH {_INJ} SELECT datapack, i, CASE fault_type WHEN 'HTTPRequestReplaceMethod' THEN method END AS replace_method, CASE WHEN fault_type IN ('PodFailure') THEN CASE i % 3 WHEN 1 THEN 'heap' WHEN 2 THEN 'stack' END WHEN fault_type = 'Nothing' THEN CASE i WHEN 1 THEN 'heap' WHEN 2 THEN 'stack' END END AS mem_type,
+  CASE fault_type WHEN 'NetworkDelay' THEN way END AS point_direction, CASE fault_type WHEN 'NetworkDelay' THEN s END AS point_source_service, CASE fault_type WHEN 'PodFailure' THEN s END AS point_app_label, fault_type <> 'Nothing' AS has_point FROM inj""", "spans")
