@@ -101,7 +101,7 @@ def performance(rankings: DataFrame, most: int = 5) -> DataFrame:
     mean = lambda of, k: sum([of[i] for i in range(2, k + 1)], of[1]) / k
     scores = [F.count_if(F.col("best") <= k).alias(f"count_{k}") for k in ks] + [F.round(x(k), 6).alias(f"{n}_{k}") for n, x in (("ac", lambda k: ac[k]), ("avg", lambda k: mean(ac, k)), ("p", lambda k: p[k]), ("map", lambda k: mean(p, k))) for k in ks]
     sets = runs.groupingSets([["algorithm", *by] for by in LEVELS.values()], *keys)
-    out = sets.agg(F.grouping_id().cast("int").alias("_id"), F.count(F.lit(1)).alias("total"), *scores, zero(F.round(F.avg(1 / F.col("best")), 6)).alias("mrr"), zero(F.round(F.avg("t"), 12)).alias("avg_runtime"))
+    out = sets.agg(F.grouping_id().cast("int").alias("_id"), F.count(F.lit(1)).alias("total"), *scores, zero(F.round(F.avg(1 / F.col("best")), 6)).alias("mrr"), zero(F.round(F.avg("t"), 6)).alias("avg_runtime"))
     return out.select(F.element_at(named, F.col("_id")).alias("level"), *[c for c in out.columns if c != "_id"])
 
 
