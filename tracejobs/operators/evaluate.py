@@ -97,7 +97,9 @@ def performance(rankings: DataFrame, most: int = 5) -> DataFrame:
     ids = {sum(1 << (3 - keys.index(k)) for k in keys if k != "algorithm" and k not in by): level for level, by in LEVELS.items()}
     named = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    ac, p = {k: F.avg(F.when(F.col("best") <= k, 1.0).otherwise(0.0)) for k in ks}, {k: F.avg(F.col(f"h{k}") / k) for k in ks}
+    # whole numbers are added up and divided once, so that the scores do not depend on the order of rows
+    n = F.count(F.lit(1))
+    ac, p = {k: F.count_if(F.col("best") <= k) / n for k in ks}, {k: F.sum(f"h{k}") / (k * n) for k in ks}
     mean = lambda of, k: sum([of[i] for i in range(2, k + 1)], of[1]) / k
     scores = [F.count_if(F.col("best") <= k).alias(f"count_{k}") for k in ks] + [F.round(x(k), 6).alias(f"{n}_{k}") for n, x in (("ac", lambda k: ac[k]), ("avg", lambda k: mean(ac, k)), ("p", lambda k: p[k]), ("map", lambda k: mean(p, k))) for k in ks]
     sets = runs.groupingSets([["algorithm", *by] for by in LEVELS.values()], *keys)

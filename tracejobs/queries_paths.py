@@ -136,7 +136,7 @@ _KS, _LEVELS = range(1, 6), {"datapack": ("dataset", "datapack"), "dataset": ("d
 def _level_sql(level: str) -> str:
     by = ("algorithm", *_LEVELS[level])
     mean = lambda x, k: "(" + " + ".join(x.format(k=i) for i in range(1, k + 1)) + f") / {k}"
-    ac, p = "avg(CASE WHEN best <= {k} THEN 1.0::DOUBLE ELSE 0 END)", "avg(h{k} / {k})"
+    ac, p = "count(*) FILTER (best <= {k}) / count(*)", "sum(h{k}) / ({k} * count(*))"
     scores = [f"count(*) FILTER (best <= {k}) AS count_{k}, round({ac.format(k=k)}, 6) AS ac_{k}, round({mean(ac, k)}, 6) AS avg_{k}, round({p.format(k=k)}, 6) AS p_{k}, round({mean(p, k)}, 6) AS map_{k}" for k in _KS]
     columns = [c if c in by else f"NULL AS {c}" for c in ("algorithm", "sampler", "dataset", "datapack")]
     return f"SELECT '{level}' AS level, {', '.join(columns)}, count(*) AS total, {', '.join(scores)}, coalesce(round(avg(1 / best), 6), 0) AS mrr, coalesce(round(avg(t), 6), 0) AS avg_runtime FROM r GROUP BY {', '.join(by)}"
