@@ -17,13 +17,15 @@ def hits(answers: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mean_by(scores: DataFrame, keys: list[str], values: list[str], digits: int = 3) -> DataFrame:
-    """Means of the values by group, in long form: a row for each group of keys."""
-    return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), *[F.round(F.avg(v), digits).alias(v) for v in values])
+    """Means of the values by group, in long form: a row for each group of keys. Decimals are added up exactly, doubles in the order of rows."""
+    return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), *[F.round(F.try_divide(F.sum(v).cast("double"), F.count(v)), digits).alias(v) for v in values])
 
 
 def algorithm_means(rankings: DataFrame, attributes: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
     """Means of top_k by algorithm and by the cases' attributes (datapack, keys); a case without attributes counts under null."""
     scores = top_k(rankings).join(attributes, "datapack", "left")
+    # scores have six decimals at most; as decimals, their sums and means that are ties do not depend on the order of rows
+    scores = scores.withColumns({v: F.col(v).cast("decimal(18,6)") for v in TOPS})
     return mean_by(scores, [*keys, "algorithm"], TOPS, digits)
 
 
