@@ -1,26 +1,34 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are sorted by host and path; each is aligned with its nearest neighbour of the host by a longest common
-subsequence of text lines, and the lines that both share are deleted as furniture. What a page marks up itself
-is taken at its word: lines within its article or main element are kept although a neighbour has them (copies
-of an article would otherwise delete each other), all outside is dropped, and so is what tags, roles, classes
-or ids call a menu, header, footer, sidebar, notice, advert, form or comment, shared or not. A form or named
-element around the article or most of the text is layout and drops nothing.
+subsequence of text lines, and the lines that both share are deleted as furniture. A neighbour that is a copy
+tells nothing about furniture and is passed over for the next one. What is left is checked against what pages
+mark up themselves: lines within an article or main element, the page's own or the neighbour's, come back
+although both pages have them, all outside the page's own goes, and so does what tags, roles, classes or ids
+call a menu, header, footer, sidebar, notice, advert, form or comment, shared or not. A form or named element
+around the article or most of the text is layout and drops nothing.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby, islice
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracejobs.llm.common import store
+from tracejobs.llm.common import BATCH_BYTES
+
+#: Runs of pages before and after a page among which its neighbour is sought.
+NEAR = 2
+#: Pages of a bucket, more if that makes over four buckets for each shuffle partition.
+BUCKET_PAGES = 1000
 
 # Element, role and class names of HTML.
 UNSEEN = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
@@ -143,26 +151,56 @@ def lines_of(html: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
     return [(text, main, not layout.issuperset(boxes)) for text, main, boxes in parser.lines], has_main
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence with b (Hunt and Szymanski)."""
-    at: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        at.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in at.get(x, ()):
-            k = bisect_left(ends, j)
-            node = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(node)
-            elif j < ends[k]:
-                ends[k], chains[k] = j, node
-    found, node = set(), chains[-1] if chains else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+def shared(a: list[int], b: list[int]) -> dict[int, int]:
+    """{place in a: place in b} of a longest common subsequence.
+
+    A row of the lengths' table is one whole number, a bit for each place in b (Hyyro). Only every so manieth row is
+    kept; the others are made again on the way back.
+    """
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    found = {i: i for i in range(lead)} | {len(a) - 1 - i: len(b) - 1 - i for i in range(tail)}
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    at: dict[int, int] = dict.fromkeys(a, 0)
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        if x in at:
+            places.setdefault(x, []).append(j)
+    for x, js in places.items():
+        bits = bytearray(len(b) // 8 + 1)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        at[x] = int.from_bytes(bits, "little")
+    full = (1 << len(b)) - 1
+
+    def rows(row: int, first: int, last: int) -> list[int]:
+        out = [row]
+        for x in a[first:last]:
+            both = row & at[x]
+            row = ((row + both) | (row - both)) & full
+            out.append(row)
+        return out
+
+    step = int(len(a) ** 0.5) + 1
+    kept = [full]
+    for first in range(0, len(a), step):
+        kept.append(rows(kept[-1], first, first + step)[-1])
+    i, j, block, first = len(a), len(b), [], len(a)
+    while i and j:
+        if i - 1 < first:  # the rows before and after line i - 1
+            first = (i - 1) // step * step
+            block = rows(kept[first // step], first, first + step)
+        if block[i - first] >> (j - 1) & 1:
+            j -= 1
+        elif block[i - 1 - first] >> (j - 1) & 1:
+            i, j = i - 1, j - 1
+            found[lead + i] = lead + j
+        else:
+            i -= 1
     return found
 
 
@@ -172,60 +210,160 @@ def kinship(a: str, b: str) -> int:
     return n
 
 
+class _Page:
+    """A page of the sorted stream: its lines, their digests, and whether it marks a main part. A copy shares them with the page before."""
+
+    def __init__(self, row: tuple, before: _Page | None):
+        self.bucket, self.host, self.path, self.key, self.url, self.content, self.ghost, self.html = row
+        if before and self.content == before.content and self.html == before.html:
+            self.lines, self.has_main, self.digests, self.size = before.lines, before.has_main, before.digests, before.size
+            self.html = before.html
+            return
+        self.lines, self.has_main = lines_of(self.html)
+        self.digests = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _, _ in self.lines]
+        self.size = sum(len(t) for t, _, _ in self.lines)
+
+
+def is_copy(a: _Page, b: _Page, both: dict[int, int]) -> bool:
+    """Whether a tenth of the letters or less is left of either page without the shared lines."""
+    same = sum(len(a.lines[i][0]) for i in both)
+    return 10 * (a.size - same) <= a.size or 10 * (b.size - same) <= b.size
+
+
+def decide(page: _Page, before: list[_Page], after: list[_Page]) -> str:
+    """The page's text; before and after: its neighbours of the host, the nearest first."""
+    near = [(-kinship(x.path, page.path), n, side, x) for side, xs in enumerate((before, after)) for n, x in enumerate(xs)]
+    gone: set[int] = set()
+    for *_, other in sorted(near, key=lambda x: x[:3]):
+        both = shared(page.digests, other.digests)
+        if not is_copy(page, other, both):
+            gone = {i for i, j in both.items() if not (page.has_main and page.lines[i][1] or other.has_main and other.lines[j][1] and not other.lines[j][2])}
+            break
+    return "\n\n".join(t for i, (t, main, furniture) in enumerate(page.lines) if i not in gone and not furniture and (main or not page.has_main))
+
+
+def differenced(pages: Iterator[_Page]) -> Iterator[tuple[_Page, str]]:
+    """(page, text) of one bucket's sorted pages. Pages in a row of one host and content are a run; a page's
+    neighbours are the NEAR runs before and after its own."""
+    runs: deque[list[_Page]] = deque()  # of one host, with the runs before the one at ``at``
+    at = 0
+
+    def settle(n: int) -> Iterator[tuple[_Page, str]]:
+        nonlocal at
+        while at < len(runs) and len(runs) - at > n:
+            before = [runs[i][-1] for i in range(at - 1, max(at - 1 - NEAR, -1), -1)]
+            after = [runs[i][0] for i in range(at + 1, min(at + 1 + NEAR, len(runs)))]
+            for page in runs[at]:
+                if not page.ghost:
+                    yield page, decide(page, before if page.host else [], after if page.host else [])
+            runs[at] = [runs[at][0], runs[at][-1]]  # the rest is done with
+            at += 1
+            while at > NEAR:
+                runs.popleft()
+                at -= 1
+
+    for page in pages:
+        last = runs[-1][-1] if runs else None
+        if last and page.host != last.host:
+            yield from settle(0)
+            runs.clear()
+            at = 0
+        elif last and page.content == last.content:
+            runs[-1].append(page)
+            continue
+        runs.append([page])
+        yield from settle(NEAR)
+    yield from settle(0)
+
+
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: key, url, text, n_chars.
 
     A null or empty page has an empty text. Character references are decoded, white space in a block becomes
     one space, blocks are joined by two newlines in page order. Pages without a url or host are not aligned. A
-    page is aligned with the one before or after it in the order of paths within its host, whichever path
-    shares more of its start, the one before in a tie, as far as both lie in one range of the sort; pages that
-    repeat an address are neighbours. An empty table gives an empty one. Other columns of any name are ignored.
+    page is aligned with one of the NEAR pages before and after it in the order of paths within its host, that
+    whose path shares more of its start, the nearer in a tie, then the one before; of pages in a row with equal
+    html the nearest counts for all, and those that share all but a tenth of either's letters are passed over.
+    The order is cut into buckets, to which the pages next to their edges are dealt as well, so that texts do
+    not depend on the cuts. An empty table gives an empty one. Other columns of any name are ignored.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, digests = [], [], []
-            for page in batch.column(2).to_pylist():
-                found, has_main = lines_of(page)
-                digests.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _, _ in found])
-                texts.append("\n\n".join(t for t, main, furniture in found if main and not furniture) if has_main else None)
-                lines.append(None if has_main else [None if furniture else t for t, _, furniture in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(digests, pa.list_(pa.int64()))], ["key", "url", "text", "lines", "digests"])
-
-    parsed, _ = store(rows.mapInArrow(parse, "key long, url string, text string, lines array<string>, digests array<long>"), "pages")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    light = parsed.select("key", "url", host.alias("host"), path.alias("path"), "lines", "digests")
-    ordered = light.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "url", "text"]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names)
-
-        def decide(before: tuple | None, page: tuple, after: tuple | None) -> list[tuple]:
-            key, url, host, path, lines, digests = page
-            if lines is None:
-                return []
-            near = [x for x in (before, after) if x and host and x[2] == host]
-            gone = shared(digests, max(near, key=lambda x: kinship(x[3], path))[5]) if near else set()
-            return [(key, url, "\n\n".join(t for i, t in enumerate(lines) if t is not None and i not in gone))]
+    rows = rows.withColumns({"host": host, "path": path, "content": F.xxhash64("html")})
+    order = ["host", "path", "key", "url", "content"]
+    n = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_PAGES)))
 
-        before, page, rows = None, None, []
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last page of the first and the last NEAR + 1 runs."""
+        runs: list[list[tuple]] = []
         for batch in batches:
-            for after in zip(*[c.to_pylist() for c in batch.columns]):
-                if page:
-                    rows += decide(before, page, after)
-                before, page = page, after
-            if rows:
-                yield out(rows)
-                rows = []
-        if page and (rows := decide(before, page, None)):
-            yield out(rows)
-
-    differed = ordered.mapInArrow(difference, "key long, url string, text string")
-    both = parsed.where("text IS NOT NULL").select("key", "url", "text").unionByName(differed)
-    return both.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if runs and (row[0], row[4]) == (runs[-1][0][0], runs[-1][0][4]):
+                    runs[-1][1] = row
+                else:
+                    runs.append([row, row])
+                    if len(runs) > 2 * NEAR + 2:
+                        del runs[NEAR + 1]
+        found = list(dict.fromkeys(x for run in runs for x in run))
+        at = TaskContext.get().partitionId()
+        columns = [pa.array([at] * len(found), pa.int32()), *[pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()))]]
+        yield pa.RecordBatch.from_arrays(columns, ["part", *order])
+
+    light = rows.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # a few addresses for each bucket, the bucket's first and last among them
+    found = light.mapInArrow(edges, "part int, host string, path string, key long, url string, content long").collect()
+    sort_key = lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in (r["host"], r["path"], r["key"], r["url"], r["content"]))
+    parts: dict[int, list] = {}
+    for r in sorted(found, key=sort_key):
+        parts.setdefault(r["part"], []).append(r)
+    buckets = sorted(parts.values(), key=lambda rs: sort_key(rs[0]))
+    kind = "struct<host:string,path:string,key:bigint,url:string,content:bigint>"
+    name = F.struct(*order)
+
+    def guests(rs: Iterator, bucket: int) -> Iterator[tuple]:
+        """The first page of each of the NEAR + 1 runs that come first in rs, for the bucket."""
+        for _, run in islice(groupby(rs, key=lambda r: (r["host"], r["content"])), NEAR + 1):
+            first = next(run)
+            yield bucket, tuple(first[c] for c in order)
+
+    ghosts = []
+    for i in range(len(buckets)):
+        ghosts += guests((r for j in range(i - 1, -1, -1) for r in reversed(buckets[j])), i)
+        ghosts += guests((r for j in range(i + 1, len(buckets)) for r in buckets[j]), i)
+    starts = spark.createDataFrame([([tuple(rs[0][c] for c in order) for rs in buckets[1:]],)], f"starts array<{kind}>")
+    cut = rows.crossJoin(F.broadcast(starts)).withColumn("bucket", F.size(F.filter("starts", lambda x: x <= name))).drop("starts")
+    visits = spark.createDataFrame(ghosts, f"bucket int, page {kind}").groupBy("page").agg(F.collect_set("bucket").alias("visits"))
+    same = [F.col(c).eqNullSafe(F.col("page")[c]) for c in order]
+    placed = cut.join(F.broadcast(visits), same, "left")
+    own = F.array(F.struct("bucket", F.lit(False).alias("ghost")))
+    visit = F.transform("visits", lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("ghost")))
+    dealt = placed.select(*order, "html", F.explode(F.when(F.col("visits").isNull(), own).otherwise(F.concat(own, visit))).alias("to"))
+    dealt = dealt.select("to.bucket", *order, "to.ghost", "html")
+    sorted_pages = dealt.repartition("bucket").sortWithinPartitions("bucket", *order)
 
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], ["key", "url", "text"])
+
+        def read() -> Iterator[_Page]:
+            page = None
+            for batch in batches:
+                for row in zip(*[c.to_pylist() for c in batch.columns]):
+                    page = _Page(row, page)
+                    yield page
+
+        done, size = [], 0
+        for _, of_bucket in groupby(read(), key=lambda page: page.bucket):
+            for page, text in differenced(of_bucket):
+                done.append((page.key, page.url, text))
+                size += len(text)
+                if size > BATCH_BYTES or len(done) == 1000:
+                    yield out(done)
+                    done, size = [], 0
+        if done:
+            yield out(done)
+
+    texts = sorted_pages.mapInArrow(difference, "key long, url string, text string")
+    return texts.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
