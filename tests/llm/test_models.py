@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import corpus_pipeline
+from tracejobs.llm import lm_score as lm_score_model
 from tracejobs.llm import toxicity as toxicity_model
 from tracejobs.llm.lm_score import lm_score
 from tracejobs.llm.toxicity import toxicity
@@ -161,3 +163,34 @@ def test_pipeline_clashing_columns(spark, rows):
             assert stage(spark, more.limit(0), "").count() == 0
     finally:
         corpus_pipeline.tables = read
+
+
+def test_lm_contexts_reach_the_word_before(spark):
+    """Words that are equally frequent but follow others in a fixed order: what follows as ever is likelier than the same words in disorder."""
+    rng = random.Random(5)
+    nexts = dict(zip(WORDS, rng.sample(WORDS, len(WORDS))))
+
+    def chain(n=40):
+        out = [rng.choice(WORDS)]
+        while len(out) < n:
+            out.append(nexts[out[-1]])
+        return out
+
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 7 == 2][:20]
+    taught = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = {i: chain() for i in taught + held[:10]}
+    for a, b in zip(held[:10], held[10:]):
+        texts[b] = rng.sample(texts[a], len(texts[a]))
+    found = {r.doc_id: r for r in lm_score(spark.createDataFrame([(i, " ".join(t), "en", "a", None) for i, t in texts.items()], DOCS)).collect()}
+    for a, b in zip(held[:10], held[10:]):
+        assert math.isclose(found[a].base_score, found[b].base_score) and found[a].score > found[b].score + 10 and found[a].score > found[a].base_score
+
+
+def test_lm_spelling_reads_the_word_before():
+    """Slots of short contexts differ by the word before at a word's first bytes only; those of the spelling alone never do."""
+    bits, of, slots = lm_score_model.spelled([b"aa word", b"ba word", b"ab word"], np.zeros(3, np.int64))
+    a, b, c = (slice(*np.searchsorted(of, [i, i + 1])) for i in range(3))
+    two, _, five, whole, both = slots
+    assert (bits[a] == bits[b]).all() and (bits[a] == bits[c]).all() and (whole[a] == whole[b]).all() and (whole[a] == whole[c]).all()
+    assert (two[a] == two[b]).all() and (two[a] != two[c])[:5].all() and (two[a] == two[c])[10:].all()
+    assert (five[a] != five[b])[:5].all() and (five[a] == five[b])[15:].all() and (both[a] != both[b]).all()
