@@ -194,3 +194,16 @@ def test_lm_spelling_reads_the_word_before():
     assert (bits[a] == bits[b]).all() and (bits[a] == bits[c]).all() and (whole[a] == whole[b]).all() and (whole[a] == whole[c]).all()
     assert (two[a] == two[b]).all() and (two[a] != two[c])[:5].all() and (two[a] == two[c])[10:].all()
     assert (five[a] != five[b])[:5].all() and (five[a] == five[b])[15:].all() and (both[a] != both[b]).all()
+
+
+def test_lm_tables_are_sent_in_packed_blocks(spark):
+    """Blocks of several tasks add up to the counts of all pairs, large ones too, and no more rows are sent than blocks and tasks, however many slots are met."""
+    rng = random.Random(8)
+    pairs = sorted({rng.choice(WORDS + ["été"]).encode() + b" " + bytes(rng.choices(b"abcdefgh", k=6)) for _ in range(2000)})
+    counts = [[rng.choice([0, 1, 3, 70000]), rng.choice([0, 2])] for _ in pairs]
+    tables = [np.zeros(2 << width, np.uint32) for _, width in lm_score_model.PREDICTORS]
+    lm_score_model.count_bits(*lm_score_model._seen(pairs, np.array(counts)), tables)
+    dictionary = spark.createDataFrame(list(zip(map(bytearray, pairs), counts)), "pair binary, counts array<long>").repartition(3)
+    blocks = lm_score_model._tables(dictionary)
+    assert len(blocks) <= sum(map(len, tables)) // lm_score_model.BLOCK and all((a == b.astype(np.float32)).all() for a, b in zip(lm_score_model._filled(blocks), tables))
+    assert sum(map(len, blocks.values())) < sum(np.count_nonzero(t) for t in tables) * 8
