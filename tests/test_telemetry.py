@@ -88,3 +88,15 @@ def test_epochs_conclusions_and_defaults(spark, tmp_path):
     cases = {"tail_random_0.1_online": ("tail_random", 0.1, "online"), "a_1_offline": ("a", 1.0, "offline"), "0.1_online": None, "a_x_online": None, "a_0.1_other": None, None: None}
     got = spark.createDataFrame([(k,) for k in cases], "f string").withColumn("s", tm.sampler_of(F.col("f"))).collect()
     assert {r.f: r.s and tuple(r.s) for r in got} == cases
+
+
+def test_nested_lists_stay_short(spark, tmp_path, monkeypatch):
+    """A list holds so many ids of traces at most, whatever the table's size: 64 lists of all traces were a row of gigabytes."""
+    from tracejobs import queries_ingest
+
+    monkeypatch.setattr(queries_ingest, "LIST", 16)
+    monkeypatch.setattr(queries_ingest, "_folder", lambda _: f"file://{tmp_path}/lists")
+    n = queries_ingest._nested(spark, "/root/testdata/sf0.001").count()
+    assert n == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    lists = spark.read.text(f"file://{tmp_path}/lists").selectExpr("size(from_json(value, 'array<struct<processes:string>>')) AS n")
+    assert lists.agg({"n": "max"}).first()[0] == 2  # of 16 ids, each datapack has two

@@ -73,14 +73,18 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("trace_id", "service_name", "level", F.col("`attr.k8s.pod.name`").alias("pod"))
 
 
+#: Ids of traces that a list spans, so that a list stays as long whatever the table's size.
+LIST = 1024
+
+
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    """Traces written as nested JSON, a list a file, and read again."""
+    """Traces written as nested JSON, lists of at most LIST traces, and read again."""
     root = _folder(spark)
     s = fx.spans(spark, d)
     span = F.struct(F.col("trace_id").cast("string").alias("traceID"), F.col("span_id").alias("spanID"), F.unix_micros(F.col("time") + F.expr("INTERVAL 8 HOURS")).alias("startTime"), "duration", F.col("span_name").alias("operationName"), F.col("service_name").alias("processID"), F.when(F.col("parent_span_id") != "", F.array(F.struct(F.col("parent_span_id").alias("spanID")))).otherwise(F.array()).alias("references"))
     traces = s.groupBy("datapack", "trace_id").agg(F.collect_list(span).alias("spans"), F.map_from_entries(F.collect_set(F.struct("service_name", F.struct(F.concat(F.lit("x-"), "service_name").alias("serviceName"))))).alias("processes"))
-    lists = traces.groupBy("datapack", (F.col("trace_id") % 64).alias("part")).agg(F.to_json(F.collect_list(F.struct("processes", "spans"))).alias("value"))
-    lists.select("value").repartition(64, "value").write.text(root)  # a line may hold a list; each line is read as one
+    lists = traces.groupBy("datapack", F.floor(F.col("trace_id") / LIST).alias("part")).agg(F.to_json(F.collect_list(F.struct("processes", "spans"))).alias("value"))
+    lists.select("value").write.option("compression", "gzip").text(root)  # a line may hold a list; each line is read as one
     return telemetry.nested_spans_of(spark.read.text(root)).select("trace_id", "span_id", "parent_span_id", "service_name", "time", "duration")
 
 
