@@ -60,3 +60,30 @@ def test_dissimilarity_is_all_pairs(spark, block):
     own = {frozenset(s) for (d, t), s in sets.items() if d == "d" and t}
     pairs = [1 - len(a & b) / len(a | b) for a, b in itertools.combinations(own, 2)]
     assert got == {"d": (len(own), round(sum(pairs) / len(pairs), 6)), "e": (1, 0.0), "f": (2, 1.0)}
+
+
+def test_spans_meet_their_logs_in_their_trace(spark):
+    """Equal trace ids in two datapacks keep apart; many logs of one span; a log of no span. No join needs spans dealt by their ids."""
+    at = "CAST('2024-01-01' AS TIMESTAMP)"
+    spans = spark.createDataFrame([(d, 1, i, p, "w", n, 10, s) for d, i, p, n, s in (("d", "a", "", "r", "Ok"), ("d", "b", "a", "x", "Ok"), ("d", "c", "a", "x", "Error"), ("e", "a", "", "q", "Ok"), ("e", "b", "zz", "y", "Ok"))], SPANS.replace("time timestamp, ", "")).selectExpr("*", f"{at} AS time")
+    logs = spark.createDataFrame([("d", 1, "a", n, "t%d" % (n % 2)) for n in range(50)] + [("e", 1, "b", 1, "u"), ("e", 1, "c", 1, "v"), ("f", 1, "a", 1, "w")], "datapack string, trace_id long, span_id string, n long, template string").selectExpr("datapack", "trace_id", "span_id", f"{at} + make_interval(0, 0, 0, 0, 0, 0, n) AS time", "template")
+    limits = spark.createDataFrame([], "datapack string, service_name string, span_name string, limit_ms double")
+    found = events.event_pairs(spans, logs, limits)
+    own = {("S:w_r", "L:t0"), ("L:t0", "L:t1"), ("L:t1", "L:t0"), ("L:t1", "F:w_r"), ("F:w_r", "S:w_x"), ("S:w_x", "F:w_x"), ("S:w_x", "E:w_x"), ("E:w_x", "F:w_x")}
+    assert {tuple(r) for r in found.collect()} == {("d", 1, *p) for p in own} | {("e", 1, *p) for p in (("S:w_q", "F:w_q"), ("S:w_y", "L:u"), ("L:u", "F:w_y"))}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("span_id" in line for line in joins)
+
+
+def test_dissimilarity_in_strips(spark, monkeypatch):
+    """Blocks of a few patterns, each gone over in strips, as many pairs as there are."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(events, "CELLS", 7)
+    rng = random.Random(15)
+    a, b = ([sorted(rng.sample(range(20), rng.randint(0, 6))) for _ in range(n)] for n in (9, 5))
+    alike = lambda x, y: len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
+    kind = pa.list_(pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_pydict({"datapack": ["d", "d"], "same": [False, True], "left": pa.array([a, a], kind), "right": pa.array([b, a], kind)})
+    across, inside = (out["alike"][0].as_py() for out in events._block_sums(iter([batch])))
+    assert abs(across - sum(alike(x, y) for x in a for y in b)) < 1e-9 and abs(inside - sum(alike(x, y) for x, y in itertools.combinations(a, 2))) < 1e-9

@@ -18,8 +18,10 @@ from tracejobs.operators.joins import KEY
 from tracejobs.operators.rounds import cut
 
 NAME = ["datapack", "service_name", "span_name"]
-#: Patterns of a block in pairwise comparison, on average.
-BLOCK = 384
+#: Patterns of a block in pairwise comparison, on average: all blocks are sent to half of the others, so they are few and large.
+BLOCK = 32768
+#: Counts of a strip of a block's patterns against all of another's.
+CELLS = 1 << 20
 
 
 def slow_limits(sli: DataFrame) -> DataFrame:
@@ -32,34 +34,65 @@ def _is_root(entrance: str | None) -> Column:
     return root if entrance is None else root & (F.col("service_name") == entrance)
 
 
+def log_chains(logs: DataFrame) -> DataFrame:
+    """(trace_id, said): of each trace id, the first and last log token of each span and the distinct pairs of those that follow one another.
+
+    Logs are ordered by a window over a span, which spills however many a span has; what is left of a span is its
+    different pairs of templates.
+    """
+    rows = logs.where("template IS NOT NULL AND span_id IS NOT NULL").select(*KEY, "span_id", "time", F.concat(F.lit("L:"), F.col("template").cast("string")).alias("token"))
+    following = F.lead("token").over(Window.partitionBy(*KEY, "span_id").orderBy("time", "token"))
+    place = F.struct("time", "token")
+    pair = F.when(F.col("b").isNotNull(), F.struct(F.col("token").alias("a"), "b"))
+    spans = rows.withColumn("b", following).groupBy(*KEY, "span_id").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.collect_set(pair).alias("pairs"))
+    return spans.groupBy("trace_id").agg(F.collect_list(F.struct("datapack", F.col("span_id").alias("at"), F.struct(F.col("first.token").alias("first"), F.col("last.token").alias("last"), "pairs").alias("told"))).alias("said"))
+
+
 def event_pairs(spans: DataFrame, logs: DataFrame, limits: DataFrame, entrance: str | None = None) -> DataFrame:
     """Distinct (datapack, trace_id, a, b) of events that follow one another, of traces with a root (of the entrance, if one is named).
 
     logs: (datapack, trace_id, span_id, time, template); a null template or span is no event, equal times are in the
-    order of templates. Tokens: S start, L log, E error, P slower than the limit, F end. A trace without a root has no
-    pairs. Events are ordered by a window over a span, which spills however many logs a span has.
+    order of templates. limits: a row an operation, sent to all tasks. Tokens: S start, L log, E error, P slower than the limit,
+    F end. A trace without a root has no pairs. A span, its logs and its children's starts meet by a group over its id, so
+    that spans dealt by their trace stay where they are; logs come by trace id. Spans of one trace that repeat an id are
+    chains of their own.
     """
-    rooted = spans.where(_is_root(entrance)).select(*KEY).distinct()
-    own = spans.join(rooted, KEY, "left_semi").withColumn("op", F.concat_ws("_", "service_name", "span_name"))
-    own = own.join(limits, NAME, "left")
-    none = F.lit(None).cast("timestamp")
+    of_trace = Window.partitionBy(*KEY)
+    own = spans.withColumns({"op": F.concat_ws("_", "service_name", "span_name"), "rooted": F.max(_is_root(entrance)).over(of_trace), "one": F.row_number().over(of_trace.orderBy("span_id"))})
+    own = own.join(F.broadcast(limits), NAME, "left").join(log_chains(logs), "trace_id", "left")
     token = lambda letter: F.concat(F.lit(f"{letter}:"), "op")
-    event = lambda at, name, when=F.lit(True): F.when(when, F.struct(F.lit(at).alias("at"), none.alias("time"), name.alias("token")))
     slow = (F.col("limit_ms") > 0) & (F.col("duration") / 1e6 > F.col("limit_ms"))
-    fixed = F.array_compact(F.array(event(0, token("S")), event(2, token("E"), F.col("status_code") == "Error"), event(3, token("P"), slow), event(4, token("F"))))
-    told = logs.where("template IS NOT NULL AND span_id IS NOT NULL").join(own.select(*KEY, "span_id"), [*KEY, "span_id"]).select(*KEY, "span_id", F.lit(1).alias("at"), "time", F.concat(F.lit("L:"), F.col("template").cast("string")).alias("token"))
-    events = own.select(*KEY, "span_id", F.inline(fixed)).unionByName(told)
-    following = F.lead("token").over(Window.partitionBy(*KEY, "span_id").orderBy("at", "time", "token"))
-    inside = events.select(*KEY, F.col("token").alias("a"), following.alias("b")).where("b IS NOT NULL")
-    parents = own.select(*KEY, "span_id", token("F").alias("a"))
-    children = own.where("parent_span_id <> ''").select(*KEY, F.col("parent_span_id").alias("span_id"), token("S").alias("b"))
-    return inside.unionByName(parents.join(children, [*KEY, "span_id"]).select(*KEY, "a", "b")).distinct()
+    fixed = F.array_compact(F.array(token("S"), F.when(F.col("status_code") == "Error", token("E")), F.when(slow, token("P")), token("F")))
+    kinds = {"fixed": "array<string>", "start": "string", "told": "struct<first:string,last:string,pairs:array<struct<a:string,b:string>>>"}
+    row = lambda at, **of: F.struct(at.alias("at"), *[of.get(k, F.lit(None).cast(t)).alias(k) for k, t in kinds.items()])
+    chains = F.when(F.col("one") == 1, F.transform(F.filter("said", lambda x: x["datapack"] == F.col("datapack")), lambda x: row(x["at"], told=x["told"].cast(kinds["told"]))))
+    rows = F.concat(F.array_compact(F.array(row(F.col("span_id"), fixed=fixed), F.when(F.col("parent_span_id") != "", row(F.col("parent_span_id"), start=token("S"))))), F.coalesce(chains, F.array().cast(f"array<struct<at:string,{','.join(f'{k}:{t}' for k, t in kinds.items())}>>")))
+    known = F.col("rooted") & F.col("datapack").isNotNull() & F.col("trace_id").isNotNull()
+    met = own.select(*KEY, F.inline(F.when(known, rows))).groupBy(*KEY, "at").agg(F.collect_set("fixed").alias("fixed"), F.collect_set(F.when(F.col("at").isNotNull(), F.col("start"))).alias("starts"), F.max("told.first").alias("first"), F.max("told.last").alias("last"), F.flatten(F.collect_list("told.pairs")).alias("pairs"))
+    span = met.select(*KEY, F.explode("fixed").alias("f"), "starts", "first", "last", "pairs")
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    f, first, none = F.col("f"), F.col("first"), F.array().cast("array<struct<a:string,b:string>>")
+    begins = F.when(first.isNull(), F.array(pair(F.get(f, F.lit(0)), F.get(f, F.lit(1))))).otherwise(F.array(pair(F.get(f, F.lit(0)), first), pair(F.col("last"), F.get(f, F.lit(1)))))
+    goes_on = F.transform(F.sequence(F.lit(1), F.size(f) - 2), lambda i: pair(F.get(f, i), F.get(f, i + 1)))
+    called = F.transform("starts", lambda x: pair(F.element_at(f, -1), x))
+    found = F.concat(begins, F.when(F.size(f) > 2, goes_on).otherwise(none), F.coalesce("pairs", none), called)
+    return span.select(*KEY, F.inline(found)).distinct()
+
+
+def _signature() -> list[Column]:
+    code = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "a", "b"))
+    return [F.struct(F.count(F.lit(1)).alias("n"), code(0).alias("x"), code(1).alias("y")).alias("pattern")]
 
 
 def signatures(pairs: DataFrame) -> DataFrame:
     """(datapack, trace_id, pattern): a hash of each trace's set of pairs: its size and 128 bits that do not depend on the order, summed up on the map side."""
-    code = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "a", "b"))
-    return pairs.groupBy(*KEY).agg(F.struct(F.count(F.lit(1)).alias("n"), code(0).alias("x"), code(1).alias("y")).alias("pattern"))
+    return pairs.groupBy(*KEY).agg(*_signature())
+
+
+def _marked(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """rows with a column ``chosen``: whether their trace is sampled. Joined by the trace id alone, so that rows dealt by it stay where they are."""
+    by_id = samples.select(*KEY).groupBy("trace_id").agg(F.collect_set("datapack").alias("sampled_in"))
+    return rows.join(by_id, "trace_id", "left").withColumn("chosen", F.coalesce(F.array_contains("sampled_in", F.col("datapack")), F.lit(False))).drop("sampled_in")
 
 
 def event_coverage(pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -67,11 +100,10 @@ def event_coverage(pairs: DataFrame, samples: DataFrame) -> DataFrame:
 
     samples: (datapack, trace_id); repeated ones count once. The entropy is in bits, 0 for a single pattern.
     """
-    chosen = samples.select(*KEY).distinct().withColumn("chosen", F.lit(True))
-    marked = pairs.join(chosen, KEY, "left")
+    marked = _marked(pairs, samples)
     # a pair's or a pattern's rows are folded to one before anything is counted
-    by_pair = marked.groupBy("datapack", "a", "b").agg(F.max(F.coalesce("chosen", F.lit(False))).alias("s")).groupBy("datapack").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("s").alias("sampled_pairs"))
-    patterns = signatures(pairs).join(chosen, KEY, "left").groupBy("datapack", "pattern").agg(F.count("chosen").alias("c"))
+    by_pair = marked.groupBy("datapack", "a", "b").agg(F.max("chosen").alias("s")).groupBy("datapack").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("s").alias("sampled_pairs"))
+    patterns = _marked(signatures(pairs), samples).groupBy("datapack", "pattern").agg(F.count_if("chosen").alias("c"))
     sampled = samples.select(*KEY).distinct().groupBy("datapack").agg(F.count(F.lit(1)).alias("traces"))
     c = F.col("c").cast("double")
     by = patterns.groupBy("datapack").agg(F.count(F.lit(1)).alias("patterns"), F.count_if(F.col("c") > 0).alias("sampled_patterns"), F.sum("c").alias("n"), F.sum(F.when(c > 0, c * F.log2(F.when(c > 0, c)))).alias("clogc"))
@@ -102,22 +134,31 @@ def anomaly_scores(spans: DataFrame, logs: DataFrame, limits: DataFrame, samples
 
 
 def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of Jaccard similarities over the pairs of patterns of two blocks (each pair once within one block)."""
+    """The sum of Jaccard similarities over the pairs of patterns of two blocks (each pair once within one block).
+
+    The right block is an inverted list; the left one goes over it in strips of at most CELLS counts, so that only event pairs
+    that both sides have cost anything.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             (a, na), (b, nb) = (_rows(batch[c][i]) for c in ("left", "right"))
-            known, at = np.unique(np.concatenate([x for x in a] or [np.zeros(0, "int64")]), return_inverse=True)
-            left = np.zeros((len(a), len(known)), "float32")
-            left[np.repeat(np.arange(len(a)), na), at] = 1
-            right = np.zeros((len(b), len(known)), "float32")
-            items, row = np.concatenate([x for x in b] or [np.zeros(0, "int64")]), np.repeat(np.arange(len(b)), nb)
-            place = np.minimum(np.searchsorted(known, items), max(0, len(known) - 1))
-            hit = known[place] == items if len(known) else np.zeros(len(items), bool)
-            right[row[hit], place[hit]] = 1
-            shared = (left @ right.T).astype("float64")
-            alike = shared / np.maximum(1.0, na[:, None] + nb[None, :] - shared)
-            total = np.triu(alike, 1).sum() if batch["same"][i].as_py() else alike.sum()
-            yield pa.RecordBatch.from_pydict({"datapack": [batch["datapack"][i].as_py()], "alike": pa.array([float(total)], pa.float64())})
+            same, total, wide = batch["same"][i].as_py(), 0.0, max(1, len(b))
+            items = np.concatenate([np.zeros(0, "int64"), *b])
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], np.repeat(np.arange(len(b)), nb)[order]
+            strip = max(1, CELLS // wide)
+            for lo in range(0, len(a), strip):
+                mine = np.concatenate([np.zeros(0, "int64"), *a[lo : lo + strip]])
+                row = np.repeat(np.arange(len(na[lo : lo + strip])), na[lo : lo + strip])
+                first = np.searchsorted(items, mine, side="left")
+                n = np.searchsorted(items, mine, side="right") - first
+                met = owner[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                shared = np.bincount(np.repeat(row, n) * wide + met)
+                at = np.nonzero(shared)[0]
+                left, right, shared = lo + at // wide, at % wide, shared[at].astype("float64")
+                alike = shared / (na[left] + nb[right] - shared)
+                total += float(alike[right > left].sum() if same else alike.sum())
+            yield pa.RecordBatch.from_pydict({"datapack": [batch["datapack"][i].as_py()], "alike": pa.array([total], pa.float64())})
 
 
 def _rows(cell: pa.ListScalar) -> tuple[list[np.ndarray], np.ndarray]:
@@ -133,10 +174,9 @@ def mean_dissimilarity(pairs: DataFrame, samples: DataFrame, block: int = BLOCK)
     that no pair of patterns ever is a row, whatever event pairs they share. Sums are of similarities: pairs without a
     common event pair add nothing to them and are counted in closed form.
     """
-    own = pairs.join(samples.select(*KEY).distinct(), KEY, "left_semi")
-    one = signatures(own).groupBy("datapack", "pattern").agg(F.min("trace_id").alias("trace_id"))
-    items = own.select(*KEY, F.xxhash64("a", "b").alias("item")).join(one, KEY).groupBy("datapack", "pattern").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    items = cut(items)
+    own = _marked(pairs, samples).where("chosen")
+    traces = own.groupBy(*KEY).agg(*_signature(), F.array_sort(F.collect_set(F.xxhash64("a", "b"))).alias("items"))
+    items = cut(traces.groupBy("datapack", "pattern").agg(F.min("items").alias("items")))
     n = items.groupBy("datapack").agg(F.count(F.lit(1)).alias("patterns"))
     dealt = items.join(n, "datapack").withColumn("blocks", F.ceil(F.col("patterns") / block)).withColumn("block", F.pmod(F.xxhash64("pattern"), F.col("blocks")))
     blocks = cut(dealt.groupBy("datapack", "block").agg(F.max("blocks").alias("blocks"), F.collect_list("items").alias("rows")))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracejobs.operators import events, sli
-from tracejobs.operators.rounds import cut
 from tracejobs.queries import _SAMPLED, _add, _samples
 from tracejobs.sources import fixtures as fx
 
@@ -24,7 +23,7 @@ def _limits(spans: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    spans = cut(fx.spans(spark, d))
+    spans = fx.spans(spark, d)
     return events.event_pairs(spans, _logs(spark, d), _limits(spans), "loadgenerator")
 
 
@@ -40,7 +39,7 @@ _PATTERNS = f"{_PAIRS}, pt AS (SELECT datapack, trace_id, string_agg(a || '>' ||
 
 _add("t04_slow_limits", lambda s, d: _limits(fx.spans(s, d)).withColumn("limit_ms", F.round("limit_ms", 6)), f"WITH {_LIMITS} SELECT datapack, service_name, span_name, round(limit_ms, 6) AS limit_ms FROM limits", "spans")
 _add("t05_event_pairs", _pairs, f"WITH {_PAIRS} SELECT * FROM pairs", "spans", "logs")
-_add("t06_event_coverage", lambda s, d: events.event_coverage(cut(_pairs(s, d)), _samples(s, d)), f"""WITH {_PATTERNS}, bp AS (SELECT datapack, a, b, bool_or(trace_id % 10 = 0) AS s FROM pairs GROUP BY ALL), p1 AS (SELECT datapack, count(*) AS pairs, count(*) FILTER (s) AS sampled_pairs FROM bp GROUP BY ALL),
+_add("t06_event_coverage", lambda s, d: events.event_coverage(_pairs(s, d), _samples(s, d)), f"""WITH {_PATTERNS}, bp AS (SELECT datapack, a, b, bool_or(trace_id % 10 = 0) AS s FROM pairs GROUP BY ALL), p1 AS (SELECT datapack, count(*) AS pairs, count(*) FILTER (s) AS sampled_pairs FROM bp GROUP BY ALL),
 q AS (SELECT datapack, pattern, count(*) FILTER (s) AS c FROM pt GROUP BY ALL), q2 AS (SELECT *, sum(c) OVER (PARTITION BY datapack) AS n FROM q), p2 AS (SELECT datapack, count(*) AS patterns, count(*) FILTER (c > 0) AS sampled_patterns, coalesce(-sum(c / n * log2(c / n)) FILTER (c > 0), 0) AS entropy FROM q2 GROUP BY ALL),
 n AS (SELECT datapack, count(*) AS traces FROM {_SAMPLED} GROUP BY ALL)
 SELECT datapack, pairs, sampled_pairs, round(sampled_pairs / pairs, 6) AS event_coverage, patterns, sampled_patterns, round(sampled_patterns / patterns, 6) AS pattern_coverage, round(CASE WHEN sampled_patterns > 1 THEN entropy ELSE 0 END, 6) AS entropy, round(coalesce(sampled_patterns / traces, 0), 6) AS benefit_cost FROM p1 JOIN p2 USING (datapack) LEFT JOIN n USING (datapack)""", "spans", "logs")
@@ -48,6 +47,6 @@ _add("t08_anomaly_scores", lambda s, d: events.anomaly_scores(fx.spans(s, d), _l
 r AS (SELECT datapack, trace_id, count(*) FILTER (status_code = 'Error') AS errors FROM spans WHERE trace_id % 10 = 0 GROUP BY ALL), x AS (SELECT s.datapack, s.trace_id, duration / 1e6 / limit_ms AS times FROM spans s LEFT JOIN limits USING (datapack, service_name, span_name) WHERE parent_span_id = '' AND s.service_name = 'loadgenerator'),
 g AS (SELECT datapack, trace_id, sum(CASE level WHEN 'WARN' THEN 1 WHEN 'ERROR' THEN 2 ELSE 0 END) AS said FROM elogs GROUP BY ALL)
 SELECT r.datapack, count(*) AS traces, round(avg(errors * 5 + CASE WHEN times >= 5 THEN 3 WHEN times >= 3 THEN 2 WHEN times >= 1.5 THEN 1 ELSE 0 END + coalesce(said, 0)), 6) AS score FROM r JOIN x USING (datapack, trace_id) LEFT JOIN g USING (datapack, trace_id) GROUP BY ALL""", "spans", "logs")
-_add("w05_mean_dissimilarity", lambda s, d: events.mean_dissimilarity(cut(_pairs(s, d)), _samples(s, d)), f"""WITH {_PATTERNS}, u AS (SELECT datapack, pattern, min(trace_id) AS trace_id FROM pt WHERE s GROUP BY ALL), e AS (SELECT u.datapack, u.trace_id, a, b, count(*) OVER (PARTITION BY u.datapack, u.trace_id) AS n FROM u JOIN pairs p ON p.datapack = u.datapack AND p.trace_id = u.trace_id),
+_add("w05_mean_dissimilarity", lambda s, d: events.mean_dissimilarity(_pairs(s, d), _samples(s, d)), f"""WITH {_PATTERNS}, u AS (SELECT datapack, pattern, min(trace_id) AS trace_id FROM pt WHERE s GROUP BY ALL), e AS (SELECT u.datapack, u.trace_id, a, b, count(*) OVER (PARTITION BY u.datapack, u.trace_id) AS n FROM u JOIN pairs p ON p.datapack = u.datapack AND p.trace_id = u.trace_id),
 j AS (SELECT x.datapack, x.trace_id, y.trace_id AS other, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS sim FROM e x JOIN e y ON x.datapack = y.datapack AND x.a = y.a AND x.b = y.b AND x.trace_id < y.trace_id GROUP BY ALL), t AS (SELECT datapack, sum(sim) AS alike FROM j GROUP BY ALL), n AS (SELECT datapack, count(*) AS patterns FROM u GROUP BY ALL)
 SELECT datapack, patterns, round(CASE WHEN patterns > 1 THEN 1 - coalesce(alike, 0) / (patterns * (patterns - 1) / 2) ELSE 0 END, 6) AS dissimilarity FROM n LEFT JOIN t USING (datapack)""", "spans", "logs")
