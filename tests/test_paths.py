@@ -90,3 +90,32 @@ def test_performance_levels(spark):
     r = got["algorithm", None, None, None]
     assert (r.total, r.count_1, r.count_2, r.ac_2, r.avg_2, r.p_2, r.mrr, r.avg_runtime) == (3, 1, 2, 0.666667, 0.5, 0.333333, 0.75, 3.0)
     assert (got["sampler_dataset", "s", "d", None].mrr, got["datapack", None, "d", "p2"].mrr, got["datapack", None, "f", "p3"].avg_runtime) == (0.5, 0.0, 0.0)
+
+
+def test_whole_traces_as_by_joins(spark, monkeypatch):
+    """Levels of short traces by one task each are those of the joins: cycles, lost parents, ids that repeat, null keys and ids; and without a join or a kept table."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracejobs.operators import structure
+
+    rng, rows = random.Random(16), []
+    for t in range(40):
+        n = rng.randrange(1, 12)
+        for i in range(n):
+            up = rng.choice(["", None, "lost", str(rng.randrange(n)), str(max(0, i - 1)), str(i // 2)])
+            rows.append((rng.choice("de") if t % 9 else "d", t if t % 13 else None, None if rng.random() < 0.05 else str(i if rng.random() < 0.9 or t % 4 else rng.randrange(n)), up, rng.choice("ab"), rng.choice("xy")))
+    spans = spark.createDataFrame(rows, "datapack string, trace_id long, span_id string, parent_span_id string, service_name string, span_name string")
+    acyclic = spans.where("trace_id % 4 <> 0 OR parent_span_id IS NULL OR parent_span_id IN ('', 'lost') OR parent_span_id < span_id")
+    both = lambda df: sorted(map(repr, df.collect()))
+    whole, encoded, deep = (both(f(acyclic)) for f in (structure.levels, structure.path_encoding, structure.depth))
+    kept = []
+    monkeypatch.setattr(structure, "cut", lambda df, f=structure.cut: kept.append(1) or f(df))
+    structure.path_encoding(acyclic).count()
+    assert not kept
+    for most in (5, 0):  # some traces, and all, by joins
+        monkeypatch.setattr(structure, "WHOLE", most)
+        assert both(structure.levels(acyclic)) == whole and both(structure.depth(acyclic)) == deep
+    assert both(structure.path_encoding(acyclic)) == encoded and kept
+    assert structure.levels(spans.where("false")).count() == 0
